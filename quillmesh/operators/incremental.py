@@ -34,17 +34,15 @@ def _fs(spark: SparkSession, path: str):
 
 
 def list_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[tuple[str, int]]:
-    """(path, size) of every data file below path, in order of path; files named like markers are left out."""
+    """(path, size) of every data file below path, in order of path; names that begin with a dot or underscore are left out.
+
+    Spark lists, in parallel where there are many folders, and reads no content.
+    """
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
-    out, it = [], fs.listFiles(p, True)
-    while it.hasNext():
-        f = it.next()
-        name = f.getPath().getName()
-        if name.endswith(suffix) and name[0] not in "_.":
-            out.append((f.getPath().toString(), f.getLen()))
-    return sorted(out)
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
+    return sorted((r["path"], r["length"]) for r in d.select("path", "length").collect())
 
 
 def write_once(spark: SparkSession, path: str, text: str) -> None:
@@ -91,6 +89,7 @@ class IncrementalRun:
         self.spark, self.source, self.home = spark, source.rstrip("/"), home.rstrip("/")
         self.keys, self.value, self.order, self.prepare = keys, value, order, prepare
         self._schemas: dict[str, object] = {}
+        self._entries: dict[str, Entry] = {}
 
     def _read(self, kind: str, *paths: str) -> DataFrame:
         """Read files of one kind (source or batch); their schema is inferred once, not run by run."""
@@ -100,8 +99,15 @@ class IncrementalRun:
         return d
 
     def entries(self) -> list[Entry]:
-        found = [Entry(**json.loads(read_text(self.spark, p))) for p, _ in list_files(self.spark, f"{self.home}/manifest", ".json")]
-        return sorted(found, key=lambda e: e.seq)
+        """Committed batches in order.  An entry never changes once it is there, so each is read once."""
+        fs, p = _fs(self.spark, f"{self.home}/manifest")
+        if not fs.exists(p):
+            return []
+        for f in fs.listStatus(p):
+            name = f.getPath().getName()
+            if name.endswith(".json") and name[0] != "." and name not in self._entries:
+                self._entries[name] = Entry(**json.loads(read_text(self.spark, f.getPath().toString())))
+        return sorted(self._entries.values(), key=lambda e: e.seq)
 
     def checksums(self, files: list[tuple[str, int]]) -> dict[str, str]:
         """Content checksum of each file: rows and the sum of their hashes, computed where the files are read.
