@@ -55,6 +55,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that costs much per row.
+
+    A table of many files is left as it is; only one that a few tasks would
+    read is shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def buckets(spark: SparkSession) -> int:
     """Tasks of a shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
