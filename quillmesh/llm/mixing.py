@@ -8,7 +8,7 @@ is drawn so that its tokens and its number of texts are those expected: the
 flight phase moves the probabilities along the null space of the two
 constraints until all but two are 0 or 1, block by block and then for what the
 blocks left, until one small landing problem is left per source, which is
-solved by trying every outcome.
+solved by trying every outcome, and by exchanges where one long text remains.
 """
 
 from __future__ import annotations
@@ -74,19 +74,43 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator, stop: int = 2
     return np.array(p)
 
 
-def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Round the open units so that tokens are nearest to expected, then texts; every outcome is tried."""
+def landing(p: np.ndarray, x: np.ndarray, target: float) -> np.ndarray:
+    """Round the open units so that tokens come nearest to the target, then texts; every outcome is tried."""
     live = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-    if not len(live):
-        return np.round(p)
-    live = live[:20]
-    options = np.array(list(itertools.product((0.0, 1.0), repeat=len(live))))
-    miss = np.abs(options @ x[live] - (p[live] * x[live]).sum())
-    texts = np.abs(options.sum(axis=1) - p[live].sum())
-    best = options[np.lexsort((texts, np.round(miss, 6)))[0]]
     out = p.copy()
-    out[live] = best
-    return np.round(out)
+    if len(live):
+        options = np.array(list(itertools.product((0.0, 1.0), repeat=len(live))))
+        fixed = float((p * x).sum() - (p[live] * x[live]).sum())
+        miss = np.abs(options @ x[live] + fixed - target)
+        texts = np.abs(options.sum(axis=1) - p[live].sum())
+        out[live] = options[np.lexsort((texts, np.round(miss, 6)))[0]]
+    return settle(np.round(out), x, target)
+
+
+def settle(take: np.ndarray, x: np.ndarray, target: float, rounds: int = 50) -> np.ndarray:
+    """Exchange a text drawn for one not drawn as long as that brings the tokens nearer to the target.
+
+    One long text among the last open units can leave more than these can make
+    up for; an exchange keeps the number of texts.
+    """
+    for _ in range(rounds):
+        over = float((take * x).sum() - target)
+        inside, outside = np.flatnonzero(take > 0.5), np.flatnonzero(take < 0.5)
+        if abs(over) < 0.5 or not len(inside) or not len(outside):
+            break
+        outside = outside[np.argsort(x[outside], kind="stable")]
+        w = x[outside]
+        k = np.searchsorted(w, x[inside] - over)
+        best = None
+        for near in (np.clip(k, 0, len(w) - 1), np.clip(k - 1, 0, len(w) - 1)):
+            left = np.abs(over - (x[inside] - w[near]))
+            i = int(left.argmin())
+            if best is None or left[i] < best[0]:
+                best = (float(left[i]), inside[i], outside[near[i]])
+        if best[0] >= abs(over) - 1e-9:
+            break
+        take[best[1]], take[best[2]] = 0.0, 1.0
+    return take
 
 
 def _fly(last: bool):
@@ -94,8 +118,9 @@ def _fly(last: bool):
         d = d.sort_values(["h", "doc_id"], kind="stable")
         x, p = d["n"].to_numpy(float), d["p"].to_numpy(float)
         rng = np.random.default_rng(abs(int(d["h"].iloc[0])) % 2**32)
+        target = float((p * x).sum())
         p = flight(p, x, rng, LANDING if last else 2)
-        d["p"] = landing(p, x) if last else p
+        d["p"] = landing(p, x, target) if last else p
         return d[["mix_id", "source", "doc_id", "n", "base", "p", "h"]]
     return run
 
