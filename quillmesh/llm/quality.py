@@ -18,8 +18,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.session import written
-
 #: Labelled texts that the rules are learned from, at most: those with the least hash of their id.
 LABELS = 20_000
 
@@ -29,7 +27,19 @@ COMMON = (
     "than so its will would no how what one all were der die das und ist nicht ein eine den dem des zu mit auf von im sich es wir dass "
     "wie wenn oder auch aber bei el la los las de que y en un una por con para no es se del al lo como pero más si su este esta cómo"
 )
-_WORDS = "|".join(sorted(set(COMMON.split())))
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern for any of the words that looks at each letter once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    body = "|".join(h + _trie(t) for h, t in sorted(heads.items()))
+    return "" if not body else f"(?:{body}){'?' if '' in words else ''}"
+
+
+_WORDS = _trie(sorted(set(COMMON.split())))
 # Line patterns are anchored or bounded, so that no line, however long, is read more than a few times.
 LIST_LINE = r"^[ \t　]*(?:[-*+•・–—▪◦‣·●○■□][ \t　]*|\(?\d{1,3}[.)、．][ \t　]*|[A-Za-z][.)][ \t]+|v\d+(?:\.\d+){1,3}[ \t]+|\[[ xX]\][ \t]*)\S"
 END_LINE = r"[.!?。！？…][\"'”’」』)）\]]*\s*$"
@@ -45,37 +55,45 @@ def _count(c: Column, p: str) -> Column:
     return F.regexp_count(c, F.lit(p)).cast("double")
 
 
+def _chars(c: Column, members: str) -> Column:
+    """Characters of a class: what is left when runs of all others are cut out, without a list of matches."""
+    return F.length(F.regexp_replace(c, f"[^{members}]+", "")).cast("double")
+
+
 def _solid(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"\s+", "")).cast("double")
 
 
 def _line(l: Column) -> Column:
-    """Figures of one line: its characters other than blanks, by what the line looks like."""
-    n = F.length(F.translate(l, " \t　", "")).cast("double")
+    """What one line looks like. Lambdas share no subexpressions, so each test is made here once, and combined in ``_add``."""
     many = lambda ch: F.length(l) - F.length(F.replace(l, F.lit(ch)))
-    tight = lambda ch: F.regexp_count(l, F.lit(ch + r"(?=[^\s" + ch + "])"))
-    listed, ended = l.rlike(LIST_LINE), l.rlike(END_LINE)
-    cells = F.greatest(many("|"), many("\t"), F.regexp_count(l, F.lit(r"\S(?: {2,}|　)(?=\S)")), tight(";"), tight(","))
-    tagged = l.contains("</td>") | l.contains("<tr")
-    ruled = l.rlike(r"^[-+|=: ]{6,}$")
-    field = l.rlike(FIELD_LINE)
-    on = lambda c: F.when(c, n).otherwise(0.0)
     return F.struct(
-        n.alias("n"), F.lit(1.0).alias("lines"), on(listed).alias("list"), on(listed & ~ended).alias("open_list"),
-        on((cells >= 2) | tagged | ruled).alias("table"), on((cells >= 1) & l.rlike(r"\d") & ~ended).alias("record"), on(field & ~listed).alias("field"),
-        on((n <= 45) & ~ended).alias("short"), on((n <= 90) & ~ended).alias("open"), F.when(ended, 1.0).otherwise(0.0).alias("ended"),
-        on((many(",") + many("、") >= 4) & (_count(l, SENTENCE_END) <= 1)).alias("inline"),
+        F.length(F.translate(l, " \t　", "")).cast("double").alias("n"), l.rlike(LIST_LINE).alias("listed"), l.rlike(END_LINE).alias("ended"),
+        F.greatest(many("|"), many("\t")).alias("bars"), F.size(F.split(l, r"(?<=\S)(?: {2,}|　)(?=\S)")).alias("gaps"),
+        F.size(F.split(l, r";(?=[^\s;])")).alias("semis"), F.size(F.split(l, r",(?=[^\s,])")).alias("tight"), (many(",") + many("、")).alias("commas"),
+        (l.contains("</td>") | l.contains("<tr") | l.rlike(r"^[-+|=: ]{6,}$")).alias("grid"), l.rlike(FIELD_LINE).alias("field"), l.rlike(r"\d").alias("digit"),
     )
 
 
 _SUMS = ("n", "lines", "list", "open_list", "table", "record", "field", "short", "open", "ended", "inline")
 
 
+def _add(a: Column, x: Column) -> Column:
+    n, ended = x["n"], x["ended"]
+    on = lambda c: F.when(c, n).otherwise(0.0)
+    cells = F.greatest(x["bars"], x["gaps"] - 1, x["semis"] - 1, x["tight"] - 1)
+    more = {
+        "n": n, "lines": F.lit(1.0), "list": on(x["listed"]), "open_list": on(x["listed"] & ~ended), "table": on((cells >= 2) | x["grid"]),
+        "record": on(x["digit"] & ~ended & (cells >= 1)), "field": on(x["field"] & ~x["listed"]), "short": on((n <= 45) & ~ended), "open": on((n <= 90) & ~ended),
+        "ended": F.when(ended, 1.0).otherwise(0.0), "inline": on(x["commas"] >= 4),
+    }
+    return F.struct(*[(a[k] + more[k]).alias(k) for k in _SUMS])
+
+
 def line_sums(text: Column) -> Column:
     """Sums of the line figures over the lines that are not blank."""
-    lines = F.filter(F.split(text, r"\r?\n"), lambda l: l.rlike(r"\S"))
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in _SUMS])
-    return F.aggregate(F.transform(lines, _line), zero, lambda a, x: F.struct(*[(a[k] + x[k]).alias(k) for k in _SUMS]))
+    lines = F.filter(F.split(text, r"\n"), lambda l: F.trim(l) != "")
+    return F.aggregate(F.transform(lines, _line), F.struct(*[F.lit(0.0).alias(k) for k in _SUMS]), _add)
 
 
 def figures(t: Column, s: Column) -> dict[str, Column]:
@@ -83,7 +101,7 @@ def figures(t: Column, s: Column) -> dict[str, Column]:
     low = F.lower(t)
     n = s["n"]
     words = _count(t, r"\S+")
-    cjk = _count(t, r"[぀-ヿ㐀-鿿]")
+    cjk = _chars(t, r"぀-ヿ㐀-鿿")
     gone = lambda p: _share(n - _solid(F.regexp_replace(t, p, "")), n)
     distinct = lambda c: F.size(F.array_distinct(c)).cast("double")
     sentences = F.split(t, r"[.!?。！？\n]+\s*")
@@ -95,12 +113,12 @@ def figures(t: Column, s: Column) -> dict[str, Column]:
         "mean_word": _share(n, words),
         "mean_line": _share(n, s["lines"]),
         "symbol_ratio": gone(r"[^\p{L}\p{N}\s]+"),
-        "digit_ratio": _share(_count(t, r"\p{N}"), n),
+        "digit_ratio": _share(_chars(t, r"\p{N}"), n),
         "cjk_ratio": _share(cjk, n),
-        "kana_ratio": _share(_count(t, r"[ぁ-ゖ]"), cjk + 1),
+        "kana_ratio": _share(_chars(t, r"ぁ-ゖ"), cjk + 1),
         "punct_lines": _share(s["ended"], s["lines"]),
         "sentence_ends": _share(_count(t, SENTENCE_END) * 100, n),
-        "common_words": _share(_count(low, rf"(?<![\p{{L}}\p{{N}}])(?:{_WORDS})(?![\p{{L}}\p{{N}}])"), words),
+        "common_words": _share(_count(low, rf"(?:^|[^\p{{L}}\p{{N}}])(?:{_WORDS})(?![\p{{L}}\p{{N}}])"), words),
         "list_chars": _share(s["list"], n),
         "open_list_chars": _share(s["open_list"], n),
         "table_chars": _share(s["table"], n),
@@ -113,7 +131,7 @@ def figures(t: Column, s: Column) -> dict[str, Column]:
         "url_chars": gone(r"(?:https?://|www\.)\S+"),
         "link_chars": gone(r"\[\[[^\]\n]*\]\]"),
         "run_chars": gone(r"(\S{1,4}?)\1{3,}"),
-        "commas": _share(_count(t, r"[,、;]"), words + cjk / 4),
+        "commas": _share(_chars(t, r",、;"), words + cjk / 4),
         "one_letter": _share(_count(t, r"(?<!\S)\S(?!\S)"), words),
         "odd_words": _share(_count(t, r"(?<!\S)(?=\S*\p{L})(?=\S*[^\p{L}\p{N}\s.,;:!?'()\"。、/-])\S+"), words),
         "hex_words": _share(_count(low, r"(?<!\S)(?:0x)?(?=[0-9a-f]*\d)[0-9a-f]{2,8}(?!\S)"), words),
@@ -121,7 +139,7 @@ def figures(t: Column, s: Column) -> dict[str, Column]:
         "distinct_term_share": _share(distinct(terms), F.size(terms).cast("double")),
         "distinct_line_share": _share(distinct(F.split(F.trim(t), r"\s*\n\s*")), s["lines"] + 1),
         "distinct_sentence_share": _share(distinct(sentences), F.size(sentences).cast("double")),
-        "vowel_ratio": _share(_count(low, r"[aeiouáéíóúäöüàèyãï]"), _count(low, r"[a-zà-ÿ]") + 1),
+        "vowel_ratio": _share(_chars(low, r"aeiouáéíóúäöüàèyãï"), _chars(low, r"a-zà-ÿ") + 1),
     }
 
 
@@ -259,24 +277,28 @@ SIZE = frozenset(("n_chars", "n_words", "n_lines", "distinct_terms"))
 
 
 def with_figures(docs: DataFrame) -> DataFrame:
-    """doc_id and the figures of each text that is not null and not blank; written, since learning and applying both read them."""
+    """doc_id and the figures of each text that is not null and not blank. Figures that nobody selects are not computed."""
     d = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", "text")
     d = d.select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("t")).withColumn("s", line_sums(F.col("t")))
     return d.select("doc_id", *[v.alias(k) for k, v in figures(F.col("t"), F.col("s")).items()])
 
 
-def learn(figured: DataFrame, labels: DataFrame, bound: int = LABELS, seed: int = 7) -> tuple[list[Rule], str, list[str]]:
-    """Rules from at most ``bound`` labelled texts, gathered to the driver. A text with several labels counts with the least."""
-    names = [c for c in figured.columns if c != "doc_id" and c not in SIZE]
+def sample(labels: DataFrame, bound: int = LABELS) -> DataFrame:
+    """doc_id, kind of at most ``bound`` labelled texts, those with the least hash of their id. A text with several labels counts with the least."""
     lab = labels.where("doc_id is not null and kind is not null").groupBy("doc_id").agg(F.min(F.lower(F.trim("kind"))).alias("kind"))
-    lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    pdf = figured.join(lab, "doc_id").toPandas().sort_values("doc_id")
-    rules, default = induce(pdf[names].to_numpy(float), pdf["kind"].to_numpy(str), names, seed, "prose")
-    return rules, default, names
+    return lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELS, seed: int = 7) -> tuple[list[Rule], str]:
+    """Rules from the figures of the labelled texts, gathered to the driver; these are at most ``bound``, so they are broadcast to the texts."""
+    lab = F.broadcast(sample(labels, bound))
+    figured = with_figures(docs.join(lab.select("doc_id"), "doc_id", "left_semi"))
+    names = [c for c in figured.columns if c != "doc_id" and c not in SIZE]
+    pdf = figured.select("doc_id", *names).join(lab, "doc_id").toPandas().sort_values("doc_id")
+    return induce(pdf[names].to_numpy(float), pdf["kind"].to_numpy(str), names, seed, "prose")
 
 
 def kinds(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> DataFrame:
     """doc_id, the figures, and kind by the learned rules; null and blank texts give no row."""
-    figured = written(with_figures(docs), "figures")
-    rules, default, _ = learn(figured, labels, bound)
-    return figured.withColumn("kind", F.expr(case_sql(rules, default)))
+    rules, default = learn(docs, labels, bound)
+    return with_figures(docs).withColumn("kind", F.expr(case_sql(rules, default)))
