@@ -46,6 +46,9 @@ COMMANDS = frozenset(
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SILENT = frozenset(("script", "style", "head", "template"))
 
+#: Containers nested deeper than this are read as if they stood side by side; their text is kept.
+DEPTH = 150
+
 FENCE = re.compile(r"^ {0,3}(```|~~~)")
 INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)([^\n]+?)(?<!`)\1(?!`)")
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
@@ -317,7 +320,8 @@ class Parse:
                 else:
                     node = Node("<" + name)
                     stack[-1].children.append(node)
-                    stack.append(node)
+                    if len(stack) < DEPTH:
+                        stack.append(node)
             elif first == "\ue004":
                 add("row", " | ".join(c.strip() for c in line.lstrip()[1:].split("\ue004")))
             elif first == "\ue005":

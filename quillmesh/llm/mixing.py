@@ -182,7 +182,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, block: i
         return empty
     p = spark.createDataFrame([(x["mix_id"], x["source"], x["base"], float(x["p"]), x["texts"]) for x in plans], "mix_id int, source string, base long, p double, texts long")
     # The plan has as many rows as mix_targets.
-    units = sizes.join(F.broadcast(p), "source").select("mix_id", "source", "doc_id", F.col("n").cast("long").alias("n"), "base", "p", F.xxhash64("doc_id", "mix_id").alias("h"), "texts")
+    units = sizes.select("doc_id", "source", "n").join(F.broadcast(p), "source").select("mix_id", "source", "doc_id", F.col("n").cast("long").alias("n"), "base", "p", F.xxhash64("doc_id", "mix_id").alias("h"), "texts")
     fixed = units.where("p = 0").select("mix_id", "source", "doc_id", "n", "base", "p")
     live = units.where("p > 0")
     level, done = written(live, "units"), fixed
