@@ -424,6 +424,10 @@ def parse_udf(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"families": [got[k][0] for k in codes], "subtrees": [got[k][1] for k in codes]})
 
 
+#: Declared nondeterministic so that the condition which an explode of the families brings does not parse every text twice.
+parse_udf = parse_udf.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def clean_udf(texts: pd.Series, drop: pd.Series) -> pd.Series:
     """The clean text without the subtrees listed; null stays null."""
