@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.refs import norm_hash, norm_ref
-from quillmesh.session import buckets, workspace
+from quillmesh.session import buckets, remove, workspace
 
 
 class SnapshotIndex:
@@ -44,6 +44,12 @@ class SnapshotIndex:
         (df.write.format("parquet").bucketBy(self.n, *self.keys).option("path", f"{self.home}/v{self.version}").saveAsTable(name))
         return self.spark.table(name)
 
+    def vacuum(self) -> None:
+        """Delete all versions but the current one; changes of earlier steps that were not read yet are lost with them."""
+        for v in range(1, self.version):
+            self.spark.sql(f"DROP TABLE IF EXISTS qm_index_{self.tag}_{v}")
+            remove(self.spark, f"{self.home}/v{v}")
+
     def step(self, new: DataFrame) -> DataFrame:
         """Probe with the rows of one delivery (one row per key), swap, and give the changes.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillmesh.functions.text import CJK, is_cjk
 from quillmesh.operators import build
+from quillmesh.operators.pack import BANNER, OMIT
 from quillmesh.operators.search import query_terms
 from quillmesh.plans.core_queries import MOVED_TO, RECALL, SEARCHES
 
@@ -146,8 +147,9 @@ SIZES = """bk as (select ref, topic, strlen('## [[' || ref || ']] — ' || coale
     || case when len(coalesce(sources, [])) > 0 then '### sources' || chr(10) || chr(10) || array_to_string(list_transform(sources, lambda s: '- ' || coalesce(s.url, '') || case when coalesce(s.title, '') <> '' then ' — ' || s.title else '' end || case when s.accessed is not null then ' (accessed: ' || s.accessed::varchar || ')' else '' end), chr(10)) || chr(10) || chr(10) else '' end
     || case when regexp_replace(coalesce(body, ''), '\\s+', '', 'g') <> '' then regexp_replace(body, '^\\n+|\\n+\\z', '', 'g') || chr(10) || chr(10) else '' end)::bigint size from ix)"""
 ORACLE["pack_sizes"] = f"with {PG}, {IX}, {SIZES} select ref, size from bk"
-ORACLE["pack_greedy"] = f"""with recursive {PG}, {IX}, {SIZES}, o as (select ref, size, row_number() over (order by ref) n from bk where topic = 'caching'),
-  g(n, ref, size, kept, run) as (select 0::bigint, null::varchar, 0::bigint, null::boolean, 500::bigint + strlen('## Omitted (over the budget)') + 1
+ORACLE["pack_greedy"] = f"""with recursive {GRAPH}, {walk(2)}, {SIZES}, o as (select ref, size, row_number() over (order by ref) n from bk where ref in (select node from first)),
+  f as (select {sum(len(x.encode()) + 1 for x in BANNER)} + 3 + strlen('## Pages (' || count(*) || ')') + 1 + sum(strlen(ref) + 7) + strlen('{OMIT}') + 1 z from o),
+  g(n, ref, size, kept, run) as (select 0::bigint, null::varchar, 0::bigint, null::boolean, z::bigint from f
     union all select o.n, o.ref, o.size, g.run + o.size <= 20000, case when g.run + o.size <= 20000 then g.run + o.size else g.run + strlen(o.ref) + 7 end from g join o on o.n = g.n + 1)
   select ref, size, kept from g where n > 0"""
 PROBE = "q as (select embedding::double[] e from embeddings order by vec_id limit 1), vs as (select vec_id, label, round(list_cosine_similarity(embedding::double[], (select e from q)), 6) score from embeddings)"

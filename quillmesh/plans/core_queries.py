@@ -323,8 +323,11 @@ def pack_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
-    p = overlay.merge_index(_pages(spark, d).drop("page_id", "ingested_at")).where("topic = 'caching'")
-    return pack.greedy(pack.sizes(p), 20_000, 500)
+    """A pack of the pages within two hops of the page with most links, in 20,000 bytes."""
+    index, adj, start = _graph(spark, d)
+    refs = pack.collect_refs(adj, index, [start], 2)
+    p = overlay.merge_index(_pages(spark, d).drop("page_id", "ingested_at")).join(refs, "ref", "left_semi")
+    return pack.greedy(pack.sizes(p), 20_000)
 
 
 def _probe(spark: SparkSession, d: str) -> tuple[DataFrame, list[float]]:

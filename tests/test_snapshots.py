@@ -45,3 +45,14 @@ def test_nulls_repeats_and_empty_tables(spark, rows):
 def test_hot_key_gives_one_row(spark, rows):
     m = table(spark, [(s, "g", "t", "t/a/x", h("a"), 1) for s in (1, 2)] * 500 + [(2, "g", "t", "t/a/x", h("b"), 2)])
     assert rows(snapshot_changes(m), "ref", "change") == [("t/a/x", "changed")]
+
+
+def test_index_steps_and_vacuum(spark, rows):
+    from quillmesh.operators.snapshots import SnapshotIndex
+
+    ix = SnapshotIndex(spark, ["k"], ["part"], 3)
+    step = lambda *r: ix.step(spark.createDataFrame(list(r), "k string, part string, h binary"))
+    assert step(("a", "p", b"1"), ("b", "p", b"1")).count() == 0
+    assert rows(step(("a", "p", b"2")), "k", "change") == [("a", "changed"), ("b", "removed")]
+    ix.vacuum()
+    assert rows(step(("b", "p", b"1")), "k", "change") == [("a", "removed"), ("b", "added")]
