@@ -43,7 +43,8 @@ def count_tokens(path: str):
         n = [len(enc.encode_ordinary(v)) for v in values]
         return pd.Series([n[k] if k >= 0 else None for k in codes], dtype="Int64")
 
-    return count
+    # A condition on the count would else be pushed down and encode every text twice.
+    return count.asNondeterministic()
 
 
 def sized(docs: DataFrame, extra: dict | None = None, path: str | None = None) -> DataFrame:
