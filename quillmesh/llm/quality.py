@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.session import written
+
 #: Labelled texts that the rules are learned from, at most: those with the least hash of their id.
 LABELS = 20_000
 
@@ -64,36 +66,54 @@ def _solid(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"\s+", "")).cast("double")
 
 
-def _line(l: Column) -> Column:
-    """What one line looks like. Lambdas share no subexpressions, so each test is made here once, and combined in ``_add``."""
-    many = lambda ch: F.length(l) - F.length(F.replace(l, F.lit(ch)))
-    return F.struct(
-        F.length(F.translate(l, " \t　", "")).cast("double").alias("n"), l.rlike(LIST_LINE).alias("listed"), l.rlike(END_LINE).alias("ended"),
-        F.greatest(many("|"), many("\t")).alias("bars"), F.size(F.split(l, r"(?<=\S)(?: {2,}|　)(?=\S)")).alias("gaps"),
-        F.size(F.split(l, r";(?=[^\s;])")).alias("semis"), F.size(F.split(l, r",(?=[^\s,])")).alias("tight"), (many(",") + many("、")).alias("commas"),
-        (l.contains("</td>") | l.contains("<tr") | l.rlike(r"^[-+|=: ]{6,}$")).alias("grid"), l.rlike(FIELD_LINE).alias("field"), l.rlike(r"\d").alias("digit"),
-    )
+_CELLS = ("bars", "gaps", "semis", "tight")
+#: What each line sum is made of.
+SUMS = {
+    "n": (), "lines": (), "list": ("listed",), "open_list": ("listed", "ended"), "table": (*_CELLS, "grid"), "record": (*_CELLS, "digit", "ended"), "field": ("field", "listed"),
+    "short": ("ended",), "open": ("ended",), "ended": ("ended",), "inline": ("commas",),
+}
+#: The line sums, other than n and lines, that figures are made of.
+NEEDS = {
+    "punct_lines": ("ended",), "list_chars": ("list",), "open_list_chars": ("open_list",), "table_chars": ("table",), "record_chars": ("record",), "field_chars": ("field",),
+    "grid_chars": ("table", "record", "field"), "short_open_chars": ("short",), "open_chars": ("open",), "inline_list_chars": ("inline",),
+}
 
 
-_SUMS = ("n", "lines", "list", "open_list", "table", "record", "field", "short", "open", "ended", "inline")
+def _line(l: Column, parts: set[str]) -> Column:
+    """What one line looks like. Lambdas share no subexpressions, so each test is made here once, and combined in ``_add``."""
+    many = lambda ch: F.length(l) - F.length(F.replace(l, F.lit(ch)))
+    of = {
+        "listed": l.rlike(LIST_LINE), "ended": l.rlike(END_LINE), "bars": F.greatest(many("|"), many("\t")), "gaps": F.size(F.split(F.trim(l), " {2,}|　")),
+        "semis": F.size(F.split(l, r";(?=[^\s;])")), "tight": F.size(F.split(l, r",(?=[^\s,])")), "commas": many(",") + many("、"),
+        "grid": l.contains("</td>") | l.contains("<tr") | l.rlike(r"^[-+|=: ]{6,}$"), "field": l.rlike(FIELD_LINE), "digit": l.rlike(r"\d"),
+    }
+    n = F.length(F.regexp_replace(l, "[ \t　]+", "")).cast("double")
+    return F.struct(n.alias("n"), *[of[k].alias(k) for k in of if k in parts])
 
 
-def _add(a: Column, x: Column) -> Column:
-    n, ended = x["n"], x["ended"]
+def _adds(x: Column, sums: list[str]) -> dict[str, Column]:
+    n = x["n"]
     on = lambda c: F.when(c, n).otherwise(0.0)
     cells = F.greatest(x["bars"], x["gaps"] - 1, x["semis"] - 1, x["tight"] - 1)
-    more = {
-        "n": n, "lines": F.lit(1.0), "list": on(x["listed"]), "open_list": on(x["listed"] & ~ended), "table": on((cells >= 2) | x["grid"]),
-        "record": on(x["digit"] & ~ended & (cells >= 1)), "field": on(x["field"] & ~x["listed"]), "short": on((n <= 45) & ~ended), "open": on((n <= 90) & ~ended),
-        "ended": F.when(ended, 1.0).otherwise(0.0), "inline": on(x["commas"] >= 4),
+    each = {
+        "n": lambda: n, "lines": lambda: F.lit(1.0), "list": lambda: on(x["listed"]), "open_list": lambda: on(x["listed"] & ~x["ended"]), "table": lambda: on((cells >= 2) | x["grid"]),
+        "record": lambda: on(x["digit"] & ~x["ended"] & (cells >= 1)), "field": lambda: on(x["field"] & ~x["listed"]), "short": lambda: on((n <= 45) & ~x["ended"]), "open": lambda: on((n <= 90) & ~x["ended"]),
+        "ended": lambda: F.when(x["ended"], 1.0).otherwise(0.0), "inline": lambda: on(x["commas"] >= 4),
     }
-    return F.struct(*[(a[k] + more[k]).alias(k) for k in _SUMS])
+    return {k: each[k]() for k in sums}
 
 
-def line_sums(text: Column) -> Column:
-    """Sums of the line figures over the lines that are not blank."""
+def line_sums(text: Column, used: set[str] | None = None) -> Column:
+    """Sums of the line figures over the lines that are not blank; with ``used``, those that these figures are made of."""
+    sums = [k for k in SUMS if used is None or k in ("n", "lines") or any(k in NEEDS.get(u, ()) for u in used)]
+    parts = {p for k in sums for p in SUMS[k]}
     lines = F.filter(F.split(text, r"\n"), lambda l: F.trim(l) != "")
-    return F.aggregate(F.transform(lines, _line), F.struct(*[F.lit(0.0).alias(k) for k in _SUMS]), _add)
+
+    def add(a: Column, x: Column) -> Column:
+        more = _adds(x, sums)
+        return F.struct(*[(a[k] + more[k]).alias(k) for k in sums])
+
+    return F.aggregate(F.transform(lines, lambda l: _line(l, parts)), F.struct(*[F.lit(0.0).alias(k) for k in sums]), add)
 
 
 def figures(t: Column, s: Column) -> dict[str, Column]:
@@ -101,6 +121,7 @@ def figures(t: Column, s: Column) -> dict[str, Column]:
     low = F.lower(t)
     n = s["n"]
     words = _count(t, r"\S+")
+    # Naming a sum is not reading it: figures whose sums are not there are never selected.
     cjk = _chars(t, r"぀-ヿ㐀-鿿")
     gone = lambda p: _share(n - _solid(F.regexp_replace(t, p, "")), n)
     distinct = lambda c: F.size(F.array_distinct(c)).cast("double")
@@ -118,7 +139,7 @@ def figures(t: Column, s: Column) -> dict[str, Column]:
         "kana_ratio": _share(_chars(t, r"ぁ-ゖ"), cjk + 1),
         "punct_lines": _share(s["ended"], s["lines"]),
         "sentence_ends": _share(_count(t, SENTENCE_END) * 100, n),
-        "common_words": _share(_count(low, rf"(?:^|[^\p{{L}}\p{{N}}])(?:{_WORDS})(?![\p{{L}}\p{{N}}])"), words),
+        "common_words": _share(_count(low, rf"(?:^|\s)(?:{_WORDS})(?=[\s.,;:!?)]|$)"), words),
         "list_chars": _share(s["list"], n),
         "open_list_chars": _share(s["open_list"], n),
         "table_chars": _share(s["table"], n),
@@ -276,11 +297,16 @@ def case_sql(rules: list[Rule], default: str) -> str:
 SIZE = frozenset(("n_chars", "n_words", "n_lines", "distinct_terms"))
 
 
-def with_figures(docs: DataFrame) -> DataFrame:
-    """doc_id and the figures of each text that is not null and not blank. Figures that nobody selects are not computed."""
+def _texts(docs: DataFrame, used: set[str] | None = None) -> DataFrame:
+    """doc_id, t (the text with line feeds only), s (its line sums) of texts that are not null and not blank."""
     d = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", "text")
-    d = d.select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("t")).withColumn("s", line_sums(F.col("t")))
-    return d.select("doc_id", *[v.alias(k) for k, v in figures(F.col("t"), F.col("s")).items()])
+    d = d.select("doc_id", F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")).alias("t"))
+    return d.withColumn("s", line_sums(F.col("t"), used))
+
+
+def with_figures(docs: DataFrame) -> DataFrame:
+    """doc_id and the figures of each text that is not null and not blank."""
+    return _texts(docs).select("doc_id", *[v.alias(k) for k, v in figures(F.col("t"), F.col("s")).items()])
 
 
 def sample(labels: DataFrame, bound: int = LABELS) -> DataFrame:
@@ -301,4 +327,22 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELS, seed: int = 7
 def kinds(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> DataFrame:
     """doc_id, the figures, and kind by the learned rules; null and blank texts give no row."""
     rules, default = learn(docs, labels, bound)
-    return with_figures(docs).withColumn("kind", F.expr(case_sql(rules, default)))
+    return written(with_figures(docs), "figures").withColumn("kind", F.expr(case_sql(rules, default)))
+
+
+def only_kinds(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> DataFrame:
+    """doc_id, kind: the same rules, but their figures stand inside the CASE, so that one is computed only for texts that come to it.
+
+    Written, since a condition on kind would else be pushed down and compute
+    the figures twice.
+    """
+    rules, default = learn(docs, labels, bound)
+    used = {c.name for r in rules for c in r.conditions}
+    all_ = figures(F.col("t"), F.col("s"))
+    kind = F.lit(default)
+    for r in reversed(rules):
+        test = F.lit(True)
+        for c in r.conditions:
+            test = test & ((all_[c.name] > c.value) if c.above else (all_[c.name] <= c.value))
+        kind = F.when(test, F.lit(r.kind)).otherwise(kind)
+    return written(_texts(docs, used).select("doc_id", kind.alias("kind")), "kinds")

@@ -69,8 +69,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    got = quality.kinds(spread(_t(spark, d, "documents").select("doc_id", "text")), _t(spark, d, "quality_labels"))
-    return got.where("kind <> 'prose'").select("doc_id", "kind")
+    got = quality.only_kinds(spread(_t(spark, d, "documents").select("doc_id", "text")), _t(spark, d, "quality_labels"))
+    return got.where("kind <> 'prose'")
 
 
 def p9_figures(spark: SparkSession, d: str) -> DataFrame:

@@ -62,3 +62,11 @@ def test_no_labels_means_prose(spark):
     none = spark.createDataFrame([], "doc_id long, kind string, labeled_on date")
     assert [r["kind"] for r in Q.kinds(d, none).select("kind").collect()] == ["prose"]
     assert Q.kinds(d.limit(0), none).count() == 0
+
+
+def test_figures_inside_the_case_give_the_same_kinds(spark):
+    r = random.Random(9)
+    data = [(i, k, make(r, k)) for i, k in enumerate(r.choices(["prose", "list", "table", "junk"], [4, 2, 2, 1], k=120))]
+    labels = spark.createDataFrame([(i, k, None) for i, k, _ in data if i % 2], "doc_id long, kind string, labeled_on date")
+    d = docs(spark, [(i, t) for i, _, t in data])
+    assert sorted(Q.only_kinds(d, labels).collect()) == sorted(Q.kinds(d, labels).select("doc_id", "kind").collect())
