@@ -41,7 +41,7 @@ def _merged(pages: DataFrame) -> DataFrame:
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str]:
     """Index, adjacency and the page with most out-edges."""
-    pages = written(_pages(spark, d), "pages")
+    pages = _pages(spark, d)
     e = written(_merged(pages), "edges")
     start = e.groupBy("src_ref").count().orderBy(F.desc("count"), "src_ref").first()
     return _index(pages), written(graph.adjacency(e), "adj"), start[0] if start else ""
