@@ -49,7 +49,7 @@ def load_config(text: str) -> tuple[Config, list[str]]:
     data, issues = fm.parse_lines(text.replace("\r\n", "\n").split("\n"))
     wrong = [f"line {n}: {m}" for n, m in issues]
     c = Config()
-    wrong += [f"unknown key {k}" for k in data if k not in ("version", "topics", "types", "relations", "qmd", "vector")]
+    wrong += [f"unknown key {k}" for k in data if k not in ("version", "topics", "types", "relations", "vector")]
     topics = data.get("topics") or []
     for t in topics if isinstance(topics, list) else []:
         name = t.get("name") if isinstance(t, dict) else t
