@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -102,10 +103,29 @@ def rewrite_links(body: Column, mapping: dict[str, str]) -> Column:
     The mapping is the list of moved refs of one command and travels with the
     function; everything else of the text stays byte by byte.
     """
+    return _rewrite(body, mapping.get)
 
+
+def rewrite_topic_links(body: Column, old: str, new: str) -> Column:
+    """struct(text, count): links outside code to any ref of topic old, rewritten to topic new.
+
+    Only bodies that hold such a link at all are split at their code; of the
+    others the struct is as if they had been.
+    """
+    pattern = re.compile(rf"{re.escape(old)}(/[a-z0-9-]+/[a-z0-9-]+)")
+
+    def to(link: str) -> str | None:
+        m = pattern.fullmatch(link)
+        return new + m[1] if m else None
+
+    w = _rewrite(F.when(body.contains(f"[[{old}/"), body), to)
+    return F.struct(F.coalesce(w["text"], body).alias("text"), w["count"].alias("count"))
+
+
+def _rewrite(body: Column, to: Callable[[str], str | None]) -> Column:
     @F.pandas_udf("text string, count int")
     def rewrite(texts: pd.Series) -> pd.DataFrame:
-        got = [rewrite_py(t, mapping) if isinstance(t, str) else (None, 0) for t in texts]
+        got = [_rewrite_outside_code(t, to) if isinstance(t, str) else (None, 0) for t in texts]
         return pd.DataFrame(got, columns=["text", "count"])
 
     return rewrite(body)
@@ -116,15 +136,20 @@ _CODE = re.compile(r"(?:^ {0,3}(```|~~~).*?(?:^ {0,3}\1[^\n]*$|\Z))|(?:(?<!`)(`+
 
 
 def rewrite_py(text: str, mapping: dict[str, str]) -> tuple[str, int]:
-    """Split the text at its code spans and rewrite links in what lies between."""
+    return _rewrite_outside_code(text, mapping.get)
+
+
+def _rewrite_outside_code(text: str, to: Callable[[str], str | None]) -> tuple[str, int]:
+    """Split the text at its code spans and rewrite links in what lies between, where ``to`` has a new target."""
     out, at, count = [], 0, 0
 
     def one(m: re.Match) -> str:
         nonlocal count
-        if m[1] not in mapping:
+        new = to(m[1])
+        if new is None:
             return m[0]
         count += 1
-        return f"[[{mapping[m[1]]}]]"
+        return f"[[{new}]]"
 
     for m in _CODE.finditer(text):
         out += [re.sub(LINK, one, text[at : m.start()]), m[0]]

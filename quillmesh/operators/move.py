@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.refs import norm_ref
-from quillmesh.functions.text import rewrite_links
+from quillmesh.functions.text import rewrite_links, rewrite_topic_links
 
 _REF = re.compile(r"[a-z0-9-]+/[a-z0-9-]+/[a-z0-9-]+")
 
@@ -75,11 +75,11 @@ def topic_mapping(pages: DataFrame, old: str, new: str) -> dict[str, str]:
 
 
 def rename_topic(pages: DataFrame, old: str, new: str) -> DataFrame:
-    """All pages of a topic under a new one. The rule is the mapping, so nothing is gathered: refs, relations and links with that first part change."""
+    """All pages of a topic under a new one. The rule is the mapping, so nothing is gathered: refs, relations and links of bodies outside code with that first part change."""
     swap = lambda c: F.regexp_replace(c, f"^{re.escape(old)}/", f"{new}/")
     relations = F.transform("relations", lambda r: F.struct(r["rel"].alias("rel"), F.when(norm_ref(r["to"]).startswith(f"{old}/"), swap(norm_ref(r["to"]))).otherwise(r["to"]).alias("to")))
     moved = F.col("topic") == old
-    return pages.withColumns({"relations": relations, "ref": F.when(moved, swap(F.col("ref"))).otherwise(F.col("ref")), "topic": F.when(moved, new).otherwise(F.col("topic"))}).select(*pages.columns)
+    return pages.withColumns({"relations": relations, "body": rewrite_topic_links(F.col("body"), old, new)["text"], "ref": F.when(moved, swap(F.col("ref"))).otherwise(F.col("ref")), "topic": F.when(moved, new).otherwise(F.col("topic"))}).select(*pages.columns)
 
 
 def log_rows(spark, day: str, op: str, targets: list[str], detail: str, refs: DataFrame) -> DataFrame:

@@ -172,6 +172,10 @@ ORACLE["move_relabel"] = f"""with {MOVE}, z as (select pg.*, mv.old, ref = mv.ol
 _SWAP = "regexp_replace(lower(trim({})), '^caching/', 'cache-notes/')"
 ORACLE["topic_rename"] = f"""with {PG} select page_id, case when topic = 'caching' then {_SWAP.format('ref')} else ref end ref, case when topic = 'caching' then 'cache-notes' else topic end topic,
   array_to_string(list_transform(relations, lambda r: coalesce(case when starts_with(lower(trim(r.to)), 'caching/') then {_SWAP.format('r.to')} else r.to end, '')), ' ') targets from pg"""
+# A body as the list of its code spans, the links named, and runs of other characters.
+PIECES = r"regexp_extract_all(body, '(?ms)^ {0,3}```.*?(?:^ {0,3}```[^\n]*$|\z)|^ {0,3}~~~.*?(?:^ {0,3}~~~[^\n]*$|\z)|``[^\n]+?``|`[^`\n]+`|\[\[%s\]\]|[^\[`\n]+|.')"
+ORACLE["topic_rename_bodies"] = f"""with {PG}, z as (select page_id, {PIECES % "caching/[a-z0-9-]+/[a-z0-9-]+"} x from pg)
+  select page_id, md5(array_to_string(list_transform(x, lambda v: case when starts_with(v, '[[caching/') then '[[cache-notes/' || substr(v, 11) else v end), '')) body_md5, coalesce(len(list_filter(x, lambda v: starts_with(v, '[[caching/'))), 0) links from z"""
 ORACLE["oplog_lines"] = """with l as (select distinct on (op_id) * from oplog order by op_id, date, op, target, detail nulls first)
   select '- ' || coalesce(date::varchar, '') || ' [' || coalesce(op, '') || '] ' || coalesce(target, '') || case when coalesce(detail, '') <> '' then ' — ' || detail else '' end as value from l"""
 ORACLE["oplog_counts"] = "select lower(trim(op)) op, count(distinct op_id) ops, count(distinct lower(trim(target))) targets from oplog group by 1"

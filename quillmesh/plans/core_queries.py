@@ -402,6 +402,14 @@ def topic_rename(spark: SparkSession, d: str) -> DataFrame:
     return n.select("page_id", "ref", "topic", F.array_join(F.transform("relations", lambda r: F.coalesce(r["to"], F.lit(""))), " ").alias("targets"))
 
 
+@query
+def topic_rename_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies after the renaming of a topic, as hash, and how many of their links changed."""
+    links = tx.rewrite_topic_links(F.col("body"), "caching", "cache-notes")["count"].cast("long")
+    n = move.rename_topic(_pages(spark, d).withColumn("links", links), "caching", "cache-notes")
+    return n.select("page_id", F.md5("body").alias("body_md5"), "links")
+
+
 @query
 def oplog_lines(spark: SparkSession, d: str) -> DataFrame:
     """The log as lines, each operation once."""

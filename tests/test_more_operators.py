@@ -57,6 +57,14 @@ def test_move(spark, wiki, rows):
     assert rows(move.log_lines(log)) == [("- 2026-01-01 [ingest] t/concepts/b — batch",)]
 
 
+def test_topic_rename_rewrites_bodies(spark, rows):
+    body = "[[t/concepts/b]] `[[t/concepts/b]]` [[tt/concepts/b]] [[t/concepts/gone]] [[t/x]]\r\n~~~\n[[t/concepts/b]]\n~~~\n[[t/concepts/b|b]]"
+    c = overlay.corpus(pages(spark, [("global", "t/concepts/b", "B", None, None), ("global", "u/concepts/a", "A", [("uses", "t/concepts/b")], body), ("project", "u/concepts/c", "C", None, "")]))
+    n = {r["ref"]: r["body"] for r in move.rename_topic(c, "t", "v").collect()}
+    assert n["u/concepts/a"] == "[[v/concepts/b]] `[[t/concepts/b]]` [[tt/concepts/b]] [[v/concepts/gone]] [[t/x]]\r\n~~~\n[[t/concepts/b]]\n~~~\n[[t/concepts/b|b]]"
+    assert n["v/concepts/b"] is None and n["u/concepts/c"] == ""
+
+
 def test_pack(spark, wiki):
     c = overlay.merge_index(overlay.corpus(wiki).drop("page_id", "ingested_at"))
     sizes = {r["ref"]: r["size"] for r in pack.sizes(c).collect()}
