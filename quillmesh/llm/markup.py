@@ -18,7 +18,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.entities import html5
 
@@ -46,6 +47,16 @@ COMMANDS = frozenset(
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SILENT = frozenset(("script", "style", "head", "template"))
 
+#: Commands whose argument is a name, not text.
+SILENT_COMMANDS = frozenset(("label", "cite", "ref", "citep", "citet", "eqref", "usepackage", "documentclass", "includegraphics"))
+#: Several keys of one argument, which may go on over lines.
+KEYS = re.compile(r"\s*(?:[^\s,{}]+\s*,\s*)*[^\s,{}]+\s*")
+BLANK_LINE = re.compile(r"\n[ \t]*\n")
+BRACES = re.compile(r"[{}\n]")
+
+#: HTML containers in which the text of a list item or heading may stand.
+PLAIN = frozenset("<" + t for t in "address article center div header main p section".split())
+
 #: Containers nested deeper than this are read as if they stood side by side; their text is kept.
 DEPTH = 150
 
@@ -213,7 +224,7 @@ class Parse:
             return text
         heads = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
         text = self._sub(ENVIRONMENT, "latex", lambda m: "\n", text)
-        out, at = [], 0
+        out, at, closed = [], 0, self._arguments(text)
         for m in COMMAND.finditer(text):
             name = m[1].rstrip("*")
             if m.start() < at or not (m[3] or name in COMMANDS):
@@ -221,11 +232,20 @@ class Parse:
             self.families.add("latex")
             out.append(text[at : m.start()])
             if m[3]:
-                end = text.find("}", m.end())
-                body, at = (text[m.end() :], len(text)) if end < 0 else (text[m.end() : end], end + 1)
+                end = closed(m.end(), name in SILENT_COMMANDS)
+                if end < 0:
+                    # Never closed: what stands on the line is kept.
+                    end = text.find("\n", m.end())
+                    end = len(text) if end < 0 else end
+                    body, at = text[m.end() : end], end
+                    if name not in heads and name not in COMMANDS and name not in ("frac", "sqrt", "sum"):
+                        at = m.end()
+                        continue
+                else:
+                    body, at = text[m.end() : end], end + 1
                 if name in heads:
                     out.append(f"\n\ue005{heads[name]}\ue005{body}\n")
-                elif name in ("label", "cite", "ref", "citep", "citet", "eqref", "usepackage", "documentclass", "includegraphics"):
+                elif name in SILENT_COMMANDS:
                     pass
                 elif name in ("frac", "sqrt", "sum") or name in COMMANDS:
                     out.append(self._formula(text[m.start() : at]))
@@ -240,6 +260,34 @@ class Parse:
         out.append(text[at:])
         return "".join(out)
 
+    @staticmethod
+    def _arguments(text: str) -> Callable[[int, bool], int]:
+        """A function of where an argument begins: where it is closed, or -1 if it is not within its paragraph.
+
+        What a silent command names is dropped, so its brace must close on the
+        line, inner braces in pairs, or hold nothing but keys.
+        """
+        blanks = [m.start() for m in BLANK_LINE.finditer(text)]
+        pairs, opened = {}, []
+        for m in BRACES.finditer(text):
+            if m[0] == "{":
+                opened.append(m.end())
+            elif m[0] == "\n":
+                opened.clear()
+            elif opened:
+                pairs[opened.pop()] = m.start()
+
+        def closed(at: int, silent: bool) -> int:
+            if at in pairs and silent:
+                return pairs[at]
+            end = text.find("}", at)
+            k = bisect_left(blanks, at)
+            if end < 0 or k < len(blanks) and blanks[k] < end or silent and not KEYS.fullmatch(text, at, end):
+                return -1
+            return end
+
+        return closed
+
     def _wiki(self, text: str) -> str:
         if "{|" in text:
             text = self._sub(WIKI_TABLE, "wiki", lambda m: "\n" + self._table(m[1]) + "\n", text)
@@ -318,6 +366,14 @@ class Parse:
                             del stack[k:]
                             break
                 else:
+                    if name == "li":
+                        # The next item closes the one before it in the same list.
+                        for k in range(len(stack) - 1, 0, -1):
+                            if stack[k].kind == "<li":
+                                del stack[k:]
+                                break
+                            if stack[k].kind not in ("<address", "<div", "<p"):
+                                break
                     node = Node("<" + name)
                     stack[-1].children.append(node)
                     if len(stack) < DEPTH:
@@ -381,27 +437,47 @@ class Parse:
         return number in (0, 1) or any(re.match(r"\s*\d+[.)]\s", x) for x in near)
 
 
-def render(node: Node, drop: frozenset | set, out: list[str] | None = None) -> str:
+def render(node: Node, drop: frozenset | set) -> str:
     """Clean text of a tree without the subtrees whose digests are in drop."""
-    out = [] if out is None else out
-    for c in node.children:
+    out: list[str] = []
+    _render(node.children, drop, out, 0)
+    return "\n".join(out)
+
+
+def _render(children: list[Node], drop: frozenset | set, out: list[str], depth: int) -> None:
+    for c in children:
         if c.digest in drop:
             continue
         if c.kind == "heading":
             out.append("\u00a7" * max(1, c.level) + " " + c.text)
         elif c.kind == "item":
-            out.append("  " * c.level + "\u2022 " + c.text)
+            out.append("  " * (c.level + depth) + "\u2022 " + c.text)
         elif c.kind == "code":
             out.append("\u300e\n" + c.text + "\n\u300f")
         elif re.fullmatch(r"<h[1-6]", c.kind):
-            out.append("\u00a7" * int(c.kind[2]) + " " + " ".join(x.text for x in c.children))
+            text, rest = _lead(c.children, drop)
+            if text:
+                out.append("\u00a7" * int(c.kind[2]) + " " + text)
+            _render(rest, drop, out, depth)
         elif c.kind == "<li":
-            out.append("\u2022 " + " ".join(x.text for x in c.children))
+            text, rest = _lead(c.children, drop)
+            if text or rest and rest[0].kind not in ("<ul", "<ol"):
+                out.append("  " * depth + ("\u2022 " + text).rstrip())
+            _render(rest, drop, out, depth + 1)
         elif c.kind[0] == "<":
-            render(c, drop, out)
+            _render(c.children, drop, out, depth)
         elif c.text:
             out.append(c.text)
-    return "\n".join(out)
+
+
+def _lead(children: list[Node], drop: frozenset | set) -> tuple[str, list[Node]]:
+    """The text with which a list item or heading begins, and the blocks after it, without what is in drop."""
+    left = [c for c in children if c.digest not in drop]
+    k = next((i for i, c in enumerate(left) if c.kind not in ("paragraph", "quote", "row", "note")), len(left))
+    if k or not left or left[0].kind not in PLAIN:
+        return " ".join(c.text for c in left[:k]), left[k:]
+    text, rest = _lead(left[0].children, drop)
+    return text, rest + left[1:]
 
 
 def subtrees(node: Node) -> Iterator[str]:

@@ -31,6 +31,28 @@ def test_clean_text_keeps_structure():
     assert clean.split("\n") == ["§§ Head", "A bold & name word", "• one", "  • two", "『", "x = a_b_c", "』", "⟦n^2⟧ and", "§§ Part", "a | b", "1 | 2"]
 
 
+KEPT = [
+    ("<ul><li><p>one</p><p>two</p></li></ul>", "• one\ntwo"),
+    ("<ul><li>a<ul><li>b</li></ul>c</li><li>d</li></ul>", "• a\n  • b\nc\n• d"),
+    ("<ul><li>a<li>b<ul><li>c<li>d</ul><li><p>e</ul>after", "• a\n• b\n  • c\n  • d\n• e\nafter"),
+    ("<h2><div>Head</div></h2><h3>Open<p>text", "§§ Head\n§§§ Open\ntext"),
+    ("a \\cite{k1,\n  k2} b \\label{x_{1}} c", "a  b  c"),
+    ("a \\cite{key and more\nnext line\n\nlast } end", "a key and more\nnext line\nlast } end"),
+    ("a \\ref{open \\textbf{x} b", "a open x b"),
+    ("\\section{Open head\nrest", "§§ Open head\nrest"),
+]
+
+
+@pytest.mark.parametrize(("text", "clean"), KEPT)
+def test_no_text_is_lost(text, clean):
+    assert M.render(M.Parse(text).root, frozenset()) == clean
+
+
+def test_template_inside_an_item_is_deleted():
+    root = M.Parse("<ul><li>own <p>shared</p></li><li><p>shared</p></li></ul>").root
+    assert M.render(root, {M.Parse("<p>shared</p>").root.children[0].digest}) == "• own"
+
+
 def test_very_long_and_nested_texts_end():
     for t in ("*" * 50_000, "[" * 20_000, "<div>" * 2_000, "{{" * 5_000, "`" * 9_999, "$a " * 9_000, "== " * 9_000, "word " * 60_000):
         M.render(M.Parse(t).root, frozenset())
@@ -46,6 +68,11 @@ def test_found(spark, rows):
     assert M.markup_found(p.limit(0), "page_id", ["body"]).count() == 0
 
 
+def test_open_commands_end_in_time():
+    for t in ("\\cite{" * 20_000 + "}", "\\emph{" * 20_000 + "\n\n}", "<li>" * 9_000):
+        M.render(M.Parse(t).root, frozenset())
+
+
 def test_site_template_is_deleted(spark):
     nav = "<div><ul><li>Home</li><li>Login</li></ul></div>\n"
     p = pages(spark, [(i, "s", nav + f"<p>text {i}</p>\n## Same", None) for i in range(20)] + [(100, None, nav + "alone", None)])
