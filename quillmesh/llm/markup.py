@@ -4,8 +4,8 @@ A text is parsed into a forest of blocks (headings, list items, quotes, code,
 formulas, tables, templates, paragraphs; HTML containers nest).  Each subtree
 has a hash of its kind, its text and its children's hashes.  Spark counts per
 host on how many pages a subtree occurs; subtrees that recur on a large share
-of a host's pages are the site's template and are deleted.  What remains is
-rendered.  Which markup families a text holds comes from the same parse.
+of a host's pages, and large ones that recur on a small share, are the site's
+template and are deleted.  What remains is rendered.  Which markup families a text holds comes from the same parse.
 
 Rendered text marks structure by signs of its own: ``\u00a7`` (once per level)
 before a heading, ``\u2022`` before a list item (two blanks per level), ``|``
@@ -57,6 +57,11 @@ BRACES = re.compile(r"[{}\n]")
 #: HTML containers in which the text of a list item or heading may stand.
 PLAIN = frozenset("<" + t for t in "address article center div header main p section".split())
 
+#: Containers that hold a page's furniture, and the characters that make another text a block of its own.
+FURNITURE = frozenset(("<nav", "<header", "<footer", "<aside"))
+BLOCK_CHARS = 40
+FORMULA_ONLY = re.compile("\u27e6[^\u27e6\u27e7]*\u27e7")
+
 #: Containers nested deeper than this are read as if they stood side by side; their text is kept.
 DEPTH = 150
 
@@ -486,35 +491,73 @@ def subtrees(node: Node) -> Iterator[str]:
         yield from subtrees(c)
 
 
-PARSED = T.StructType([T.StructField("families", T.ArrayType(T.StringType())), T.StructField("subtrees", T.ArrayType(T.StringType()))])
+def blocks(node: Node) -> Iterator[str]:
+    """Digests of the subtrees that are too much to recur by chance.
+
+    Page furniture of HTML, other containers of three texts or BLOCK_CHARS
+    characters, and single texts as long; no headings, code or formulas.
+    """
+    for c in node.children:
+        if c.kind not in ("heading", "code") and not re.fullmatch(r"<h[1-6]", c.kind) and not FORMULA_ONLY.fullmatch(c.text):
+            texts = [t for t in _texts(c) if t]
+            if c.kind in FURNITURE and texts or c.kind[0] == "<" and len(texts) >= 3 or sum(map(len, texts)) >= BLOCK_CHARS:
+                yield c.digest
+        yield from blocks(c)
+
+
+def _texts(node: Node) -> Iterator[str]:
+    """The texts of a subtree but those of headings, code and formulas."""
+    if node.kind not in ("heading", "code") and not re.fullmatch(r"<h[1-6]", node.kind):
+        if not FORMULA_ONLY.fullmatch(node.text):
+            yield node.text
+        for c in node.children:
+            yield from _texts(c)
+
+
+PARSED = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("families", "subtrees", "blocks")])
 
 
 @F.pandas_udf(PARSED)
 def parse_udf(texts: pd.Series) -> pd.DataFrame:
-    """Families (in fixed order) and distinct subtree hashes of each text; equal texts of a batch are parsed once."""
+    """Families (in fixed order), distinct subtree hashes of each text, and which of them are blocks; equal texts of a batch are parsed once."""
     codes, values = pd.factorize(texts, use_na_sentinel=False)
     got = []
     for v in values:
         p = Parse(v if isinstance(v, str) else None)
-        got.append(([f for f in FAMILIES if f in p.families], list(dict.fromkeys(subtrees(p.root)))))
-    return pd.DataFrame({"families": [got[k][0] for k in codes], "subtrees": [got[k][1] for k in codes]})
+        got.append(([f for f in FAMILIES if f in p.families], list(dict.fromkeys(subtrees(p.root))), list(dict.fromkeys(blocks(p.root)))))
+    return pd.DataFrame({f.name: [got[k][i] for k in codes] for i, f in enumerate(PARSED.fields)})
 
 
 #: Declared nondeterministic so that the condition which an explode of the families brings does not parse every text twice.
 parse_udf = parse_udf.asNondeterministic()
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def families_udf(texts: pd.Series) -> pd.Series:
+    """The families alone; equal texts of a batch are parsed once."""
+    codes, values = pd.factorize(texts, use_na_sentinel=False)
+    got = [[f for f in FAMILIES if f in p.families] for p in (Parse(v if isinstance(v, str) else None) for v in values)]
+    return pd.Series([got[k] for k in codes], dtype=object)
+
+
+families_udf = families_udf.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def clean_udf(texts: pd.Series, drop: pd.Series) -> pd.Series:
     """The clean text without the subtrees listed; null stays null."""
     return pd.Series([None if not isinstance(t, str) else render(Parse(t).root, frozenset(d) if d is not None else frozenset()) for t, d in zip(texts, drop, strict=True)], dtype=object)
 
 
-def parsed(df: DataFrame, key: Column, fields: list[str], host: Column) -> DataFrame:
-    """key, host, field, text, families, subtrees: one row for each given field with a text; equal rows count once."""
+def texts(df: DataFrame, key: Column, fields: list[str], host: Column) -> DataFrame:
+    """key, host, field, text: one row for each given field with a text."""
     long = df.select(key.alias("key"), host.alias("host"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
-    long = long.select("key", "host", "x.field", "x.text").where("key is not null and text is not null and text <> ''")
-    return long.withColumn("p", parse_udf("text")).select("key", "host", "field", "text", "p.families", "p.subtrees")
+    return long.select("key", "host", "x.field", "x.text").where("key is not null and text is not null and text <> ''")
+
+
+def parsed(df: DataFrame, key: Column, fields: list[str], host: Column) -> DataFrame:
+    """key, host, field, text, families, subtrees, blocks: one row for each given field with a text; equal rows count once."""
+    return texts(df, key, fields, host).withColumn("p", parse_udf("text")).select("key", "host", "field", "text", "p.families", "p.subtrees", "p.blocks")
 
 
 def markup_found(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -522,32 +565,35 @@ def markup_found(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
     Null and empty texts hold none.  Repeated rows give one.
     """
-    return (
-        parsed(df, F.col(key), fields, F.lit("")).select(F.col("key").alias(key), "field", F.explode("families").alias("family")).distinct()
-    )
+    found = texts(df, F.col(key), fields, F.lit("")).withColumn("families", families_udf("text"))
+    return found.select(F.col("key").alias(key), "field", F.explode("families").alias("family")).distinct()
 
 
-def site_templates(parts: DataFrame, min_pages: int = 8, min_share: float = 0.4) -> DataFrame:
+def site_templates(parts: DataFrame, min_pages: int = 8, min_share: float = 0.4, block_share: float = 0.02) -> DataFrame:
     """host, drop: the subtree hashes that recur on min_share of the host's pages, and on min_pages at least.
 
-    Pages of a host are counted map side first, so one host may hold any share
-    of all rows.  A host has at most (subtrees a page / min_share) template
-    subtrees, so the array of a host stays small whatever the number of pages.
+    For blocks, which do not recur by chance, block_share is enough, so that
+    the template of a part of a large host goes too.  Pages of a host are
+    counted map side first, so one host may hold any share of all rows.  A
+    host has at most (subtrees a page / block_share) template subtrees, so the
+    array of a host stays small whatever the number of pages.
     """
-    one = parts.groupBy("host", "key").agg(F.array_distinct(F.flatten(F.collect_set("subtrees"))).alias("s"))
-    per = one.select("host", F.explode("s").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    marked = F.transform("subtrees", lambda h: F.struct(h.alias("h"), F.array_contains("blocks", h).alias("block")))
+    one = parts.groupBy("host", "key").agg(F.array_distinct(F.flatten(F.collect_set(marked))).alias("s"))
+    per = one.select("host", F.explode("s").alias("x")).groupBy("host", "x.h", "x.block").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     pages = one.groupBy("host").agg(F.count("*").alias("pages"))
-    return per.join(pages, "host").where(F.col("n") >= F.col("pages") * min_share).groupBy("host").agg(F.collect_set("h").alias("drop"))
+    share = F.when(F.col("block"), min(block_share, min_share)).otherwise(min_share)
+    return per.join(pages, "host").where(F.col("n") >= F.col("pages") * share).groupBy("host").agg(F.collect_set("h").alias("drop"))
 
 
-def clean_text(df: DataFrame, key: str, fields: list[str], host: Column, min_pages: int = 8, min_share: float = 0.4) -> DataFrame:
+def clean_text(df: DataFrame, key: str, fields: list[str], host: Column, min_pages: int = 8, min_share: float = 0.4, block_share: float = 0.02) -> DataFrame:
     """key, field, family list, clean text with the host's template subtrees deleted.
 
     A null host is a host of its own.  Texts that are empty or null give no
     row; a text that is nothing but template gives an empty clean text.
     """
     parts = parsed(df, F.col(key), fields, F.coalesce(host, F.lit("")))
-    drop = site_templates(parts, min_pages, min_share)
+    drop = site_templates(parts, min_pages, min_share, block_share)
     rows = parts.select("key", "host", "field", "text", "families").dropDuplicates(["key", "field"])
     out = rows.join(drop, "host", "left").select(
         F.col("key").alias(key), "field", F.array_join("families", ",").alias("families"), clean_udf("text", F.coalesce("drop", F.array().cast("array<string>"))).alias("clean")

@@ -78,3 +78,16 @@ def test_site_template_is_deleted(spark):
     p = pages(spark, [(i, "s", nav + f"<p>text {i}</p>\n## Same", None) for i in range(20)] + [(100, None, nav + "alone", None)])
     got = {r["page_id"]: r["clean"] for r in M.clean_text(p, "page_id", ["body", "summary"], F.col("site"), min_pages=8, min_share=0.9).collect()}
     assert got[3] == "text 3" and "Home" in got[100] and "alone" in got[100]
+
+
+def test_template_of_a_part_of_a_host_is_deleted(spark):
+    nav = "<ul><li>Home</li><li>Index</li><li>Login</li></ul>\n<footer>(c) us</footer>\n"
+    note = "This page is kept by the group that runs the service.\n\n"
+    usual = "## See also\n\n- index\n\n```\nrun the whole job with all of its usual options\n```\n\n$a_1 + a_2 + a_3 + a_4 + a_5 + a_6 + a_7 + a_8 + a_9$\n\n"
+    p = pages(spark, [(i, "s", (nav + note if i < 25 else nav * (i < 32)) + (usual if i % 3 == 0 else "") + f"text {i}", None) for i in range(100)])
+    got = {r["page_id"]: r["clean"] for r in M.clean_text(p, "page_id", ["body", "summary"], F.col("site")).collect()}
+    assert got[1] == "text 1" and got[31] == "text 31"
+    assert got[0] == got[99].replace("99", "0") and got[99].startswith("§§ See also\n• index\n『\nrun the whole job")
+    # On fewer than eight pages nothing is template.
+    few = M.clean_text(p.where("page_id < 7"), "page_id", ["body"], F.col("site")).collect()
+    assert all("Home" in r["clean"] for r in few)
