@@ -159,6 +159,15 @@ ORACLE["hybrid_rrf"] = f"""with {PG}, {IX}, {scored('glossary recall', False)},
   l as (select ref, row_number() over (order by round_even(score, 2) desc, ref) pos from (select ref, score from sc where score > 0 order by score desc, ref limit 20)),
   v as (select p.ref, row_number() over (order by t.score desc, t.vec_id) pos from (select * from vs order by score desc, vec_id limit 20) t join pg p on p.page_id = t.vec_id)
   select ref, round(sum(1 / (60::double + pos)), 9) score from (select * from l union all select * from v) group by ref order by 2 desc, 1 limit 10"""
+NEAREST = """vp as (select a.vec_id query, b.vec_id, b.label, round(list_cosine_similarity(b.embedding::double[], a.embedding::double[]), 6) score from embeddings a cross join embeddings b where a.vec_id % 100 = 0),
+  vn as (select *, row_number() over (partition by query order by score desc, vec_id) n from vp)"""
+ORACLE["vector_topk_batch"] = f"with {NEAREST} select query, vec_id, score from vn where n <= 20"
+ORACLE["vector_chunk_dedupe_batch"] = f"with {NEAREST} select query, 'vectors/chunks/page-' || label ref, max(score) score, min(vec_id) as rank from vn where n <= 50 group by query, label"
+ORACLE["hybrid_rrf_batch"] = f"""with {PG}, {IX}, {scored('glossary recall', False)}, {NEAREST},
+  l as (select ref, row_number() over (order by round_even(score, 2) desc, ref) pos from (select ref, score from sc where score > 0 order by score desc, ref limit 20)),
+  v as (select query, p.ref, row_number() over (partition by query order by t.score desc, t.vec_id) pos from vn t join pg p on p.page_id = t.vec_id where t.n <= 20),
+  f as (select query, ref, round(sum(1 / (60::double + pos)), 9) score from (select q.query, l.* from l cross join (select distinct query from vn) q union all select * from v) group by query, ref)
+  select query, ref, score from (select *, row_number() over (partition by query order by score desc, ref) k from f) where k <= 10"""
 ORACLE["recall_at_k"] = f"with {PG}, {IX}, " + ", ".join(
     f"r{i} as (with {scored(t, False)} select '{k}' kind, (select count(*) from (select ref from sc where score > 0 order by score desc, ref limit 10) f where f.ref in (select ref from ix where list_contains(keywords, '{t}')))::double / nullif((select count(*) from ix where list_contains(keywords, '{t}')), 0) r)"
     for i, k, t in RECALL

@@ -365,6 +365,37 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return vector.reciprocal_rank_fusion([lex, _ranked(near, [F.desc("score"), "vec_id"])], "ref", 10)
 
 
+def _nearest(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the k nearest of every vector whose number is divisible by 100."""
+    v = _t(spark, d, "embeddings")
+    return v, vector.top_k_batch(v, "vec_id", "embedding", v.where("vec_id % 100 = 0"), k)
+
+
+@query
+def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d, 20)[1]
+
+
+@query
+def vector_chunk_dedupe_batch(spark: SparkSession, d: str) -> DataFrame:
+    v, top = _nearest(spark, d, 50)
+    path = F.concat(F.lit("/w/topics/vectors/pages/chunks/page-"), F.col("label").cast("string"), F.lit(".md"))
+    hits = top.join(v.select("vec_id", "label"), "vec_id").select("query", F.lit("global").alias("layer"), path.alias("path"), "score", F.col("vec_id").alias("rank"))
+    return vector.chunk_hits_to_refs(hits, {"global": "/w"}, by=("query",)).select("query", "ref", "score", "rank")
+
+
+@query
+def hybrid_rrf_batch(spark: SparkSession, d: str) -> DataFrame:
+    """One lexical result fused with the vector result of every query."""
+    from pyspark.sql import Window
+
+    top = written(_nearest(spark, d, 20)[1], "top")
+    lex = _ranked(search.search(_search_index(spark, d, False), "glossary recall", 20, False).select("ref", F.bround("score", 2).alias("s")), [F.desc("s"), "ref"])
+    near = top.join(_pages(spark, d).select(F.col("page_id").alias("vec_id"), "ref"), "vec_id")
+    near = near.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+    return vector.reciprocal_rank_fusion([top.select("query").distinct().crossJoin(F.broadcast(lex)), near], "ref", 10, by=("query",))
+
+
 @query
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Share of the pages with a keyword among the first ten found for it."""

@@ -87,6 +87,15 @@ def test_vectors(spark, rows):
     assert rows(vector.chunk_hits_to_refs(h, {"global": "/w", "project": "/p"}), "ref", "score", "layer") == [("t/a/x", 0.9, "project")]
 
 
+def test_vectors_in_batch(spark, rows):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [2.0, 0.0]), (7, [0.0, 1.0]), (8, [None, 1.0])], "id long, e array<float>").repartition(3)
+    got = rows(vector.top_k_batch(v, "id", "e", v, 3))
+    assert got == rows(vector.top_k_batch(v, "id", "e", v, 3, block=2)) and {r[0] for r in got} == {1, 2, 5, 6, 7}
+    for q, e in [(r["id"], r["e"]) for r in v.where("id in (1, 2, 5, 6, 7)").collect()]:
+        assert [r[1:] for r in sorted(got, key=lambda r: (-r[2], r[1])) if r[0] == q] == [tuple(r) for r in vector.top_k(v, "id", "e", e, 3).collect()]
+    assert vector.top_k_batch(v, "id", "e", v.limit(0), 3).count() == 0
+
+
 def test_diff_and_quick(spark, rows):
     t = lambda d: spark.createDataFrame(d, "topic string, ref string, hash string")
     ch = build.diff(t([("t", "a", "1"), ("t", "b", "1"), ("t", "n", None)]), t([("t", "b", "2"), ("t", "c", "1"), ("t", "n", None)]), ["topic", "ref"])
