@@ -110,18 +110,23 @@ class IncrementalRun:
         return sorted(self._entries.values(), key=lambda e: e.seq)
 
     def checksums(self, files: list[tuple[str, int]]) -> dict[str, str]:
-        """Content checksum of each file: rows and the sum of their hashes, computed where the files are read.
+        """Content checksum of each file: rows and the sum of their hashes, computed where the files are read; "0" for files without rows.
 
         One row a file reaches the driver, which holds the listing anyway.
         """
         d = self._read("source", *[p for p, _ in files])
         h = F.xxhash64(*[F.col(f"`{c}`") for c in d.columns])
-        got = d.select(F.input_file_name().alias("p"), h.alias("h")).groupBy("p").agg(
+        got = d.select(d.metadataColumn("_metadata")["file_path"].alias("p"), h.alias("h")).groupBy("p").agg(
             F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("s"), F.max("h").alias("m")
         )
-        name = lambda p: p.rsplit("/", 2)[-2:]
-        by = {tuple(name(r["p"])): f"{r['n']}:{r['s']}:{r['m']}" for r in got.collect()}
-        return {p: by.get(tuple(name(p)), "0") for p, _ in files}
+        # The file's own name is URL-encoded, the listing is not.
+        jvm = self.spark._jvm
+        name = lambda u: jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(u)).toString()
+        by = {name(r["p"]): f"{r['n']}:{r['s']}:{r['m']}" for r in got.collect()}
+        empty = [p for p, _ in files if p not in by]
+        if empty and not self._read("source", *empty).isEmpty():
+            raise RuntimeError(f"files with rows but no checksum among {empty[:10]}")
+        return {p: by.get(p, "0") for p, _ in files}
 
     def new_files(self, entries: list[Entry], want=lambda p: True) -> list[list]:
         """The listing without what the manifest has."""

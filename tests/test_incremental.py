@@ -1,3 +1,4 @@
+import pathlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -65,6 +66,27 @@ def test_same_content_under_another_name_and_late_versions(spark, rows):
     assert ("x", "5", False) in rows(got, "k", "v", "changed")
 
 
+def test_names_that_are_encoded_in_urls(spark, rows):
+    home = workspace(spark, "test")
+    put(spark, home, "at 10%3A00", [("x", "1", 1)])
+    job(spark, home).run("b1")
+    put(spark, home, "at 11%3A00", [("x", "2", 2)])
+    assert rows(job(spark, home).run("b2"), "k", "v", "changed") == [("x", "2", True)]
+    assert all(s != "0" for e in job(spark, home).entries() for _, _, s in e.files)
+
+
+def test_equal_names_below_other_folders(spark):
+    home = workspace(spark, "test")
+    for year, v in (("2024", "1"), ("2025", "2")):
+        put(spark, home, f"{year}/01", [("x", v, 1)])
+        (part,) = (pathlib.Path(home.removeprefix("file://")) / "in" / year / "01").glob("*.parquet")
+        part.rename(part.with_name("part-0.parquet"))
+    put(spark, home, "none", [])
+    j = job(spark, home)
+    got = j.checksums(I.list_files(spark, f"{home}/in"))
+    assert len(set(got.values())) == 3 and [s == "0" for p, s in sorted(got.items())] == [False, False, True]
+
+
 def test_compaction_keeps_the_state(spark, rows):
     home = workspace(spark, "test")
     j = job(spark, home)
