@@ -1,31 +1,37 @@
 """Processing only new or changed records: a manifest of processed input files, anti-joined with each listing.
 
-A run lists the input folder, drops the files that the manifest of committed
-batches already has (by path and size, then by checksum of the content, so
-that a file delivered again under another name is no news), reduces the rows
-of the new files to one state per key, compares them with the committed state
-and writes one batch, in a folder named by the batch identifier that a retry
-overwrites.  The manifest entry of the batch is written last, as one rename.
-Without its entry a batch does not exist: a run that fails at any point leaves
-nothing behind that a later run would skip or repeat.
+A run lists the input folder with Spark, anti-joins the listing with the
+manifest of committed batches by path and size, and stages the rows of what is
+left in one pass that also yields a checksum of each file's content; a file
+whose size and checksum the manifest has under another name is no news.  The
+staged rows are reduced to one state per key and compared with the committed
+state, which is bucketed by key and never shuffled.  The batch is written to a
+folder named by the batch identifier that a retry overwrites, its files go to
+the manifest, and last its commit entry is put there, as one rename.  Without
+its entry a batch does not exist: a run that fails at any point leaves nothing
+behind that a later run would skip or repeat.
 
 Layout under ``home``: batches/<id> (key, state, order columns, changed),
-base/<id> (compacted state), manifest/<id>.json (one per committed batch).
+base/<id> (compacted state), files/<id> (path, size, checksum of the input
+files), manifest/<seq>-<id>.json (one per committed batch).
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.refs import norm_hash, norm_ref
-from quillmesh.session import workspace
+from quillmesh.operators import bucketed
+from quillmesh.session import buckets, remove, workspace
 
-#: Committed batches after which the state is written anew as one table.
+#: Committed batches after which the state and the list of files are written anew as one table.
 COMPACT_EVERY = 8
+FILES = "path string, size long, checksum string"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -33,29 +39,38 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def list_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[tuple[str, int]]:
-    """(path, size) of every data file below path, in order of path; names that begin with a dot or underscore are left out.
+def listing(spark: SparkSession, path: str, suffix: str = ".parquet") -> DataFrame:
+    """path, uri, size of every data file below path; names that begin with a dot or underscore are left out.
 
-    Spark lists, in parallel where there are many folders, and reads no content.
+    Spark lists, in parallel where there are many folders, and reads no
+    content.  ``uri`` is the path as a scan of the file reports it, so that
+    rows and listing meet whatever signs a name holds.
     """
     fs, p = _fs(spark, path)
     if not fs.exists(p):
-        return []
+        return spark.createDataFrame([], "path string, uri string, size long")
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
-    return sorted((r["path"], r["length"]) for r in d.select("path", "length").collect())
+    return d.select("path", d.metadataColumn("_metadata")["file_path"].alias("uri"), F.col("length").alias("size"))
+
+
+def literal(path: str) -> str:
+    """A path whose signs are not taken for a pattern of names."""
+    return "".join("\\" + c if c in "[]{}*?\\" else c for c in path)
 
 
 def write_once(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file under another name and rename it: a reader sees all of it or nothing."""
+    """Write a small file under another name and rename it over the target: a reader sees the old or the new text, whole."""
+    jvm = spark._jvm
     fs, p = _fs(spark, path)
     fs.mkdirs(p.getParent())
-    tmp = spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.tmp")
+    tmp = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.tmp")
     o = fs.create(tmp, True)
     o.write(bytearray(text.encode()))
     o.close()
-    fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"cannot commit {path}")
+    ctx = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    ctx.rename(fs.makeQualified(tmp), fs.makeQualified(p), over)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -69,12 +84,14 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 @dataclass
 class Entry:
-    """One committed batch: its files as (path, size, checksum), and the compacted base it belongs to."""
+    """One committed batch; ``base`` and ``files_base`` name the compacted tables that hold it and all before it."""
 
     batch: str
     seq: int
-    files: list[list] = field(default_factory=list)
+    schema: str
+    buckets: int
     base: str | None = None
+    files_base: str | None = None
 
 
 class IncrementalRun:
@@ -82,21 +99,16 @@ class IncrementalRun:
 
     keys: key columns; value: the column whose change counts; order: columns
     that order the versions of one key.  Rows must come with exactly these
-    columns; ``prepare`` makes them from the rows of the input files.
+    columns; ``prepare`` makes them from the rows of the input files.  Keys
+    must not be null.  One run at a time.
     """
 
-    def __init__(self, spark: SparkSession, source: str, home: str, keys: list[str], value: str, order: list[str], prepare=lambda d: d):
+    def __init__(self, spark: SparkSession, source: str, home: str, keys: list[str], value: str, order: list[str], prepare=lambda d: d, n_buckets: int | None = None):
         self.spark, self.source, self.home = spark, source.rstrip("/"), home.rstrip("/")
         self.keys, self.value, self.order, self.prepare = keys, value, order, prepare
-        self._schemas: dict[str, object] = {}
+        self._n = n_buckets
         self._entries: dict[str, Entry] = {}
-
-    def _read(self, kind: str, *paths: str) -> DataFrame:
-        """Read files of one kind (source or batch); their schema is inferred once, not run by run."""
-        r = self.spark.read.option("basePath", self.source) if kind == "source" else self.spark.read
-        d = r.schema(self._schemas[kind]).parquet(*paths) if kind in self._schemas else r.parquet(*paths)
-        self._schemas.setdefault(kind, d.schema)
-        return d
+        self._tables: dict[str, DataFrame] = {}
 
     def entries(self) -> list[Entry]:
         """Committed batches in order.  An entry never changes once it is there, so each is read once."""
@@ -109,90 +121,143 @@ class IncrementalRun:
                 self._entries[name] = Entry(**json.loads(read_text(self.spark, f.getPath().toString())))
         return sorted(self._entries.values(), key=lambda e: e.seq)
 
-    def checksums(self, files: list[tuple[str, int]]) -> dict[str, str]:
-        """Content checksum of each file: rows and the sum of their hashes, computed where the files are read; "0" for files without rows.
-
-        One row a file reaches the driver, which holds the listing anyway.
-        """
-        d = self._read("source", *[p for p, _ in files])
-        h = F.xxhash64(*[F.col(f"`{c}`") for c in d.columns])
-        got = d.select(d.metadataColumn("_metadata")["file_path"].alias("p"), h.alias("h")).groupBy("p").agg(
-            F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("s"), F.max("h").alias("m")
-        )
-        # The file's own name is URL-encoded, the listing is not.
-        jvm = self.spark._jvm
-        name = lambda u: jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(u)).toString()
-        by = {name(r["p"]): f"{r['n']}:{r['s']}:{r['m']}" for r in got.collect()}
-        empty = [p for p, _ in files if p not in by]
-        if empty and not self._read("source", *empty).isEmpty():
-            raise RuntimeError(f"files with rows but no checksum among {empty[:10]}")
-        return {p: by.get(p, "0") for p, _ in files}
-
-    def new_files(self, entries: list[Entry], want=lambda p: True) -> list[list]:
-        """The listing without what the manifest has."""
-        done = {(p, n) for e in entries for p, n, _ in e.files}
-        sums = {(n, s) for e in entries for _, n, s in e.files}
-        fresh = [f for f in list_files(self.spark, self.source) if want(f[0]) and f not in done]
-        if not fresh:
-            return []
-        check = self.checksums(fresh)
-        return [[p, n, check[p]] for p, n in fresh if (n, check[p]) not in sums]
-
-    def state(self, entries: list[Entry]) -> DataFrame | None:
-        """The committed state: the last base and the batches after it, one row per key."""
+    def _table(self, at: str, e: Entry) -> DataFrame:
+        """A committed table of state, opened once."""
+        if at not in self._tables:
+            schema = e.schema if at.startswith("batches/") else ", ".join(c for c in e.schema.split(", ") if not c.startswith("`changed`"))
+            self._tables[at] = bucketed.open_table(self.spark, f"{self.home}/{at}", schema, self.keys, e.buckets)
+        return self._tables[at]
+
+    def manifest(self, entries: list[Entry]) -> DataFrame:
+        """path, size, checksum of all files of committed batches."""
+        base = max((e for e in entries if e.files_base), key=lambda e: e.seq, default=None)
+        at = [f"{self.home}/{base.files_base}"] if base else []
+        at += [f"{self.home}/files/{e.batch}" for e in entries if not base or e.seq > base.seq]
+        return self.spark.read.schema(FILES).json(at) if at else self.spark.createDataFrame([], FILES)
+
+    def state(self, entries: list[Entry]) -> list[DataFrame]:
+        """The committed state: the last base and the batches after it, each bucketed by key."""
         base = max((e for e in entries if e.base), key=lambda e: e.seq, default=None)
-        paths = [f"{self.home}/{base.base}"] if base else []
-        paths += [f"{self.home}/batches/{e.batch}" for e in entries if not base or e.seq > base.seq]
-        if not paths:
-            return None
-        return self._latest(self._read("state", *paths).select(*self.keys, self.value, *self.order))
+        parts = [self._table(base.base, base)] if base else []
+        parts += [self._table(f"batches/{e.batch}", e) for e in entries if not base or e.seq > base.seq]
+        return [p.select(*self.keys, self.value, *self.order) for p in parts]
 
-    def _latest(self, rows: DataFrame) -> DataFrame:
-        """The last version of each key by the order columns, then by value; reduced map side."""
-        of = F.max(F.struct(*self.order, self.value)).alias("_s")
-        return rows.groupBy(*self.keys).agg(of).select(*self.keys, *[f"_s.{c}" for c in (self.value, *self.order)])
+    def _version(self) -> F.Column:
+        return F.struct(*self.order, self.value)
 
-    def run(self, batch: str, want=lambda p: True, fail_at: str | None = None) -> DataFrame | None:
+    def _stage(self, paths: list[str], batch: str) -> DataFrame:
+        """One pass over the new files: their prepared rows, where each comes from, and the hash of the whole row.
+
+        The schema is that of all files of the batch together, so a column
+        that only a later file has is read, and counts in the checksum.
+        """
+        d = self.spark.read.option("basePath", self.source).option("mergeSchema", "true").parquet(*map(literal, paths))
+        every = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(d.columns)])
+        marked = self.prepare(d.withColumns({"_uri": d.metadataColumn("_metadata")["file_path"], "_hash": every}))
+        at = f"{self.home}/staged/{batch}"
+        marked.select(*self.keys, self.value, *self.order, "_uri", "_hash").write.mode("overwrite").parquet(at)
+        return self.spark.read.parquet(at)
+
+    def run(self, batch: str, want: F.Column | None = None, fail_at: str | None = None) -> DataFrame | None:
         """Process what is new under the identifier ``batch`` and commit; the rows of the batch, or None if there is no news.
 
         Result: keys, value, order columns, changed (whether the state of the
         key differs from its committed state, or it had none).  A batch that
         was committed before is returned as it is, not processed again.
-        ``fail_at`` (written, or committing) raises there, for tests.
+        ``want`` is a condition on the column path of the listing.  The paths
+        of the new files reach the driver, as every scan's do.  ``fail_at``
+        (staged, written, listed or committing) raises there, for tests.
         """
+        def stop(where: str) -> None:
+            if fail_at == where:
+                raise RuntimeError(f"failed where asked to: {where}")
+
         entries = self.entries()
-        at = f"{self.home}/batches/{batch}"
-        if any(e.batch == batch for e in entries):
-            return self._read("batch", at)
-        files = self.new_files(entries, want)
-        seq = max((e.seq for e in entries), default=0) + 1
-        if not files:
+        at = f"batches/{batch}"
+        for e in entries:
+            if e.batch == batch:
+                return self._table(at, e)
+        known = self.manifest(entries)
+        there = listing(self.spark, self.source)
+        there = there if want is None else there.where(want)
+        fresh = sorted(there.join(known.select("path", "size"), ["path", "size"], "left_anti").collect())
+        if not fresh:
             return None
-        new = self._latest(self.prepare(self._read("source", *[p for p, _, _ in files])))
-        old = self.state(entries)
-        if old is None:
-            out = new.withColumn("changed", F.lit(True))
-        else:
-            o = old.select(*[F.col(c).alias(f"_{c}") for c in (*self.keys, self.value, *self.order)])
-            late = F.struct(*[f"_{c}" for c in self.order]) > F.struct(*self.order)
-            # A version older than the committed one, delivered late, changes nothing.
-            had = F.col(f"_{self.keys[0]}").isNotNull()
-            keep = [F.when(had & late, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in (self.value, *self.order)]
-            changed = ~had | (~late & ~F.col(self.value).eqNullSafe(F.col(f"_{self.value}")))
-            out = new.join(o, [F.col(k) == F.col(f"_{k}") for k in self.keys], "left").select(*self.keys, *keep, changed.alias("changed"))
-        self._schemas |= {"batch": out.schema, "state": new.schema}
-        out.write.mode("overwrite").parquet(at)
-        if fail_at == "written":
-            raise RuntimeError("failed after writing the batch")
-        entry = Entry(batch, seq, files)
+        n = self._n or (entries[-1].buckets if entries else buckets(self.spark))
+        pool = ThreadPoolExecutor(1)
+        # Content is compared only where a size came before; that is asked while the files are read.
+        same = pool.submit(self._sizes, fresh, known)
+        staged = self._stage([r["path"] for r in fresh], batch)
+        stop("staged")
+        sums = pool.submit(self._checksums, staged, fresh)
+        twice = self._copies(fresh, sums.result(), known) if same.result() else []
+        rows = staged.where(~F.col("_uri").isin(twice)) if twice else staged
+        # One aggregate over the state, which lies in its buckets, and the new rows, the only ones that move.
+        v = rows.groupBy(*self.keys).agg(F.max(self._version()).alias("_new")).repartition(n, *self.keys)
+        none = F.lit(None).cast(v.schema["_new"].dataType)
+        both = v.withColumn("_old", none)
+        if entries:
+            both = both.unionByName(bucketed.versions(self.state(entries), self.keys, self._version(), "_old", {"_new": none}))
+        one = both.groupBy(*self.keys).agg(F.max("_new").alias("_new"), F.max("_old").alias("_old")).where("_new is not null")
+        # A version older than the committed one, delivered late, changes nothing.
+        late = F.coalesce(F.struct(*[f"_old.{c}" for c in self.order]) > F.struct(*[f"_new.{c}" for c in self.order]), F.lit(False))
+        holds = F.when(late, F.col("_old")).otherwise(F.col("_new"))
+        changed = F.col("_old").isNull() | (~late & ~F.col(f"_old.{self.value}").eqNullSafe(F.col(f"_new.{self.value}")))
+        out = one.select(*self.keys, *[holds[c].alias(c) for c in (self.value, *self.order)], changed.alias("changed"))
+        table = bucketed.write(out, f"{self.home}/{at}", self.keys, n, placed=True)
+        stop("written")
+        got = sums.result()
+        pool.shutdown()
+        lines = [json.dumps({"path": r["path"], "size": r["size"], "checksum": got.get(r["uri"])}, ensure_ascii=False) for r in fresh]
+        write_once(self.spark, f"{self.home}/files/{batch}/files.json", "\n".join(lines))
+        stop("listed")
+        seq = max((e.seq for e in entries), default=0) + 1
+        entry = Entry(batch, seq, bucketed.ddl(table), n)
+        self._tables[at] = table
         if seq % COMPACT_EVERY == 0:
-            base = f"base/{batch}"
-            self.state([*entries, entry]).write.mode("overwrite").parquet(f"{self.home}/{base}")
-            entry.base = base
-        if fail_at == "committing":
-            raise RuntimeError("failed before the commit")
-        write_once(self.spark, f"{self.home}/manifest/{seq:08d}-{batch}.json", json.dumps(entry.__dict__))
-        return self._read("batch", at)
+            every = bucketed.versions(self.state([*entries, entry]), self.keys, self._version(), "_s")
+            s = every.groupBy(*self.keys).agg(F.max("_s").alias("_s")).select(*self.keys, *[F.col(f"_s.{c}").alias(c) for c in (self.value, *self.order)])
+            entry.base, entry.files_base = f"base/{batch}", f"files/base-{batch}"
+            self._tables[entry.base] = bucketed.write(s, f"{self.home}/{entry.base}", self.keys, n, placed=True)
+            self.manifest([*entries, Entry(batch, seq, "", n)]).coalesce(1).write.mode("overwrite").json(f"{self.home}/{entry.files_base}")
+        stop("committing")
+        write_once(self.spark, f"{self.home}/manifest/{seq:08d}-{batch}.json", json.dumps(asdict(entry)))
+        remove(self.spark, f"{self.home}/staged/{batch}")
+        return table
+
+    def _checksums(self, staged: DataFrame, fresh: list) -> dict[str, str]:
+        """By uri the checksum of each file: number of rows, sum of their hashes and the greatest; one row a new file reaches the driver.
+
+        Files without rows have none: they are never compared.  Rows of a
+        file that the listing does not have are an error, as its name would
+        be lost.
+        """
+        h = F.col("_hash")
+        got = staged.groupBy("_uri").agg(F.concat_ws(":", F.count("*"), F.sum(h.cast("decimal(38,0)")).cast("string"), F.max(h)).alias("s")).collect()
+        lost = {r["_uri"] for r in got} - {r["uri"] for r in fresh}
+        if lost:
+            raise RuntimeError(f"rows of files that the listing does not have: {sorted(lost)[:10]}")
+        return {r["_uri"]: r["s"] for r in got}
+
+    def _sizes(self, fresh: list, known: DataFrame) -> bool:
+        """Whether any new file has the size of another or of a committed one."""
+        sizes = {r["size"] for r in fresh}
+        if len(sizes) < len(fresh):
+            return True
+        return not known.join(self.spark.createDataFrame([(x,) for x in sizes], "size long"), "size", "left_semi").isEmpty()
+
+    def _copies(self, fresh: list, sums: dict[str, str], known: DataFrame) -> list[str]:
+        """The uris of new files whose content came before: in a committed file, or in one of this batch whose path is less."""
+        mine = [(r["uri"], r["size"], sums[r["uri"]]) for r in fresh if r["uri"] in sums]
+        if not mine:
+            return []
+        here = self.spark.createDataFrame(mine, "uri string, size long, checksum string")
+        out = {r[0] for r in here.join(known, ["size", "checksum"], "left_semi").select("uri").collect()}
+        first: dict[tuple, str] = {}
+        for uri, *content in mine:
+            if first.setdefault(tuple(content), uri) != uri:
+                out.add(uri)
+        return sorted(out)
 
 
 def land_feed(feed: DataFrame, runs: list, path: str) -> None:
@@ -211,10 +276,7 @@ def land_feed(feed: DataFrame, runs: list, path: str) -> None:
 
 
 def feed_states(d: DataFrame) -> DataFrame:
-    return d.select(
-        F.coalesce("layer", F.lit("")).alias("layer"), norm_ref(F.col("ref")).alias("ref"),
-        norm_hash(F.col("hash")).alias("h"), "arrived_at", "feed_id",
-    )
+    return d.withColumns({"layer": F.coalesce("layer", F.lit("")), "ref": norm_ref(F.col("ref")), "h": norm_hash(F.col("hash"))})
 
 
 def feed_runs(feed: DataFrame, runs: DataFrame) -> DataFrame:
@@ -236,8 +298,7 @@ def feed_runs(feed: DataFrame, runs: DataFrame) -> DataFrame:
     for i, r in enumerate(when):
         if not r["ok"]:
             continue
-        def seen(p: str, i: int = i) -> bool:
-            return int(p.rsplit("/arrived=", 1)[1].split("/", 1)[0]) <= i
+        seen = F.regexp_extract("path", r"/arrived=(\d+)/[^/]*$", 1).cast("int") <= i
         got = job.run(f"run-{r['run_id']}", seen)
         if got is not None:
             got = got.where("changed").select(F.lit(r["run_id"]).cast("int").alias("run_id"), F.nullif("layer", F.lit("")).alias("layer"), "ref", F.lower(F.hex("h")).alias("new_hash"))

@@ -2,7 +2,9 @@ import pathlib
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillmesh.operators import bucketed
 from quillmesh.operators import incremental as I
 from quillmesh.session import workspace
 
@@ -38,7 +40,7 @@ def put(spark, home, name, data):
     spark.createDataFrame(data, "k string, v string, o int").coalesce(1).write.parquet(f"{home}/in/{name}")
 
 
-@pytest.mark.parametrize("where", ["written", "committing"])
+@pytest.mark.parametrize("where", ["staged", "listed", "written", "committing"])
 def test_failure_neither_skips_nor_repeats(spark, rows, where):
     home = workspace(spark, "test")
     put(spark, home, "a", [("x", "1", 1), ("y", "1", 1)])
@@ -60,31 +62,56 @@ def test_same_content_under_another_name_and_late_versions(spark, rows):
     put(spark, home, "a", [("x", "5", 5)])
     job(spark, home).run("b1")
     put(spark, home, "copy", [("x", "5", 5)])
-    assert job(spark, home).run("b2") is None
+    assert rows(job(spark, home).run("b2")) == []
+    assert job(spark, home).run("b3") is None
     put(spark, home, "old", [("x", "3", 3), (None, "n", 1)])
-    got = job(spark, home).run("b3")
+    got = job(spark, home).run("b4")
     assert ("x", "5", False) in rows(got, "k", "v", "changed")
 
 
-def test_names_that_are_encoded_in_urls(spark, rows):
+@pytest.mark.parametrize("name", ["at 10%3A00 %20 [1]", "a b {2,3}* w?v ü#ö back\\slash"])
+def test_any_sign_in_names(spark, rows, name):
     home = workspace(spark, "test")
-    put(spark, home, "at 10%3A00", [("x", "1", 1)])
-    job(spark, home).run("b1")
-    put(spark, home, "at 11%3A00", [("x", "2", 2)])
-    assert rows(job(spark, home).run("b2"), "k", "v", "changed") == [("x", "2", True)]
-    assert all(s != "0" for e in job(spark, home).entries() for _, _, s in e.files)
-
-
-def test_equal_names_below_other_folders(spark):
+    put(spark, home, "first", [("x", "1", 1)])
+    (part,) = (pathlib.Path(home.removeprefix("file://")) / "in" / "first").glob("*.parquet")
+    for k in range(2):
+        at = pathlib.Path(home.removeprefix("file://")) / "in" / f"{name} {k}"
+        at.mkdir()
+        if k == 0:
+            part.rename(at / f"{name} part.parquet")
+            assert rows(job(spark, home).run("b0"), "k", "v", "changed") == [("x", "1", True)]
+        else:
+            put(spark, home, "second", [("x", "2", 2)])
+            (other,) = (pathlib.Path(home.removeprefix("file://")) / "in" / "second").glob("*.parquet")
+            other.rename(at / f"{name} part.parquet")
+            assert rows(job(spark, home).run("b1"), "k", "v", "changed") == [("x", "2", True)]
+    known = job(spark, home).manifest(job(spark, home).entries()).collect()
+    assert len({r["checksum"] for r in known}) == 2 and all(r["checksum"].startswith("1:") for r in known)
+
+
+def test_equal_names_below_other_folders(spark, rows):
+    """Files of one name, size and row count below other folders are told apart, whichever comes first; empty files are no copies of each other."""
     home = workspace(spark, "test")
-    for year, v in (("2024", "1"), ("2025", "2")):
-        put(spark, home, f"{year}/01", [("x", v, 1)])
-        (part,) = (pathlib.Path(home.removeprefix("file://")) / "in" / year / "01").glob("*.parquet")
-        part.rename(part.with_name("part-0.parquet"))
-    put(spark, home, "none", [])
-    j = job(spark, home)
-    got = j.checksums(I.list_files(spark, f"{home}/in"))
-    assert len(set(got.values())) == 3 and [s == "0" for p, s in sorted(got.items())] == [False, False, True]
+    for year, v in (("y=2028", "1"), ("y=2029", "2")):
+        put(spark, home, f"{year}/d=1", [("x", v, int(v))])
+        (part,) = (pathlib.Path(home.removeprefix("file://")) / "in" / year / "d=1").glob("*.parquet")
+        part.rename(part.with_name("part.parquet"))
+        assert rows(job(spark, home).run(f"b{v}"), "k", "v", "changed") == [("x", v, True)]
+    for k in range(2):
+        spark.createDataFrame([], "k string, v string, o int").coalesce(1).write.parquet(f"{home}/in/y=2030/d={k}")
+    assert rows(job(spark, home).run("b3")) == []
+    known = job(spark, home).manifest(job(spark, home).entries())
+    assert known.where("checksum is null").count() == 2 and known.where("checksum is not null").select("checksum").distinct().count() == 2
+
+
+def test_copies_within_one_batch_and_columns_that_come_later(spark, rows):
+    home = workspace(spark, "test")
+    put(spark, home, "a", [("x", "1", 1)])
+    put(spark, home, "b", [("x", "1", 1)])
+    j = I.IncrementalRun(spark, f"{home}/in", f"{home}/job", ["k"], "v", ["o"], lambda d: d.withColumn("v", d["v2"] if "v2" in d.columns else d["v"]))
+    assert rows(j.run("b1"), "k", "v") == [("x", "1")]
+    spark.createDataFrame([("y", "1", 2, "new")], "k string, v string, o int, v2 string").coalesce(1).write.parquet(f"{home}/in/c")
+    assert rows(j.run("b2"), "k", "v", "changed") == [("y", "new", True)]
 
 
 def test_compaction_keeps_the_state(spark, rows):
@@ -95,5 +122,8 @@ def test_compaction_keeps_the_state(spark, rows):
         j.run(f"b{i}")
     again = job(spark, home)
     assert any(e.base for e in again.entries())
-    state = rows(again.state(again.entries()), "k", "v")
-    assert len(state) == I.COMPACT_EVERY + 3 and ("x", str(I.COMPACT_EVERY + 1)) in state
+    assert len(again.state(again.entries())) == 1 + 2
+    state = bucketed.versions(again.state(again.entries()), ["k"], F.struct("o", "v"), "s").groupBy("k").agg(F.max("s.v").alias("v"))
+    assert rows(state) == sorted([("x", str(I.COMPACT_EVERY + 1)), *[(f"k{i}", "1") for i in range(I.COMPACT_EVERY + 2)]])
+    base = again.state(again.entries())[0]
+    assert base.count() == base.select("k").distinct().count() == I.COMPACT_EVERY + 1
