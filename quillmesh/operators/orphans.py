@@ -14,25 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.refs import REF_RE, norm_ref
+from quillmesh.functions.text import body_links
 from quillmesh.session import written
 
 REF_SCHEMA = "page_id long, field string, target string, named_at timestamp"
-#: Fenced code, the closing fence included; an unclosed one runs to the end.
-FENCED = r"(?ms)^ {0,3}(```|~~~).*?(?:^ {0,3}\1[^\n]*$|\z)"
-INLINE = r"(?<!`)(`+)(?!`)([^\n]+?)(?<!`)\1(?!`)"
-LINK = r"\[\[([^\[\]\n]+)\]\]"
-
-
-def outside_code(body: Column) -> Column:
-    """A text without fenced and inline code, line ends as LF; stays in the JVM."""
-    t = F.regexp_replace(body, "\r\n?", "\n")
-    return F.regexp_replace(F.regexp_replace(t, FENCED, ""), INLINE, " ")
 
 
 def body_targets(body: Column) -> Column:
     """The refs named by double-bracket links outside code, normalised, in order, each once."""
-    raw = F.regexp_extract_all(outside_code(body), F.lit(LINK), F.lit(1))
-    got = F.transform(raw, lambda x: norm_ref(F.regexp_extract(x, r"^[^|#]*", 0)))
+    got = F.transform(body_links(body), lambda x: norm_ref(F.regexp_extract(x, r"^[^|#]*", 0)))
     return F.array_distinct(F.filter(got, lambda x: x.rlike(REF_RE)))
 
 

@@ -141,6 +141,9 @@ _check("validate_superseded", GRAPH, "info", "superseded-ref", _SUP)
 ORACLE["validate_stale"] = f"with {SNAP} select 'derived-stale' code, topic target, count(*) || ' pages differ' message from df where change <> 'same' group by topic"
 ORACLE["node_degrees"] = f"with {GRAPH} select ix.ref, coalesce(n, 0)::bigint degree from ix left join (select ref, count(*) n from (select src_ref ref from me union all select dst_ref from me) group by 1) d using (ref)"
 ORACLE["body_link_list"] = f"with {PG}, {OUTSIDE} select page_id, pos::int pos, link from bl"
+_LINES = "list_transform(string_split(regexp_replace(fence, '(?ms)^[ \\t]*<!--.*?(-->[^\\n]*|\\z)', '', 'g'), chr(10)), lambda l: regexp_replace(l, '^[\\s　]+|[\\s　]+$', '', 'g'))"
+_RUNNING = "l <> '' and not regexp_matches(l, '^[#>|]') and not regexp_matches(l, '^([-+*]|[0-9]+[.)]) ') and not regexp_matches(l, '^((-[ \\t]*){3,}|(\\*[ \\t]*){3,}|(_[ \\t]*){3,})$')"
+ORACLE["summary_extract"] = f"with {PG}, {OUTSIDE} select page_id, coalesce(substr(list_filter({_LINES}, lambda l: {_RUNNING})[1], 1, 120), '') summary from oc"
 ORACLE["canonical_refs"] = f"select {_REF.format('ref')} as_stored, {_REF.format('lower(trim(ref))')} normalised, count(*) n from manifest group by 1, 2"
 ORACLE["pack_collect_refs"] = f"with recursive {GRAPH}, {walk(2)} select node ref from first where node in (select ref from ix)"
 SIZES = """bk as (select ref, topic, strlen('## [[' || ref || ']] — ' || coalesce(title, '') || ' (updated: ' || coalesce(updated::varchar, '') || ')' || chr(10) || chr(10)
