@@ -28,6 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmesh.functions.text import CODE_SPAN, FENCE_LINE
+from quillmesh.session import written
+
 FAMILIES = ("html", "markdown", "wiki", "latex")
 
 # Element names of HTML, and commands of LaTeX that take no argument.
@@ -45,10 +48,15 @@ COMMANDS = frozenset(
     "quad qquad left right noindent maketitle tableofcontents newline par hline centering LaTeX TeX bf it em tt small large Large".split()
 )
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SILENT = frozenset(("script", "style", "head", "template"))
+#: Elements whose content is no text.
+SILENT = re.compile(r"<(script|style|template)(?:\s[^<>]*)?>", re.I)
+SILENT_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "template")}
 
 #: Commands whose argument is a name, not text.
 SILENT_COMMANDS = frozenset(("label", "cite", "ref", "citep", "citet", "eqref", "usepackage", "documentclass", "includegraphics"))
+#: Commands that make a formula with their arguments, and commands of layout.
+FORMULA_COMMANDS = frozenset(("frac", "sqrt", "sum"))
+LAYOUT_COMMANDS = frozenset(("noindent", "maketitle", "par", "newline", "centering", "hline", "tableofcontents"))
 #: Several keys of one argument, which may go on over lines.
 KEYS = re.compile(r"\s*(?:[^\s,{}]+\s*,\s*)*[^\s,{}]+\s*")
 BLANK_LINE = re.compile(r"\n[ \t]*\n")
@@ -60,13 +68,18 @@ PLAIN = frozenset("<" + t for t in "address article center div header main p sec
 #: Containers that hold a page's furniture, and the characters that make another text a block of its own.
 FURNITURE = frozenset(("<nav", "<header", "<footer", "<aside"))
 BLOCK_CHARS = 40
+HTML_HEAD = re.compile("<h[1-6]")
 FORMULA_ONLY = re.compile("\u27e6[^\u27e6\u27e7]*\u27e7")
 
-#: Containers nested deeper than this are read as if they stood side by side; their text is kept.
-DEPTH = 150
+#: Private-use signs that the parse puts into the text: a held piece is between the first two, the others begin a block or cell.
+SIGNS = re.compile("[\ue000-\ue006]")
+BLOCK_SIGNS = re.compile("[\ue002-\ue006]")
+HELD = re.compile("\ue000(\\d+)\ue001")
+#: Runs of braces, of which templates are made.
+RUNS = re.compile(r"\{+|\}+")
 
-FENCE = re.compile(r"^ {0,3}(```|~~~)")
-INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)([^\n]+?)(?<!`)\1(?!`)")
+FENCE = re.compile(FENCE_LINE)
+INLINE_CODE = re.compile(CODE_SPAN)
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?)(/?)>")
 ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
@@ -77,7 +90,6 @@ EQUATION = re.compile(r"\\begin\{((?:equation|align|gather|multline|eqnarray|dis
 ENVIRONMENT = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}(?:\[[^\]\n]*\])?")
 COMMAND = re.compile(r"(?<![\w:.\\])\\([A-Za-z]+\*?)((?:\[[^\]\n]*\])?)(\{)?")
 WIKI_TABLE = re.compile(r"^[ \t]*\{\|(.*?)^[ \t]*\|\}", re.S | re.M)
-TEMPLATE = re.compile(r"\{\{(?![{\s]*\}\})([^{}]*)\}\}")
 WIKI_LINK = re.compile(r"\[\[([^\[\]\n|]+)(?:\|([^\[\]\n]*))?\]\]")
 WIKI_URL = re.compile(r"\[((?:https?|ftp)://[^\s\]]+)(?:[ \t]+([^\]\n]*))?\](?!\()")
 WIKI_QUOTE = re.compile(r"'''''(?=[^'\s])(.+?)'''''|'''(?=[^'\s])(.+?)'''|''(?=[^'\s])([^\n]+?)''(?!')")
@@ -107,32 +119,56 @@ class Node:
     level: int = 0
     children: list = field(default_factory=list)
     digest: str = ""
+    #: Texts of the subtree other than headings, code and formulas, and their characters.
+    texts: int = 0
+    chars: int = 0
+
+
+def _below(root: Node) -> Iterator[Node]:
+    """All nodes below the root, each before its children; any depth."""
+    stack = root.children[::-1]
+    while stack:
+        c = stack.pop()
+        yield c
+        stack += c.children[::-1]
+
 
-    def hashed(self) -> str:
-        own = f"{self.kind}\x00{self.level}\x00{' '.join(self.text.split())}\x00" + "\x00".join(c.hashed() for c in self.children)
-        self.digest = hashlib.blake2b(own.encode("utf-8", "replace"), digest_size=8).hexdigest()
-        return self.digest
+def _sum_up(root: Node) -> None:
+    """Digest and counts of every subtree, children before parents; any depth."""
+    for c in reversed([root, *_below(root)]):
+        own = f"{c.kind}\x00{c.level}\x00{' '.join(c.text.split())}\x00" + "\x00".join(x.digest for x in c.children)
+        c.digest = hashlib.blake2b(own.encode("utf-8", "replace"), digest_size=8).hexdigest()
+        if c.kind not in ("heading", "code") and not HTML_HEAD.fullmatch(c.kind):
+            mine = bool(c.text) and not FORMULA_ONLY.fullmatch(c.text)
+            c.texts = mine + sum(x.texts for x in c.children)
+            c.chars = len(c.text) * mine + sum(x.chars for x in c.children)
 
 
 class Parse:
-    """One text's families and blocks. Code and formulas are held aside under private-use signs while the rest is read."""
+    """One text's families and blocks. Code and formulas are held aside under private-use signs while the rest is read; such signs of the text itself are held too."""
 
-    def __init__(self, text: str | None):
+    def __init__(self, text: str | None, hashes: bool = True):
         self.families: set[str] = set()
-        self.held: list[str] = []
+        self.held: list[tuple[str, bool]] = []
         self.root = Node("document")
         if text:
-            self._read(text.replace("\r\n", "\n").replace("\r", "\n").replace("\ue000", "").replace("\ue001", ""))
-        self.root.hashed()
-
-    def _hold(self, text: str) -> str:
-        self.held.append(text)
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
+            self._read(SIGNS.sub(lambda m: self._hold(m[0], True), text))
+        if hashes:
+            _sum_up(self.root)
+
+    def _hold(self, text: str, final: bool = False) -> str:
+        """A sign that stands for the text; unless it is final, what is held within it is put back with it."""
+        self.held.append((text, final))
         return f"\ue000{len(self.held) - 1}\ue001"
 
     def release(self, text: str) -> str:
-        while "\ue000" in text:
-            text = re.sub("\ue000(\\d+)\ue001", lambda m: self.held[int(m[1])], text)
-        return text
+        # A piece holds only pieces that were held before it, each by another step of the reading, so this ends soon.
+        def one(m: re.Match) -> str:
+            body, final = self.held[int(m[1])]
+            return body if final else self.release(body)
+
+        return HELD.sub(one, text) if "\ue000" in text else text
 
     def _sub(self, pattern: re.Pattern, family: str, to, text: str) -> str:
         def one(m: re.Match) -> str:
@@ -178,18 +214,14 @@ class Parse:
         return text
 
     def _html(self, text: str) -> str:
-        text = self._sub(COMMENT, "html", lambda m: "", text)
+        text = self._silent(self._sub(COMMENT, "html", lambda m: "", text))
         text = re.sub(r"(?is)<pre\b[^<>]*>(.*?)</pre>", self._pre, text)
         text = self._sub(AUTOLINK, "markdown", lambda m: self._hold(m[0][1:-1]), text)
-        skip = 0
 
         def tag(m: re.Match) -> str | None:
-            nonlocal skip
             name = m[2].lower()
             if name not in TAGS:
                 return None
-            if name in SILENT:
-                skip = 1
             if name == "br":
                 return "\n"
             if name == "hr":
@@ -201,22 +233,36 @@ class Parse:
 
         if "<" in text:
             text = self._sub(TAG, "html", tag, text)
-            if skip:
-                text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", "", text)
         if "&" in text:
             def entity(m: re.Match) -> str | None:
                 name = m[0][1:]
                 if name[0] != "#" and name not in html5:
                     return None
                 got = html.unescape(m[0])
-                return self._hold("" if got == "\xad" else " " if got == "\xa0" else got)
+                return self._hold("" if got == "\xad" else " " if got == "\xa0" else got, True)
             text = self._sub(ENTITY, "html", entity, text)
         return text
 
     def _pre(self, m: re.Match) -> str:
         self.families.add("html")
         code = TAG.sub("", m[1])
-        return "\n\ue002" + self._hold(html.unescape(self.release(code)).strip("\n")) + "\n"
+        return "\n\ue002" + self._hold(html.unescape(self.release(code)).strip("\n"), True) + "\n"
+
+    def _silent(self, text: str) -> str:
+        """The text without elements whose content is code. One that is never closed keeps its text and loses its tag with the others."""
+        out, at, open_ended = [], 0, set()
+        for m in SILENT.finditer(text):
+            name = m[1].lower()
+            if m.start() < at or name in open_ended:
+                continue
+            end = SILENT_END[name].search(text, m.end())
+            if not end:
+                open_ended.add(name)
+                continue
+            self.families.add("html")
+            out.append(text[at : m.start()])
+            at = end.end()
+        return "".join(out) + text[at:] if out else text
 
     def _formula(self, body: str) -> str:
         return self._hold("\u27e6" + " ".join(body.split()) + "\u27e7")
@@ -227,82 +273,65 @@ class Parse:
         text = self._sub(INLINE_MATH, "latex", lambda m: self._formula(m[1] or m[2]) if (m[1] or m[2]) else None, text)
         if "\\" not in text:
             return text
-        heads = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
         text = self._sub(ENVIRONMENT, "latex", lambda m: "\n", text)
-        out, at, closed = [], 0, self._arguments(text)
+        return self._commands(text)
+
+    def _commands(self, text: str) -> str:
+        """Commands as edits of the text: what encloses text loses its name and braces, at any depth; names and formulas go or are held whole."""
+        heads = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
+        line, part = _braces(text)
+        edits: list[tuple[int, int, str]] = []
+        at = 0
         for m in COMMAND.finditer(text):
             name = m[1].rstrip("*")
             if m.start() < at or not (m[3] or name in COMMANDS):
                 continue
             self.families.add("latex")
-            out.append(text[at : m.start()])
-            if m[3]:
-                end = closed(m.end(), name in SILENT_COMMANDS)
-                if end < 0:
-                    # Never closed: what stands on the line is kept.
-                    end = text.find("\n", m.end())
-                    end = len(text) if end < 0 else end
-                    body, at = text[m.end() : end], end
-                    if name not in heads and name not in COMMANDS and name not in ("frac", "sqrt", "sum"):
-                        at = m.end()
-                        continue
-                else:
-                    body, at = text[m.end() : end], end + 1
-                if name in heads:
-                    out.append(f"\n\ue005{heads[name]}\ue005{body}\n")
-                elif name in SILENT_COMMANDS:
-                    pass
-                elif name in ("frac", "sqrt", "sum") or name in COMMANDS:
-                    out.append(self._formula(text[m.start() : at]))
+            whole = name in COMMANDS or name in FORMULA_COMMANDS
+            if not m[3]:
+                if name == "item":
+                    edits.append((m.start(), m.end(), "\n\ue006"))
                 else:
-                    out.append(body)
-            else:
+                    edits.append((m.start(), m.end(), "" if name in LAYOUT_COMMANDS else self._formula(m[0])))
                 at = m.end()
-                if name == "item":
-                    out.append("\ue006")
-                elif name not in ("noindent", "maketitle", "par", "newline", "centering", "hline", "tableofcontents"):
-                    out.append(self._formula(m[0]))
-        out.append(text[at:])
-        return "".join(out)
-
-    @staticmethod
-    def _arguments(text: str) -> Callable[[int, bool], int]:
-        """A function of where an argument begins: where it is closed, or -1 if it is not within its paragraph.
-
-        What a silent command names is dropped, so its brace must close on the
-        line, inner braces in pairs, or hold nothing but keys.
-        """
-        blanks = [m.start() for m in BLANK_LINE.finditer(text)]
-        pairs, opened = {}, []
-        for m in BRACES.finditer(text):
-            if m[0] == "{":
-                opened.append(m.end())
-            elif m[0] == "\n":
-                opened.clear()
-            elif opened:
-                pairs[opened.pop()] = m.start()
-
-        def closed(at: int, silent: bool) -> int:
-            if at in pairs and silent:
-                return pairs[at]
-            end = text.find("}", at)
-            k = bisect_left(blanks, at)
-            if end < 0 or k < len(blanks) and blanks[k] < end or silent and not KEYS.fullmatch(text, at, end):
-                return -1
-            return end
-
-        return closed
+                continue
+            if name in SILENT_COMMANDS:
+                # What a silent command names is dropped, so its brace must close on the line or hold nothing but keys.
+                end = line.get(m.end(), -1)
+                if end < 0:
+                    end = text.find("}", m.end())
+                    if end >= 0 and not KEYS.fullmatch(text, m.end(), end) or BLANK_LINE.search(text, m.end(), max(end, m.end())):
+                        end = -1
+                edits.append((m.start(), end + 1 if end >= 0 else m.end(), ""))
+                at = edits[-1][1]
+                continue
+            end = part.get(m.end(), -1)
+            stop = end + 1
+            if end < 0 and (whole or name in heads):
+                # Never closed: it takes what stands on its line.
+                end = text.find("\n", m.end())
+                end = stop = len(text) if end < 0 else end
+            if whole:
+                while text[stop : stop + 1] == "{" and stop + 1 in part:
+                    stop = part[stop + 1] + 1
+                edits.append((m.start(), stop, self._formula(text[m.start() : stop])))
+                at = stop
+            else:
+                edits.append((m.start(), m.end(), f"\n\ue005{heads[name]}\ue005" if name in heads else ""))
+                if end >= 0:
+                    edits.append((end, stop, "\n" if name in heads else ""))
+        out, at = [], 0
+        for start, stop, new in sorted(edits, key=lambda e: e[0]):
+            if start >= at:
+                out += [text[at:start], new]
+                at = stop
+        return "".join(out) + text[at:]
 
     def _wiki(self, text: str) -> str:
         if "{|" in text:
             text = self._sub(WIKI_TABLE, "wiki", lambda m: "\n" + self._table(m[1]) + "\n", text)
-        for _ in range(8):
-            if "{{" not in text:
-                break
-            was = text
-            text = self._sub(TEMPLATE, "wiki", lambda m: "", text)
-            if was == text:
-                break
+        if "{{" in text:
+            text = self._templates(text)
         if "[[" in text:
             text = self._sub(WIKI_LINK, "wiki", lambda m: self._hold(((m[2] or "").rpartition("|")[2] or m[1].partition("#")[0] or m[1]).strip()), text)
         if "://" in text and "[" in text:
@@ -311,6 +340,37 @@ class Parse:
             text = self._sub(WIKI_QUOTE, "wiki", lambda m: m[1] or m[2] or m[3], text)
         return text
 
+    def _templates(self, text: str) -> str:
+        """The text without templates, nested ones included: double braces that pair up and hold something; a single brace between breaks those around it."""
+        opened: list[int] = []
+        spans: list[tuple[int, int]] = []
+        for m in RUNS.finditer(text):
+            n, at = len(m[0]), m.start()
+            if m[0][0] == "{":
+                if n % 2:
+                    opened.clear()
+                    at += 1
+                opened += range(at, m.end(), 2)
+                continue
+            for _ in range(n // 2):
+                if opened:
+                    start = opened.pop()
+                    if text[start + 2 : at].strip():
+                        while spans and spans[-1][0] > start:
+                            spans.pop()
+                        spans.append((start, at + 2))
+                at += 2
+            if n % 2:
+                opened.clear()
+        if not spans:
+            return text
+        self.families.add("wiki")
+        out, at = [], 0
+        for start, stop in spans:
+            out.append(text[at:start])
+            at = stop
+        return "".join(out) + text[at:]
+
     def _table(self, body: str) -> str:
         rows, row = [], []
         for line in body.split("\n")[1:]:
@@ -343,14 +403,14 @@ class Parse:
 
         def flush() -> None:
             if para:
-                body = self._inline("\n".join(para)).strip()
+                body = self._inline(BLOCK_SIGNS.sub(" ", "\n".join(para))).strip()
                 if body:
                     stack[-1].children.append(Node("paragraph", self.release(body)))
                 para.clear()
 
         def add(kind: str, body: str, level: int = 0, raw: bool = False) -> None:
             flush()
-            stack[-1].children.append(Node(kind, self.release(body if raw else self._inline(body)).strip(), level))
+            stack[-1].children.append(Node(kind, body if raw else self.release(self._inline(BLOCK_SIGNS.sub(" ", body))).strip(), level))
 
         lines = text.split("\n")
         i = -1
@@ -361,10 +421,12 @@ class Parse:
                 continue
             first = line.lstrip()[0]
             if first == "\ue002":
-                add("code", self.release(line.lstrip()[1:]), raw=True)
+                add("code", self.release(BLOCK_SIGNS.sub(" ", line.lstrip()[1:])).strip(), raw=True)
             elif first == "\ue003":
                 name = line.strip().strip("\ue003")
                 flush()
+                if not name.strip("/").isalnum():
+                    continue
                 if name[0] == "/":
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k].kind == "<" + name[1:]:
@@ -381,8 +443,7 @@ class Parse:
                                 break
                     node = Node("<" + name)
                     stack[-1].children.append(node)
-                    if len(stack) < DEPTH:
-                        stack.append(node)
+                    stack.append(node)
             elif first == "\ue004":
                 add("row", " | ".join(c.strip() for c in line.lstrip()[1:].split("\ue004")))
             elif first == "\ue005":
@@ -442,53 +503,75 @@ class Parse:
         return number in (0, 1) or any(re.match(r"\s*\d+[.)]\s", x) for x in near)
 
 
-def render(node: Node, drop: frozenset | set) -> str:
-    """Clean text of a tree without the subtrees whose digests are in drop."""
+def _braces(text: str) -> tuple[dict[int, int], dict[int, int]]:
+    """Where the brace that opens before a position closes: on its line, and within its paragraph."""
+    line: dict[int, int] = {}
+    part: dict[int, int] = {}
+    on_line: list[int] = []
+    in_part: list[int] = []
+    blanks = [m.start() for m in BLANK_LINE.finditer(text)]
+    for m in BRACES.finditer(text):
+        if m[0] == "{":
+            on_line.append(m.end())
+            in_part.append(m.end())
+        elif m[0] == "\n":
+            on_line.clear()
+            k = bisect_left(blanks, m.start())
+            if k < len(blanks) and blanks[k] == m.start():
+                in_part.clear()
+        else:
+            if on_line:
+                line[on_line.pop()] = m.start()
+            if in_part:
+                part[in_part.pop()] = m.start()
+    return line, part
+
+
+def render(node: Node, drop: frozenset | set = frozenset()) -> str:
+    """Clean text of a tree without the subtrees whose digests are in drop; any depth."""
     out: list[str] = []
-    _render(node.children, drop, out, 0)
-    return "\n".join(out)
-
-
-def _render(children: list[Node], drop: frozenset | set, out: list[str], depth: int) -> None:
-    for c in children:
+    stack = [(c, 0) for c in reversed(node.children)]
+    while stack:
+        c, depth = stack.pop()
         if c.digest in drop:
             continue
+        more, level = c.children if c.kind[0] == "<" else [], depth
         if c.kind == "heading":
             out.append("\u00a7" * max(1, c.level) + " " + c.text)
         elif c.kind == "item":
             out.append("  " * (c.level + depth) + "\u2022 " + c.text)
         elif c.kind == "code":
             out.append("\u300e\n" + c.text + "\n\u300f")
-        elif re.fullmatch(r"<h[1-6]", c.kind):
-            text, rest = _lead(c.children, drop)
+        elif HTML_HEAD.fullmatch(c.kind):
+            text, more = _lead(c.children, drop)
             if text:
                 out.append("\u00a7" * int(c.kind[2]) + " " + text)
-            _render(rest, drop, out, depth)
         elif c.kind == "<li":
-            text, rest = _lead(c.children, drop)
-            if text or rest and rest[0].kind not in ("<ul", "<ol"):
+            text, more = _lead(c.children, drop)
+            if text or more and more[0].kind not in ("<ul", "<ol"):
                 out.append("  " * depth + ("\u2022 " + text).rstrip())
-            _render(rest, drop, out, depth + 1)
-        elif c.kind[0] == "<":
-            _render(c.children, drop, out, depth)
-        elif c.text:
+            level = depth + 1
+        elif c.kind[0] != "<" and c.text:
             out.append(c.text)
+        stack += [(x, level) for x in reversed(more)]
+    return "\n".join(out)
 
 
 def _lead(children: list[Node], drop: frozenset | set) -> tuple[str, list[Node]]:
     """The text with which a list item or heading begins, and the blocks after it, without what is in drop."""
-    left = [c for c in children if c.digest not in drop]
-    k = next((i for i, c in enumerate(left) if c.kind not in ("paragraph", "quote", "row", "note")), len(left))
-    if k or not left or left[0].kind not in PLAIN:
-        return " ".join(c.text for c in left[:k]), left[k:]
-    text, rest = _lead(left[0].children, drop)
-    return text, rest + left[1:]
+    after: list[Node] = []
+    while True:
+        left = [c for c in children if c.digest not in drop]
+        k = next((i for i, c in enumerate(left) if c.kind not in ("paragraph", "quote", "row", "note")), len(left))
+        if k or not left or left[0].kind not in PLAIN:
+            return " ".join(c.text for c in left[:k]), left[k:] + after
+        after = left[1:] + after
+        children = left[0].children
 
 
 def subtrees(node: Node) -> Iterator[str]:
-    for c in node.children:
+    for c in _below(node):
         yield c.digest
-        yield from subtrees(c)
 
 
 def blocks(node: Node) -> Iterator[str]:
@@ -497,34 +580,22 @@ def blocks(node: Node) -> Iterator[str]:
     Page furniture of HTML, other containers of three texts or BLOCK_CHARS
     characters, and single texts as long; no headings, code or formulas.
     """
-    for c in node.children:
-        if c.kind not in ("heading", "code") and not re.fullmatch(r"<h[1-6]", c.kind) and not FORMULA_ONLY.fullmatch(c.text):
-            texts = [t for t in _texts(c) if t]
-            if c.kind in FURNITURE and texts or c.kind[0] == "<" and len(texts) >= 3 or sum(map(len, texts)) >= BLOCK_CHARS:
-                yield c.digest
-        yield from blocks(c)
-
-
-def _texts(node: Node) -> Iterator[str]:
-    """The texts of a subtree but those of headings, code and formulas."""
-    if node.kind not in ("heading", "code") and not re.fullmatch(r"<h[1-6]", node.kind):
-        if not FORMULA_ONLY.fullmatch(node.text):
-            yield node.text
-        for c in node.children:
-            yield from _texts(c)
+    for c in _below(node):
+        if c.kind in FURNITURE and c.texts or c.kind[0] == "<" and c.texts >= 3 or c.chars >= BLOCK_CHARS:
+            yield c.digest
 
 
-PARSED = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("families", "subtrees", "blocks")])
+PARSED = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("families", "subtrees", "blocks")] + [T.StructField("clean", T.StringType())])
 
 
 @F.pandas_udf(PARSED)
 def parse_udf(texts: pd.Series) -> pd.DataFrame:
-    """Families (in fixed order), distinct subtree hashes of each text, and which of them are blocks; equal texts of a batch are parsed once."""
+    """Families (in fixed order), distinct subtree hashes of each text, which of them are blocks, and the clean text of all; equal texts of a batch are parsed once."""
     codes, values = pd.factorize(texts, use_na_sentinel=False)
     got = []
     for v in values:
         p = Parse(v if isinstance(v, str) else None)
-        got.append(([f for f in FAMILIES if f in p.families], list(dict.fromkeys(subtrees(p.root))), list(dict.fromkeys(blocks(p.root)))))
+        got.append(([f for f in FAMILIES if f in p.families], list(dict.fromkeys(subtrees(p.root))), list(dict.fromkeys(blocks(p.root))), render(p.root)))
     return pd.DataFrame({f.name: [got[k][i] for k in codes] for i, f in enumerate(PARSED.fields)})
 
 
@@ -532,70 +603,71 @@ def parse_udf(texts: pd.Series) -> pd.DataFrame:
 parse_udf = parse_udf.asNondeterministic()
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def families_udf(texts: pd.Series) -> pd.Series:
-    """The families alone; equal texts of a batch are parsed once."""
-    codes, values = pd.factorize(texts, use_na_sentinel=False)
-    got = [[f for f in FAMILIES if f in p.families] for p in (Parse(v if isinstance(v, str) else None) for v in values)]
-    return pd.Series([got[k] for k in codes], dtype=object)
-
-
-families_udf = families_udf.asNondeterministic()
-
-
 @F.pandas_udf(T.StringType())
-def clean_udf(texts: pd.Series, drop: pd.Series) -> pd.Series:
-    """The clean text without the subtrees listed; null stays null."""
-    return pd.Series([None if not isinstance(t, str) else render(Parse(t).root, frozenset(d) if d is not None else frozenset()) for t, d in zip(texts, drop, strict=True)], dtype=object)
-
-
-def texts(df: DataFrame, key: Column, fields: list[str], host: Column) -> DataFrame:
-    """key, host, field, text: one row for each given field with a text."""
-    long = df.select(key.alias("key"), host.alias("host"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
-    return long.select("key", "host", "x.field", "x.text").where("key is not null and text is not null and text <> ''")
-
-
-def parsed(df: DataFrame, key: Column, fields: list[str], host: Column) -> DataFrame:
-    """key, host, field, text, families, subtrees, blocks: one row for each given field with a text; equal rows count once."""
-    return texts(df, key, fields, host).withColumn("p", parse_udf("text")).select("key", "host", "field", "text", "p.families", "p.subtrees", "p.blocks")
-
+def without_udf(texts: pd.Series, drop: pd.Series) -> pd.Series:
+    """The clean text without the subtrees listed."""
+    return pd.Series([render(Parse(t).root, frozenset(d)) for t, d in zip(texts, drop, strict=True)], dtype=object)
 
-def markup_found(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Distinct key, field, family of the markup that the parse met.
 
-    Null and empty texts hold none.  Repeated rows give one.
-    """
-    found = texts(df, F.col(key), fields, F.lit("")).withColumn("families", families_udf("text"))
-    return found.select(F.col("key").alias(key), "field", F.explode("families").alias("family")).distinct()
+def parsed(df: DataFrame, key: Column, fields: list[str], host: Column, order: Column) -> DataFrame:
+    """key, host, field, ord, text, families, subtrees, blocks, clean: one row for each given field with a text."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
+    long = df.select(key.alias("key"), host.alias("host"), order.alias("ord"), each.alias("x")).select("key", "host", "x.field", "ord", "x.text")
+    return long.where("key is not null and text is not null and text <> ''").withColumn("p", parse_udf("text")).select("key", "host", "field", "ord", "text", "p.*")
 
 
 def site_templates(parts: DataFrame, min_pages: int = 8, min_share: float = 0.4, block_share: float = 0.02) -> DataFrame:
     """host, drop: the subtree hashes that recur on min_share of the host's pages, and on min_pages at least.
 
     For blocks, which do not recur by chance, block_share is enough, so that
-    the template of a part of a large host goes too.  Pages of a host are
-    counted map side first, so one host may hold any share of all rows.  A
+    the template of a part of a large host goes too.  A subtree counts once a
+    page: the distinct (host, subtree, page) are reduced map side, then
+    counted by (host, subtree), so one host may hold any share of all rows.  A
     host has at most (subtrees a page / block_share) template subtrees, so the
     array of a host stays small whatever the number of pages.
     """
     marked = F.transform("subtrees", lambda h: F.struct(h.alias("h"), F.array_contains("blocks", h).alias("block")))
-    one = parts.groupBy("host", "key").agg(F.array_distinct(F.flatten(F.collect_set(marked))).alias("s"))
-    per = one.select("host", F.explode("s").alias("x")).groupBy("host", "x.h", "x.block").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    pages = one.groupBy("host").agg(F.count("*").alias("pages"))
+    one = parts.select("host", "key", F.explode(marked).alias("x")).select("host", "key", "x.*").distinct()
+    per = one.groupBy("host", "h", "block").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    pages = parts.groupBy("host").agg(F.count_distinct("key").alias("pages"))
     share = F.when(F.col("block"), min(block_share, min_share)).otherwise(min_share)
     return per.join(pages, "host").where(F.col("n") >= F.col("pages") * share).groupBy("host").agg(F.collect_set("h").alias("drop"))
 
 
-def clean_text(df: DataFrame, key: str, fields: list[str], host: Column, min_pages: int = 8, min_share: float = 0.4, block_share: float = 0.02) -> DataFrame:
-    """key, field, family list, clean text with the host's template subtrees deleted.
+def clean_pages(df: DataFrame, key: str, fields: list[str], host: Column, order: Column | None = None, min_pages: int = 8, min_share: float = 0.4, block_share: float = 0.02, splits: int = 16) -> DataFrame:
+    """key, host, field, ord, families, removed (number of its template subtrees), clean: one row for each row of df and given field with a text.
 
-    A null host is a host of its own.  Texts that are empty or null give no
-    row; a text that is nothing but template gives an empty clean text.
+    Each text is parsed once; only texts that hold a template of their host
+    are parsed again, to be rendered without it.  ``families`` are those that
+    the text as given holds: a template's markup is the text's too.  A null
+    host is a host of its own; null and empty texts give no row; a text that is
+    nothing but template gives an empty clean text.  The rows of a host are
+    spread over so many splits, its template list being repeated for each.
     """
-    parts = parsed(df, F.col(key), fields, F.coalesce(host, F.lit("")))
+    parts = written(parsed(df, F.col(key), fields, F.coalesce(host, F.lit("")), F.lit(0) if order is None else order), "parsed")
     drop = site_templates(parts, min_pages, min_share, block_share)
-    rows = parts.select("key", "host", "field", "text", "families").dropDuplicates(["key", "field"])
-    out = rows.join(drop, "host", "left").select(
-        F.col("key").alias(key), "field", F.array_join("families", ",").alias("families"), clean_udf("text", F.coalesce("drop", F.array().cast("array<string>"))).alias("clean")
+    drop = drop.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    j = parts.withColumn("split", F.pmod(F.xxhash64("key", "field"), F.lit(splits)).cast("int")).join(drop, ["host", "split"], "left")
+    mine = j.withColumn("drop", F.array_intersect("subtrees", F.coalesce("drop", F.array().cast("array<string>"))))
+    cols = ["key", "host", "field", "ord", "families"]
+    whole = mine.where("size(drop) = 0").select(*cols, F.lit(0).alias("removed"), "clean")
+    part = mine.where("size(drop) > 0").select(*cols, F.size("drop").alias("removed"), without_udf("text", "drop").alias("clean"))
+    return whole.unionByName(part)
+
+
+def markup_found(df: DataFrame, key: str, fields: list[str], host: Column, **limits) -> DataFrame:
+    """Distinct key, field, family of the markup that the cleaning met, removed templates included.  Repeated rows give one."""
+    got = clean_pages(df, key, fields, host, **limits)
+    return got.select(F.col("key").alias(key), "field", F.explode("families").alias("family")).distinct()
+
+
+def clean_text(df: DataFrame, key: str, fields: list[str], host: Column, order: Column | None = None, **limits) -> DataFrame:
+    """key, field, family list, clean text with the host's template subtrees deleted: one row a key and field.
+
+    Of several rows of one key the one with the least ``order`` holds, nulls
+    last, then the least clean text.
+    """
+    got = clean_pages(df, key, fields, host, order, **limits)
+    return got.groupBy("key", "field").agg(F.min(F.struct(F.col("ord").isNull(), "ord", "clean", "families")).alias("r")).select(
+        F.col("key").alias(key), "field", F.array_join("r.families", ",").alias("families"), F.col("r.clean").alias("clean")
     )
-    return out

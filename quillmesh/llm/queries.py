@@ -18,14 +18,38 @@ def _site() -> F.Column:
     return F.concat_ws("/", "layer", "topic")
 
 
+def _p1_pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_t(spark, d, "pages").select("page_id", "layer", "topic", "body", "summary", "ingested_at"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = spread(_t(spark, d, "pages").select("page_id", "body", "summary"))
-    return markup.markup_found(pages, "page_id", ["body", "summary"])
+    return markup.markup_found(_p1_pages(spark, d), "page_id", ["body", "summary"], _site())
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    pages = spread(_t(spark, d, "pages").select("page_id", "layer", "topic", "body", "summary"))
-    return markup.clean_text(pages, "page_id", ["body", "summary"], _site())
+    return markup.clean_text(_p1_pages(spark, d), "page_id", ["body", "summary"], _site(), F.col("ingested_at"))
+
+
+#: Texts with the clean form that they must have.
+CASES = [
+    ("<script>var a = 1 < 2;</script>hello <b>world</b>", "hello world"),
+    ("<style>p{color:red}</style>hi", "hi"),
+    ("<ul><li><p>alpha one</p></li><li>beta<ul><li>gamma</li></ul></li></ul>", "\u2022 alpha one\n\u2022 beta\n  \u2022 gamma"),
+    ("<h2><div>Title</div></h2>text &amp; more", "\u00a7\u00a7 Title\ntext & more"),
+    ("# Head\n\n- one\n- two\n\n```\nx = [[a]]\n```", "\u00a7 Head\n\u2022 one\n\u2022 two\n\u300e\nx = [[a]]\n\u300f"),
+    ("a {{b|{{c|{{d|{{e|{{f|{{g|{{h|{{i|{{j}}}}}}}}}}}}}}}}}} k", "a  k"),
+    (r"\section{One} see $\frac{\sqrt{a}}{b}$ and \frac{\sqrt{a}}{b}", "\u00a7\u00a7 One\nsee \u27e6\\frac{\\sqrt{a}}{b}\u27e7 and \u27e6\\frac{\\sqrt{a}}{b}\u27e7"),
+    (r"\textbf{very \emph{deep} word} end", "very deep word end"),
+    ("== Wiki ==\n'''bold''' and [[a/b/c|label]]", "\u00a7\u00a7 Wiki\nbold and label"),
+    ("plain text, 3 < 4 and 5 * 6", "plain text, 3 < 4 and 5 * 6"),
+    ("sign &#xE000; and \ue005 and \ue003x\ue003", "sign \ue000 and \ue005 and \ue003x\ue003"),
+]
+
+
+def p1_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The clean form of texts of a fixed table."""
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "case_id int, text string")
+    return markup.clean_text(rows, "case_id", ["text"], F.lit("cases")).select("case_id", "clean")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,9 +108,12 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     return f.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_chars", "n_words", "n_lines")], *[F.round(c, 6).alias(c) for c in ("mean_word", "symbol_ratio", "digit_ratio", "punct_lines")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p6_found, p6_canonical, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_figures, p9_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_cases, p6_found, p6_canonical, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_figures, p9_stats)}
+
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
 
 ORACLE = {
+    "p1_cases": "select * from (values " + ", ".join(f"({i}, {_quoted(c)})" for i, (_, c) in enumerate(CASES)) + ") t(case_id, clean)",
     "p9_stats": r"""with d as (select doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') t from documents where regexp_matches(text, '\S')),
       e as (select doc_id, t, length(regexp_replace(t, '\s+', '', 'g'))::double n, len(regexp_extract_all(t, '\S+'))::bigint n_words,
               list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '\S')) ls from d)

@@ -1,6 +1,8 @@
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmesh.llm import markup as M
@@ -64,8 +66,8 @@ def pages(spark, rows):
 
 def test_found(spark, rows):
     p = pages(spark, [(1, "s", "<b>x</b>", None), (1, "s", "<b>x</b>", None), (2, None, None, ""), (3, "s", "**a** [[x]]", "$x$"), (None, "s", "<i>a</i>", "b")])
-    assert rows(M.markup_found(p, "page_id", ["body", "summary"])) == [(1, "body", "html"), (3, "body", "markdown"), (3, "body", "wiki"), (3, "summary", "latex")]
-    assert M.markup_found(p.limit(0), "page_id", ["body"]).count() == 0
+    assert rows(M.markup_found(p, "page_id", ["body", "summary"], F.col("site"))) == [(1, "body", "html"), (3, "body", "markdown"), (3, "body", "wiki"), (3, "summary", "latex")]
+    assert M.markup_found(p.limit(0), "page_id", ["body"], F.col("site")).count() == 0
 
 
 def test_open_commands_end_in_time():
@@ -78,6 +80,43 @@ def test_site_template_is_deleted(spark):
     p = pages(spark, [(i, "s", nav + f"<p>text {i}</p>\n## Same", None) for i in range(20)] + [(100, None, nav + "alone", None)])
     got = {r["page_id"]: r["clean"] for r in M.clean_text(p, "page_id", ["body", "summary"], F.col("site"), min_pages=8, min_share=0.9).collect()}
     assert got[3] == "text 3" and "Home" in got[100] and "alone" in got[100]
+    # A template's markup is the text's too, and is found by way of the same rows.
+    every = M.clean_pages(p, "page_id", ["body", "summary"], F.col("site"), min_pages=8, min_share=0.9)
+    assert {(r["removed"] > 0, "html" in r["families"]) for r in every.where("host = 's'").collect()} == {(True, True)}
+    found = M.markup_found(p, "page_id", ["body"], F.col("site"), min_pages=8, min_share=0.9)
+    assert found.where("family = 'html'").count() == 21
+
+
+def test_repeated_pages_hold_their_first_text(spark):
+    p = pages(spark, [(1, "s", "later", None), (1, "s", "first", None), (1, "s", "undated", None)]).withColumn("at", F.expr("case body when 'later' then 2 when 'first' then 1 end"))
+    assert [r["clean"] for r in M.clean_text(p, "page_id", ["body", "summary"], F.col("site"), F.col("at")).collect()] == ["first"]
+
+
+PIECES = [chr(0xE000 + k) for k in range(7)] + (
+    "0 1 { } {{ }} | [[ ]] [ ] ( ) <li> <ul> </ul> </li> <h1> </h1> <p> <script> </script> <pre> </pre> <td> <!-- --> &#xE000; &#xE003; &amp; ` ``` ~~~ $ $$ \\ \\frac{ "
+    "\\textbf{ \\section{ \\cite{ \\item \\[ \\] * ** _ __ ~~ '' == # > {| |} |- word https://a.b [^1]:"
+).split() + [" ", "\n", "\n\n", "- "]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=40))
+def test_any_text_ends_without_error(pieces):
+    p = M.Parse("".join(pieces))
+    assert isinstance(M.render(p.root), str) and p.families <= set(M.FAMILIES)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=st.sampled_from([chr(0xE000 + k) for k in range(7)] + ["a"]), min_size=1, max_size=12))
+def test_private_signs_of_the_text_stay(text):
+    assert M.render(M.Parse(text).root) == text
+
+
+def test_any_depth_of_nesting():
+    assert M.render(M.Parse("<div>" * 3_000 + "x" + "</div>" * 3_000).root) == "x"
+    assert M.render(M.Parse("{{a|" * 3_000 + "}}" * 3_000 + "k").root) == "k"
+    assert M.render(M.Parse("\\emph{" * 3_000 + "x" + "}" * 3_000).root) == "x"
+    deep = M.render(M.Parse("<ul><li>a" * 400 + "</li></ul>" * 400).root).split("\n")
+    assert len(deep) == 400 and deep[399] == "  " * 399 + "• a"
 
 
 def test_template_of_a_part_of_a_host_is_deleted(spark):
