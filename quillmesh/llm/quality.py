@@ -1,13 +1,13 @@
 """Figures of form of each text, and its kind by an ordered rule list learned from labelled texts.
 
-The figures are SQL expressions: they run inside Spark, over whole texts.  The
+The figures are counted over whole texts in Arrow batches (``figures``).  The
 rules are induced on the driver from a bounded sample of labelled texts by
 incremental reduced-error pruning: a rule is grown on two thirds of the texts
 by information gain, pruned on the last third as long as its precision there
 rises, and kept while it is right more often than not; the texts it covers
 are set aside and the next rule is grown.  Kinds are learned from the rarest
 to the most frequent, which is the default.  The learned thresholds become one
-SQL CASE expression, applied to all texts.
+SQL CASE expression, applied natively to all texts.
 """
 
 from __future__ import annotations
@@ -15,154 +15,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.figures import NAMES, figures_udf
 from quillmesh.session import written
 
 #: Labelled texts that the rules are learned from, at most: those with the least hash of their id.
 LABELS = 20_000
 
-# Frequent function words of English, German and Spanish.
-COMMON = (
-    "the of and to a in is that it for on are as with was be by at this from or an not have which has but we they can when there if "
-    "than so its will would no how what one all were der die das und ist nicht ein eine den dem des zu mit auf von im sich es wir dass "
-    "wie wenn oder auch aber bei el la los las de que y en un una por con para no es se del al lo como pero más si su este esta cómo"
-)
-
-
-def _trie(words: list[str]) -> str:
-    """A pattern for any of the words that looks at each letter once."""
-    heads: dict[str, list[str]] = {}
-    for w in words:
-        if w:
-            heads.setdefault(w[0], []).append(w[1:])
-    body = "|".join(h + _trie(t) for h, t in sorted(heads.items()))
-    return "" if not body else f"(?:{body}){'?' if '' in words else ''}"
-
-
-_WORDS = _trie(sorted(set(COMMON.split())))
-# Line patterns are anchored or bounded, so that no line, however long, is read more than a few times.
-LIST_LINE = r"^[ \t　]*(?:[-*+•・–—▪◦‣·●○■□][ \t　]*|\(?\d{1,3}[.)、．][ \t　]*|[A-Za-z][.)][ \t]+|v\d+(?:\.\d+){1,3}[ \t]+|\[[ xX]\][ \t]*)\S"
-END_LINE = r"[.!?。！？…][\"'”’」』)）\]]*\s*$"
-FIELD_LINE = r"^[^\s:：][^:：]{0,40}[:：][ \t　]?[^:：.。]{1,60}$"
-SENTENCE_END = r"[.!?](?=\s|$|[)\"”])|[。！？]"
-
-
-def _share(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b).otherwise(0.0)
-
-
-def _count(c: Column, p: str) -> Column:
-    return F.regexp_count(c, F.lit(p)).cast("double")
-
-
-def _chars(c: Column, members: str) -> Column:
-    """Characters of a class: what is left when runs of all others are cut out, without a list of matches."""
-    return F.length(F.regexp_replace(c, f"[^{members}]+", "")).cast("double")
-
-
-def _solid(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"\s+", "")).cast("double")
-
-
-_CELLS = ("bars", "gaps", "semis", "tight")
-#: What each line sum is made of.
-SUMS = {
-    "n": (), "lines": (), "list": ("listed",), "open_list": ("listed", "ended"), "table": (*_CELLS, "grid"), "record": (*_CELLS, "digit", "ended"), "field": ("field", "listed"),
-    "short": ("ended",), "open": ("ended",), "ended": ("ended",), "inline": ("commas",),
-}
-#: The line sums, other than n and lines, that figures are made of.
-NEEDS = {
-    "punct_lines": ("ended",), "list_chars": ("list",), "open_list_chars": ("open_list",), "table_chars": ("table",), "record_chars": ("record",), "field_chars": ("field",),
-    "grid_chars": ("table", "record", "field"), "short_open_chars": ("short",), "open_chars": ("open",), "inline_list_chars": ("inline",),
-}
-
-
-def _line(l: Column, parts: set[str]) -> Column:
-    """What one line looks like. Lambdas share no subexpressions, so each test is made here once, and combined in ``_add``."""
-    many = lambda ch: F.length(l) - F.length(F.replace(l, F.lit(ch)))
-    of = {
-        "listed": l.rlike(LIST_LINE), "ended": l.rlike(END_LINE), "bars": F.greatest(many("|"), many("\t")), "gaps": F.size(F.split(F.trim(l), " {2,}|　")),
-        "semis": F.size(F.split(l, r";(?=[^\s;])")), "tight": F.size(F.split(l, r",(?=[^\s,])")), "commas": many(",") + many("、"),
-        "grid": l.contains("</td>") | l.contains("<tr") | l.rlike(r"^[-+|=: ]{6,}$"), "field": l.rlike(FIELD_LINE), "digit": l.rlike(r"\d"),
-    }
-    n = F.length(F.regexp_replace(l, "[ \t　]+", "")).cast("double")
-    return F.struct(n.alias("n"), *[of[k].alias(k) for k in of if k in parts])
-
-
-def _adds(x: Column, sums: list[str]) -> dict[str, Column]:
-    n = x["n"]
-    on = lambda c: F.when(c, n).otherwise(0.0)
-    cells = F.greatest(x["bars"], x["gaps"] - 1, x["semis"] - 1, x["tight"] - 1)
-    each = {
-        "n": lambda: n, "lines": lambda: F.lit(1.0), "list": lambda: on(x["listed"]), "open_list": lambda: on(x["listed"] & ~x["ended"]), "table": lambda: on((cells >= 2) | x["grid"]),
-        "record": lambda: on(x["digit"] & ~x["ended"] & (cells >= 1)), "field": lambda: on(x["field"] & ~x["listed"]), "short": lambda: on((n <= 45) & ~x["ended"]), "open": lambda: on((n <= 90) & ~x["ended"]),
-        "ended": lambda: F.when(x["ended"], 1.0).otherwise(0.0), "inline": lambda: on(x["commas"] >= 4),
-    }
-    return {k: each[k]() for k in sums}
-
-
-def line_sums(text: Column, used: set[str] | None = None) -> Column:
-    """Sums of the line figures over the lines that are not blank; with ``used``, those that these figures are made of."""
-    sums = [k for k in SUMS if used is None or k in ("n", "lines") or any(k in NEEDS.get(u, ()) for u in used)]
-    parts = {p for k in sums for p in SUMS[k]}
-    lines = F.filter(F.split(text, r"\n"), lambda l: F.trim(l) != "")
-
-    def add(a: Column, x: Column) -> Column:
-        more = _adds(x, sums)
-        return F.struct(*[(a[k] + more[k]).alias(k) for k in sums])
-
-    return F.aggregate(F.transform(lines, lambda l: _line(l, parts)), F.struct(*[F.lit(0.0).alias(k) for k in sums]), add)
-
-
-def figures(t: Column, s: Column) -> dict[str, Column]:
-    """The figures of a text, by name, given its line sums; a share is 0 where its whole is empty."""
-    low = F.lower(t)
-    n = s["n"]
-    words = _count(t, r"\S+")
-    # Naming a sum is not reading it: figures whose sums are not there are never selected.
-    cjk = _chars(t, r"぀-ヿ㐀-鿿")
-    gone = lambda p: _share(n - _solid(F.regexp_replace(t, p, "")), n)
-    distinct = lambda c: F.size(F.array_distinct(c)).cast("double")
-    sentences = F.split(t, r"[.!?。！？\n]+\s*")
-    terms = F.split(low, r"[\s,、;/]+")
-    return {
-        "n_chars": F.length(t).cast("double"),
-        "n_words": words,
-        "n_lines": s["lines"],
-        "mean_word": _share(n, words),
-        "mean_line": _share(n, s["lines"]),
-        "symbol_ratio": gone(r"[^\p{L}\p{N}\s]+"),
-        "digit_ratio": _share(_chars(t, r"\p{N}"), n),
-        "cjk_ratio": _share(cjk, n),
-        "kana_ratio": _share(_chars(t, r"ぁ-ゖ"), cjk + 1),
-        "punct_lines": _share(s["ended"], s["lines"]),
-        "sentence_ends": _share(_count(t, SENTENCE_END) * 100, n),
-        "common_words": _share(_count(low, rf"(?:^|\s)(?:{_WORDS})(?=[\s.,;:!?)]|$)"), words),
-        "list_chars": _share(s["list"], n),
-        "open_list_chars": _share(s["open_list"], n),
-        "table_chars": _share(s["table"], n),
-        "record_chars": _share(s["record"], n),
-        "field_chars": _share(s["field"], n),
-        "grid_chars": _share(F.greatest(s["table"], s["record"], s["field"]), n),
-        "short_open_chars": _share(s["short"], n),
-        "open_chars": _share(s["open"], n),
-        "inline_list_chars": _share(s["inline"], n),
-        "url_chars": gone(r"(?:https?://|www\.)\S+"),
-        "link_chars": gone(r"\[\[[^\]\n]*\]\]"),
-        "run_chars": gone(r"(\S{1,4}?)\1{3,}"),
-        "commas": _share(_chars(t, r",、;"), words + cjk / 4),
-        "one_letter": _share(_count(t, r"(?<!\S)\S(?!\S)"), words),
-        "odd_words": _share(_count(t, r"(?<!\S)(?=\S*\p{L})(?=\S*[^\p{L}\p{N}\s.,;:!?'()\"。、/-])\S+"), words),
-        "hex_words": _share(_count(low, r"(?<!\S)(?:0x)?(?=[0-9a-f]*\d)[0-9a-f]{2,8}(?!\S)"), words),
-        "distinct_terms": distinct(terms),
-        "distinct_term_share": _share(distinct(terms), F.size(terms).cast("double")),
-        "distinct_line_share": _share(distinct(F.split(F.trim(t), r"\s*\n\s*")), s["lines"] + 1),
-        "distinct_sentence_share": _share(distinct(sentences), F.size(sentences).cast("double")),
-        "vowel_ratio": _share(_chars(low, r"aeiouáéíóúäöüàèyãï"), _chars(low, r"a-zà-ÿ") + 1),
-    }
-
 
 @dataclass(frozen=True)
 class Condition:
@@ -297,16 +158,11 @@ def case_sql(rules: list[Rule], default: str) -> str:
 SIZE = frozenset(("n_chars", "n_words", "n_lines", "distinct_terms"))
 
 
-def _texts(docs: DataFrame, used: set[str] | None = None) -> DataFrame:
-    """doc_id, t (the text with line feeds only), s (its line sums) of texts that are not null and not blank."""
-    d = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", "text")
-    d = d.select("doc_id", F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")).alias("t"))
-    return d.withColumn("s", line_sums(F.col("t"), used))
-
-
 def with_figures(docs: DataFrame) -> DataFrame:
     """doc_id and the figures of each text that is not null and not blank."""
-    return _texts(docs).select("doc_id", *[v.alias(k) for k, v in figures(F.col("t"), F.col("s")).items()])
+    d = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", "text")
+    lf = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return d.select("doc_id", figures_udf(lf).alias("f")).select("doc_id", *[f"f.{k}" for k in NAMES])
 
 
 def sample(labels: DataFrame, bound: int = LABELS) -> DataFrame:
@@ -331,18 +187,10 @@ def kinds(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> DataFrame:
 
 
 def only_kinds(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> DataFrame:
-    """doc_id, kind: the same rules, but their figures stand inside the CASE, so that one is computed only for texts that come to it.
+    """doc_id, kind: the same rules, without the figures.
 
-    Written, since a condition on kind would else be pushed down and compute
+    Written, since a condition on kind would else be pushed below and compute
     the figures twice.
     """
     rules, default = learn(docs, labels, bound)
-    used = {c.name for r in rules for c in r.conditions}
-    all_ = figures(F.col("t"), F.col("s"))
-    kind = F.lit(default)
-    for r in reversed(rules):
-        test = F.lit(True)
-        for c in r.conditions:
-            test = test & ((all_[c.name] > c.value) if c.above else (all_[c.name] <= c.value))
-        kind = F.when(test, F.lit(r.kind)).otherwise(kind)
-    return written(_texts(docs, used).select("doc_id", kind.alias("kind")), "kinds")
+    return written(with_figures(docs).select("doc_id", F.expr(case_sql(rules, default)).alias("kind")), "kinds")

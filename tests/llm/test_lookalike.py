@@ -36,3 +36,20 @@ def test_found(spark, rows):
     assert L.lookalike_found(p.limit(0), "page_id", ["title"], ["keywords"]).count() == 0
     c = L.canonical_columns(p.where("page_id = 1"), ["title"], ["keywords"]).first()
     assert c["title_canonical"] == "x" and L.canonical_columns(p.where("page_id = 3"), ["title"], ["keywords"]).first()["title_canonical"] is None
+
+
+REAL = ["ухо роса сор хор", "АВТОР", "нос", "нос и ухо", "книга АВТОР", "λόγος", "π", "σ and α", "μέθοδος νου", "Հայաստան", "ᏣᎳᎩ", "/ɡoʊ/ is go", "see библиотека АВТОР here", "Москва", "на практике"]
+SPOOFED = [("օption", "option"), ("Ꭺpple", "Apple"), ("ɡood", "good"), ("the ТОС of it", "the TOC of it"), ("РСА and МСР", "PCA and MCP"), ("саche", "cache"), ("ベクトル索引 ТОС", "ベクトル索引 TOC"), ("5 − 3", "5 - 3"), ("mеthоd", "method"), ("библиoтекa", "библиотека")]
+
+
+def test_words_of_other_scripts_stay(spark):
+    table = L.confusable_letters(spark)
+    assert len(table) > 120 and table["օ"] == "o" and table["Ꭺ"] == "A" and table["І"] == "I"
+    for t in REAL:
+        assert L.written_form(t, table) == t
+
+
+def test_letters_of_another_script_are_read_in_the_script_of_their_word(spark):
+    table = L.confusable_letters(spark)
+    for t, want in SPOOFED:
+        assert L.written_form(t, table) == want
