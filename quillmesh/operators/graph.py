@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.refs import norm_ref
@@ -12,6 +14,8 @@ from quillmesh.session import written
 OUT, IN = 0, 1
 STEP = "array<struct<ref:string,rel:string,dir:int>>"
 KEY = "array<struct<dir:int,rel:string,other:string>>"
+#: Rows of a level that are kept on the driver and sent to the tasks; a larger level is written to the shared folder and joined.
+SMALL = 5_000
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -48,6 +52,41 @@ def neighbours(adj: DataFrame, rels: list[str] | None = None, direction: str = "
     return adj if direction == "both" else adj.where(F.col("dir") == (OUT if direction == "out" else IN))
 
 
+@dataclass
+class _Level:
+    """The rows of one level: at most SMALL of them at hand, or a table."""
+
+    spark: SparkSession
+    schema: object
+    rows: list | None
+    table: DataFrame | None
+
+    @classmethod
+    def of(cls, df: DataFrame, name: str) -> _Level:
+        rows = df.limit(SMALL + 1).collect()
+        small = len(rows) <= SMALL
+        return cls(df.sparkSession, df.schema, rows if small else None, None if small else written(df, name))
+
+    @property
+    def empty(self) -> bool:
+        return self.rows is not None and not self.rows
+
+    def df(self) -> DataFrame:
+        return self.table if self.rows is None else self.spark.createDataFrame(self.rows, self.schema)
+
+    def links(self, adj: DataFrame) -> DataFrame:
+        """The level's rows (column node) with the links of their nodes; of few nodes only the buckets and row groups that may hold them are read."""
+        if self.rows is None:
+            return self.table.join(adj, "node")
+        nodes = sorted({r["node"] for r in self.rows})
+        return adj.where(F.col("node").isin(nodes)).join(F.broadcast(self.df()), "node")
+
+    def without(self, df: DataFrame, column: str) -> DataFrame:
+        """df without the rows whose column names a node of this level."""
+        mine = self.df().select(F.col("node").alias(column))
+        return df.join(F.broadcast(mine) if self.rows is not None else mine, column, "left_anti")
+
+
 def _require(index: DataFrame, ref: str) -> None:
     if not index.where(F.col("ref") == ref).limit(1).count():
         raise KeyError(f"no page {ref}")
@@ -69,33 +108,50 @@ def traverse(adj: DataFrame, index: DataFrame, start: str, hops: int = 1, rels:
     _require(index, start)
     spark = adj.sparkSession
     adj = neighbours(adj, rels, direction)
-    front = spark.createDataFrame([(start,)], "node string").withColumn("key", F.array().cast(KEY))
-    seen = front.select(F.col("node").alias("other"))
-    levels = []
+    front = _Level(spark, spark.createDataFrame([], f"node string, key {KEY}").schema, [Row(node=start, key=[])], None)
+    seen, levels = [front], []
     for hop in range(1, hops + 1):
-        step = front.join(adj, "node").select("other", F.struct(F.concat("key", F.array(F.struct("dir", "rel", "other"))).alias("key"), F.col("node").alias("parent"), "rel", "dir").alias("s"))
-        new = written(step.groupBy("other").agg(F.min("s").alias("s")).join(seen, "other", "left_anti"), "level")
-        levels.append(new.select(F.col("other").alias("ref"), F.lit(hop).alias("hop"), F.col("s.parent").alias("parent"), F.col("s.rel").alias("rel"), F.when(F.col("s.dir") == OUT, "out").otherwise("in").alias("direction")))
-        if hop < hops and new.isEmpty():
+        step = front.links(adj).select("other", F.struct(F.concat("key", F.array(F.struct("dir", "rel", "other"))).alias("key"), F.col("node").alias("parent"), "rel", "dir").alias("s"))
+        new = step.groupBy("other").agg(F.min("s").alias("s"))
+        for one in seen:
+            new = one.without(new, "other")
+        new = _Level.of(new.select(F.col("other").alias("node"), "s.key", "s.parent", "s.rel", "s.dir"), "level")
+        levels.append(new.df().select(F.col("node").alias("ref"), F.lit(hop).alias("hop"), "parent", "rel", F.when(F.col("dir") == OUT, "out").otherwise("in").alias("direction")))
+        if new.empty:
             break
-        front, seen = new.select(F.col("other").alias("node"), F.col("s.key").alias("key")), seen.union(new.select("other"))
+        front = _narrow(new, ["node", "key"])
+        seen.append(front)
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
     return out if limit is None else out.orderBy("hop", "ref").limit(limit)
 
 
-def reach(adj: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """node, dist of all nodes within the hops of any start (column node), in either direction."""
-    front = starts.select("node").distinct()
-    seen = front.withColumn("dist", F.lit(0))
+def _narrow(level: _Level, columns: list[str]) -> _Level:
+    """The level with these columns only."""
+    df = level.df().select(*columns)
+    rows = None if level.rows is None else [tuple(r[c] for c in columns) for r in level.rows]
+    rows = rows if rows is None else [Row(**dict(zip(columns, r, strict=True))) for r in rows]
+    return _Level(level.spark, df.schema, rows, df if level.rows is None else None)
+
+
+def reach(adj: DataFrame, starts: DataFrame, hops: int, until: str | None = None) -> DataFrame:
+    """node, dist of all nodes within the hops of any start (column node), in either direction; no farther than the level of ``until``."""
+    front = _Level.of(starts.select("node").distinct(), "reach")
+    seen, out = [front], front.df().withColumn("dist", F.lit(0))
     for hop in range(1, hops + 1):
-        new = written(front.join(adj, "node").select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti"), "reach")
-        seen = seen.unionByName(new.withColumn("dist", F.lit(hop)))
-        if new.isEmpty():
+        new = front.links(adj).select(F.col("other").alias("node")).distinct()
+        # Links run both ways, so a neighbour is at most one level nearer.
+        for one in seen[-2:]:
+            new = one.without(new, "node")
+        front = _Level.of(new, "reach")
+        if front.empty:
+            break
+        seen.append(front)
+        out = out.unionByName(front.df().withColumn("dist", F.lit(hop)))
+        if until is not None and not front.df().where(F.col("node") == until).isEmpty():
             break
-        front = new
-    return seen
+    return out
 
 
 def shortest_paths(adj: DataFrame, a: str, b: str, max_paths: int = 3, max_hops: int = 6) -> DataFrame:
@@ -109,16 +165,16 @@ def shortest_paths(adj: DataFrame, a: str, b: str, max_paths: int = 3, max_hops:
     if max_paths < 1:
         raise ValueError("max_paths must be 1 or more")
     spark = adj.sparkSession
-    paths = spark.createDataFrame([(a,)], "node string").withColumn("steps", F.array().cast(STEP))
-    dist = written(reach(adj, spark.createDataFrame([(b,)], "node string"), max_hops), "dist")
-    far = dist.where(F.col("node") == a).select("dist").first()
+    paths = _Level(spark, spark.createDataFrame([], f"node string, steps {STEP}").schema, [Row(node=a, steps=[])], None)
+    dist = _Level.of(reach(adj, spark.createDataFrame([(b,)], "node string"), max_hops, a), "dist")
+    far = dist.df().where(F.col("node") == a).select("dist").first()
     if far is None:
-        return paths.limit(0).select(F.lit(1).alias("path_no"), F.lit(0).alias("len"), "steps")
+        return paths.df().limit(0).select(F.lit(1).alias("path_no"), F.lit(0).alias("len"), "steps")
     for t in range(far[0]):
-        to = dist.where(F.col("dist") == far[0] - t - 1).select(F.col("node").alias("other"))
-        step = paths.join(adj, "node").join(to, "other").select(F.col("other").alias("node"), F.concat("steps", F.array(F.struct(F.col("other").alias("ref"), "rel", "dir"))).alias("steps"))
-        paths = written(step.orderBy("steps").limit(max_paths), "paths")
-    rows = paths.select(F.size("steps").alias("len"), "steps").orderBy("steps").limit(max_paths)
+        to = dist.df().where(F.col("dist") == far[0] - t - 1).select(F.col("node").alias("other"))
+        step = paths.links(adj).join(to, "other").select(F.col("other").alias("node"), F.concat("steps", F.array(F.struct(F.col("other").alias("ref"), "rel", "dir"))).alias("steps"))
+        paths = _Level.of(step.orderBy("steps").limit(max_paths), "paths")
+    rows = paths.df().select(F.size("steps").alias("len"), "steps").orderBy("steps").limit(max_paths)
     # max_paths rows: a position over them needs no distribution.
     return rows.select(F.expr("row_number() over (order by steps)").alias("path_no"), "len", "steps")
 

@@ -12,15 +12,20 @@ def rank(layer: Column) -> Column:
     return F.when(F.lower(F.trim(layer)) == "project", 1).otherwise(0)
 
 
-def corpus(pages: DataFrame) -> DataFrame:
+#: The columns of a page, beside its id and ref.
+COLUMNS = ["layer", "topic", "type", "slug", "title", "summary", "keywords", "relations", "sources", "updated", "body", "hash"]
+
+
+def corpus(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per page_id with its ref in normal form; of repeated rows the earliest ingested holds, reduced map side.
 
-    Rows without page_id or ref are no pages.
+    Only the columns named are read and moved (all of them by default).  Rows
+    without page_id or ref are no pages.
     """
-    cols = ["layer", "topic", "type", "slug", "title", "summary", "keywords", "relations", "sources", "updated", "body", "hash"]
-    p = pages.where("page_id is not null and ref is not null")
-    one = p.select("page_id", "ingested_at", norm_ref(F.col("ref")).alias("ref"), *cols)
-    return one.groupBy("page_id").agg(F.min_by(F.struct("ref", *cols, "ingested_at"), F.coalesce("ingested_at", F.lit("9999-12-31").cast("timestamp"))).alias("p")).select("page_id", "p.*")
+    cols = COLUMNS if columns is None else columns
+    one = pages.where("page_id is not null and ref is not null").select("page_id", "ingested_at", norm_ref(F.col("ref")).alias("ref"), *cols)
+    first = F.min_by(F.struct("ref", *cols), F.coalesce("ingested_at", F.lit("9999-12-31").cast("timestamp")))
+    return one.groupBy("page_id").agg(first.alias("p")).select("page_id", "p.*")
 
 
 def index_records(pages: DataFrame) -> DataFrame:

@@ -74,14 +74,19 @@ def score(terms: list[str], bodies: bool) -> Column:
     return total
 
 
-def search(index: DataFrame, query: str, limit: int = 10, bodies: bool = True) -> DataFrame:
+def search(index: DataFrame, query: str, limit: int = 10, bodies: bool = True, topic: str | None = None, layer: str | None = None) -> DataFrame:
     """The index's own columns and score of the best pages, best first, then by ref.
 
     index: merged records with search fields.  A query without terms finds
-    nothing; only pages that score above 0 are hits.
+    nothing; only pages that score above 0 are hits.  A topic or layer keeps
+    the pages of that one, asked for at the scan; of a ref in both layers the
+    merged index has the project's page only.
     """
     if limit < 1:
         raise ValueError("limit must be 1 or more")
+    for name, value in (("topic", topic), ("layer", layer)):
+        if value is not None:
+            index = index.where(F.col(name) == value)
     terms = query_terms(query)
     if not terms:
         return index.limit(0).withColumn("score", F.lit(0.0))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text as tx
 from quillmesh.functions.refs import is_ref, norm_hash, norm_ref
 from quillmesh.operators import build, community, graph, hierarchy, move, overlay, pack, search, snapshots, validate, vector
-from quillmesh.session import spread, written
+from quillmesh.plans import derived
+from quillmesh.plans.derived import Derived
+from quillmesh.session import written
 
 QUERIES: dict = {}
 
@@ -23,35 +25,29 @@ def query(f):
     return f
 
 
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return overlay.corpus(_t(spark, d, "pages"))
+_t = derived.table
+_pages = derived.pages
+_merged = derived.merged
+INDEX = ["layer", "topic", "type", "title", "summary", "keywords", "updated", "hash"]
+EDGES = derived.EDGES
 
 
 def _index(pages: DataFrame) -> DataFrame:
     return overlay.merge_index(overlay.index_records(pages))
 
 
-def _merged(pages: DataFrame) -> DataFrame:
-    return overlay.merge_edges(graph.edges(pages), overlay.shadowed(pages))
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d, *overlay.COLUMNS)
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str]:
-    """Index, adjacency and the page with most out-edges."""
-    pages = _pages(spark, d)
-    e = written(_merged(pages), "edges")
-    start = e.groupBy("src_ref").count().orderBy(F.desc("count"), "src_ref").first()
-    return _index(pages), written(graph.adjacency(e), "adj"), start[0] if start else ""
+    """Index, adjacency and the page with most out-edges, as derived from the pages once."""
+    of = Derived.of(spark, d)
+    return of.index(), of.adjacency(), of.start()
 
 
 def _search_index(spark: SparkSession, d: str, bodies: bool) -> DataFrame:
-    p = _pages(spark, d)
-    z = F.coalesce
-    rec = p.select("ref", "layer", "topic", z("title", F.lit("")).alias("title"), z("summary", F.lit("")).alias("summary"), z("keywords", F.array().cast("array<string>")).alias("keywords"), *(["body"] if bodies else []))
-    return search.with_search_fields(spread(overlay.merge_index(rec)), bodies)
+    return Derived.of(spark, d).search_index(bodies)
 
 
 def _searcher(name: str):
@@ -67,9 +63,8 @@ QUERIES |= {n: _searcher(n) for n in SEARCHES}
 
 @query
 def search_topic(spark: SparkSession, d: str) -> DataFrame:
-    """With a topic filter, which reaches the scan."""
-    i = _search_index(spark, d, False).where(F.col("topic") == "retrieval")
-    return search.search(i, "glossary", 10, False).select("ref", F.bround("score", 2).alias("score"))
+    """With a topic filter, which reaches the scan of the stored index."""
+    return search.search(_search_index(spark, d, False), "glossary", 10, False, topic="retrieval").select("ref", F.bround("score", 2).alias("score"))
 
 
 @query
@@ -85,43 +80,43 @@ def prompt_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("page_id", tx.normalize(F.col("title")).alias("title_n"))
+    return _pages(spark, d, "title").select("page_id", tx.normalize(F.col("title")).alias("title_n"))
 
 
 @query
 def overlay_index(spark: SparkSession, d: str) -> DataFrame:
-    return _index(_pages(spark, d)).select("ref", "layer", "topic", "title", "summary", "updated", F.array_join("keywords", "|").alias("keywords"))
+    return _index(_pages(spark, d, *INDEX)).select("ref", "layer", "topic", "title", "summary", "updated", F.array_join("keywords", "|").alias("keywords"))
 
 
 @query
 def overlay_shadow(spark: SparkSession, d: str) -> DataFrame:
-    return overlay.shadowed(_pages(spark, d))
+    return overlay.shadowed(_pages(spark, d, "layer"))
 
 
 @query
 def edges_extract(spark: SparkSession, d: str) -> DataFrame:
-    return graph.edges(_pages(spark, d))
+    return graph.edges(_pages(spark, d, *EDGES))
 
 
 @query
 def overlay_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(_pages(spark, d)).select("src_ref", "rel", "dst_ref", "src").distinct()
+    return _merged(_pages(spark, d, *EDGES)).select("src_ref", "rel", "dst_ref", "src").distinct()
 
 
 @query
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
-    return graph.adjacency(_merged(_pages(spark, d)))
+    return graph.adjacency(_merged(_pages(spark, d, *EDGES)))
 
 
 @query
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d)
+    p = _pages(spark, d, *EDGES)
     return graph.nodes(_merged(p), p)
 
 
 @query
 def neighbours_rel_dir(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbours(graph.adjacency(_merged(_pages(spark, d))), ["part_of", "uses"], "out").select("node", "rel", "other")
+    return graph.neighbours(graph.adjacency(_merged(_pages(spark, d, *EDGES))), ["part_of", "uses"], "out").select("node", "rel", "other")
 
 
 @query
@@ -152,24 +147,24 @@ def path_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pair_weights(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d)
+    p = _pages(spark, d, *EDGES)
     return community.pair_weights(graph.edges(p), p)
 
 
 @query
 def node_strength(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d)
+    p = _pages(spark, d, *EDGES)
     return community.strengths(community.pair_weights(graph.edges(p), p)).select("layer", "topic", "node", F.col("k").cast("long").alias("k"))
 
 
 @query
 def delta_q_rank(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d)
+    p = _pages(spark, d, *EDGES)
     return community.merge_keys(community.pair_weights(graph.edges(p), p)).select("layer", "topic", "a", "b", F.col("key").cast("long").alias("key"))
 
 
 def _communities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = written(_pages(spark, d), "pages")
+    p = written(_pages(spark, d, "layer", "topic", "summary", "hash", "relations", "body"), "pages")
     e = written(graph.edges(p), "edges")
     return p, e, written(community.communities(written(community.pair_weights(e, p), "weights")), "communities")
 
@@ -194,7 +189,7 @@ def community_of_search(spark: SparkSession, d: str) -> DataFrame:
 @query
 def type_community_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits by community on a partition that SQL can state: the type of a page."""
-    p = _pages(spark, d)
+    p = _pages(spark, d, "layer", "topic", "type")
     c = p.select("layer", "topic", "ref", F.concat_ws("/", "topic", "type").alias("cid"))
     hits = search.search(_search_index(spark, d, False), "glossary recall", 50, False)
     return community.community_hits(hits, c)
@@ -202,24 +197,24 @@ def type_community_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def modularity(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d)
+    p = _pages(spark, d, *EDGES, "type")
     return community.modularity(written(community.pair_weights(graph.edges(p), p), "weights"), p.select("layer", "topic", "ref", F.col("type").alias("cid")))
 
 
 @query
 def community_ids(spark: SparkSession, d: str) -> DataFrame:
-    g = _pages(spark, d).groupBy("layer", "topic").agg(F.array_join(F.array_sort(F.collect_list("ref")), "\n").alias("m"))
+    g = _pages(spark, d, "layer", "topic").groupBy("layer", "topic").agg(F.array_join(F.array_sort(F.collect_list("ref")), "\n").alias("m"))
     return g.select("layer", "topic", F.concat(F.lit("c-"), F.substring(F.sha2("m", 256), 1, 8)).alias("cid"))
 
 
 @query
 def set_hash(spark: SparkSession, d: str) -> DataFrame:
-    return community.set_hash(_pages(spark, d), ["layer", "topic"])
+    return community.set_hash(_pages(spark, d, "layer", "topic", "hash"), ["layer", "topic"])
 
 
 @query
 def inherit_candidates(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d).select("layer", "topic", "ref", "type")
+    p = _pages(spark, d, "layer", "topic", "type").select("layer", "topic", "ref", "type")
     old = p.select("layer", "topic", "ref", F.col("type").alias("cid"))
     new = p.select("layer", "topic", "ref", F.when(F.md5("ref") < "4", F.lit("new")).otherwise(F.col("type")).alias("cid"))
     return community.inherit_candidates(old, new)
@@ -246,39 +241,39 @@ def build_counters(spark: SparkSession, d: str) -> DataFrame:
 def reparse_set(spark: SparkSession, d: str) -> DataFrame:
     """Pages that a build would parse again: new, changed against the last snapshot, or no longer in the vocabulary."""
     m = _t(spark, d, "manifest")
-    p = _pages(spark, d)
+    p = _pages(spark, d, "layer", "topic", "type", "hash", "relations")
     ch = build.diff(_snap(m, 8), p.select("layer", "topic", "ref", F.lower(F.hex(norm_hash(F.col("hash")))).alias("hash")), ["layer", "topic", "ref"])
     odd = p.where((~F.col("type").isin(build.TYPES[:5])) | F.exists(F.coalesce("relations", F.array()), lambda r: F.coalesce(~r["rel"].isin(build.RELATIONS), F.lit(False))))
     return ch.where(F.col("change").isin("added", "changed")).select("layer", "ref").union(odd.select("layer", "ref")).distinct()
 
 
-def _check(name: str, f):
+def _check(name: str, columns: list[str], f):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return f(_pages(spark, d)).select("code", "severity", "target", "message")
+        return f(_pages(spark, d, *columns)).select("code", "severity", "target", "message")
     run.__name__ = name
     QUERIES[name] = run
 
 
-_check("validate_broken_relations", lambda p: validate.broken_relations(p, p))
-_check("validate_broken_links", lambda p: validate.broken_links(p, p))
-_check("validate_malformed_links", validate.malformed_links)
-_check("validate_undefined_relations", lambda p: validate.undefined_relations(p, build.RELATIONS))
-_check("validate_self_relations", validate.self_relations)
-_check("validate_duplicate_relations", validate.duplicate_relations)
-_check("validate_duplicate_keywords", validate.duplicate_keywords)
-_check("validate_types", lambda p: validate.type_mismatch(p, build.TYPES[:5]))
-_check("validate_slugs", validate.slug_mismatch)
-_check("validate_missing_fields", validate.missing_fields)
-_check("validate_body_headings", validate.body_heading)
-_check("validate_shadow", validate.shadow)
-_check("validate_orphans", lambda p: validate.orphans(_index(p), _merged(p)))
-_check("validate_contradictions", lambda p: validate.contradictions(_merged(p)))
-_check("validate_superseded", lambda p: validate.superseded(_merged(p)))
+_check("validate_broken_relations", ["layer", "topic", "relations"], lambda p: validate.broken_relations(p, p))
+_check("validate_broken_links", ["layer", "body"], lambda p: validate.broken_links(p, p))
+_check("validate_malformed_links", ["layer", "body"], validate.malformed_links)
+_check("validate_undefined_relations", ["layer", "topic", "relations"], lambda p: validate.undefined_relations(p, build.RELATIONS))
+_check("validate_self_relations", ["layer", "topic", "relations"], validate.self_relations)
+_check("validate_duplicate_relations", ["layer", "topic", "relations"], validate.duplicate_relations)
+_check("validate_duplicate_keywords", ["layer", "keywords"], validate.duplicate_keywords)
+_check("validate_types", ["type"], lambda p: validate.type_mismatch(p, build.TYPES[:5]))
+_check("validate_slugs", ["slug"], validate.slug_mismatch)
+_check("validate_missing_fields", ["title", "updated"], validate.missing_fields)
+_check("validate_body_headings", ["layer", "body"], validate.body_heading)
+_check("validate_shadow", ["layer"], validate.shadow)
+_check("validate_orphans", [*INDEX, "relations", "body"], lambda p: validate.orphans(_index(p), _merged(p)))
+_check("validate_contradictions", EDGES, lambda p: validate.contradictions(_merged(p)))
+_check("validate_superseded", EDGES, lambda p: validate.superseded(_merged(p)))
 
 
 @query
 def validate_all(spark: SparkSession, d: str) -> DataFrame:
-    p = written(_pages(spark, d), "pages")
+    p = written(_whole(spark, d), "pages")
     r = validate.validate(p, _index(p), written(_merged(p), "edges"), build.RELATIONS, build.TYPES)
     return r.groupBy("severity", "code").agg(F.count("*").alias("issues"))
 
@@ -291,18 +286,18 @@ def validate_stale(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def node_degrees(spark: SparkSession, d: str) -> DataFrame:
-    p = _pages(spark, d)
+    p = _pages(spark, d, *INDEX, "relations", "body")
     return validate.degrees(_index(p), _merged(p).select("src_ref", "rel", "dst_ref", "src"))
 
 
 @query
 def body_link_list(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).where("body like '%[[%'").select("page_id", F.posexplode(tx.body_links(F.col("body"))).alias("pos", "link"))
+    return _pages(spark, d, "body").where("body like '%[[%'").select("page_id", F.posexplode(tx.body_links(F.col("body"))).alias("pos", "link"))
 
 
 @query
 def summary_extract(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).where("body is not null").select("page_id", tx.summary_of(F.col("body")).alias("summary"))
+    return _pages(spark, d, "body").where("body is not null").select("page_id", tx.summary_of(F.col("body")).alias("summary"))
 
 
 @query
@@ -318,7 +313,7 @@ def pack_collect_refs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pack_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return pack.sizes(overlay.merge_index(_pages(spark, d).drop("page_id", "ingested_at")))
+    return pack.sizes(overlay.merge_index(_whole(spark, d).drop("page_id", "ingested_at")))
 
 
 @query
@@ -326,7 +321,7 @@ def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
     """A pack of the pages within two hops of the page with most links, in 20,000 bytes."""
     index, adj, start = _graph(spark, d)
     refs = pack.collect_refs(adj, index, [start], 2)
-    p = overlay.merge_index(_pages(spark, d).drop("page_id", "ingested_at")).join(refs, "ref", "left_semi")
+    p = overlay.merge_index(_whole(spark, d).drop("page_id", "ingested_at")).join(refs, "ref", "left_semi")
     return pack.greedy(pack.sizes(p), 20_000)
 
 
@@ -409,7 +404,7 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _moving(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
-    p = written(_pages(spark, d), "pages")
+    p = written(_whole(spark, d), "pages")
     r = p.select(F.explode("relations").alias("r")).where("r.to is not null").groupBy(norm_ref(F.col("r.to")).alias("ref")).count().join(p.select("ref").distinct(), "ref").orderBy(F.desc("count"), "ref").first()
     return p, r[0]
 
@@ -429,7 +424,7 @@ def move_relabel(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def topic_rename(spark: SparkSession, d: str) -> DataFrame:
-    n = move.rename_topic(_pages(spark, d), "caching", "cache-notes")
+    n = move.rename_topic(_whole(spark, d), "caching", "cache-notes")
     return n.select("page_id", "ref", "topic", F.array_join(F.transform("relations", lambda r: F.coalesce(r["to"], F.lit(""))), " ").alias("targets"))
 
 
@@ -437,7 +432,7 @@ def topic_rename(spark: SparkSession, d: str) -> DataFrame:
 def topic_rename_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Bodies after the renaming of a topic, as hash, and how many of their links changed."""
     links = tx.rewrite_topic_links(F.col("body"), "caching", "cache-notes")["count"].cast("long")
-    n = move.rename_topic(_pages(spark, d).withColumn("links", links), "caching", "cache-notes")
+    n = move.rename_topic(_whole(spark, d).withColumn("links", links), "caching", "cache-notes")
     return n.select("page_id", F.md5("body").alias("body_md5"), "links")
 
 
@@ -455,22 +450,22 @@ def oplog_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def export_index_md(spark: SparkSession, d: str) -> DataFrame:
-    return build.export_index_md(_index(_pages(spark, d)))
+    return build.export_index_md(_index(_pages(spark, d, *INDEX)))
 
 
 @query
 def export_index_jsonl(spark: SparkSession, d: str) -> DataFrame:
-    return build.export_index_jsonl(_index(_pages(spark, d)).select("ref", "layer", "type", "title"))
+    return build.export_index_jsonl(_index(_pages(spark, d, *INDEX)).select("ref", "layer", "type", "title"))
 
 
 @query
 def export_graph_tsv(spark: SparkSession, d: str) -> DataFrame:
-    return build.export_graph_tsv(_merged(_pages(spark, d)))
+    return build.export_graph_tsv(_merged(_pages(spark, d, *EDGES)))
 
 
 @query
 def export_adjacency(spark: SparkSession, d: str) -> DataFrame:
-    return build.export_adjacency(graph.adjacency(_merged(_pages(spark, d))))
+    return build.export_adjacency(graph.adjacency(_merged(_pages(spark, d, *EDGES))))
 
 
 @query

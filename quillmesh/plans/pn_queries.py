@@ -42,7 +42,17 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(orphans.orphan_references(_t(spark, d, "pages"), _t(spark, d, "oplog"))[0])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p3_found, p3_paths, p4_found, p5_found, p5_report)}
+def p5_periods(spark: SparkSession, d: str) -> DataFrame:
+    """References open at the end of each month, from the periodic counts of the state."""
+    return orphans.orphan_references(_t(spark, d, "pages"), _t(spark, d, "oplog"))[1].counts()
+
+
+def p3_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The hierarchy with 200 links a task, so that links of other tasks are merged over several levels at any size."""
+    return hierarchy.page_hierarchy(_t(spark, d, "pages"), 200)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p3_found, p3_paths, p3_levels, p4_found, p5_found, p5_report, p5_periods)}
 
 _SNAP = """
 d as (select snap_id, coalesce(layer, '') layer, coalesce(topic, '') topic, lower(trim(ref)) ref,
@@ -89,6 +99,7 @@ ORACLE = {
     "p2_found": f"with {_SNAP} select snap_id, layer, ref, change from c",
     "p2_changes": f"with {_SNAP} select snap_id, layer, topic, ref, change, old_h old_hash, new_h new_hash, old_snap_id, old_loaded_at from c",
     "p3_found": f"with recursive {_TREE} select ref, root_ref, depth from t union all select child, 'cycle', -1 from p where child not in (select ref from t)",
+    "p3_levels": f"with recursive {_TREE} select ref, root_ref, depth from t union all select child, 'cycle', -1 from p where child not in (select ref from t)",
     "p3_paths": f"""with recursive {_TREE}, n as (select a.ref, count(*) - 1 n from t a join t b on b.path = a.path or starts_with(b.path, a.path || ' > ') group by 1)
       select ref, root_ref, depth, path, n n_descendants from t join n using (ref)
       union all select child, 'cycle', -1, null, 0 from p where child not in (select ref from t)""",
@@ -99,5 +110,13 @@ ORACLE = {
       c as (select *, lag(h) over (partition by layer, ref order by s) was from st)
       select r.run_id, c.layer, c.ref from c join r on r.s = c.s where was is distinct from h""",
     "p5_found": f"with {_ORPHANS} select page_id, field, target, reason from o",
+    "p5_periods": f"""with {_ORPHANS},
+      ev as (select target, first_at tt, false dead from f union all select distinct lower(trim(target)), date::timestamp, true from oplog where lower(trim(op)) in ('delete', 'move') and target is not null),
+      em as (select *, coalesce(strftime(tt, '%Y-%m'), '0000-00') mo from ev), rm as (select r.*, strftime(m.named_at, '%Y-%m') mo from r join m using (page_id) where m.named_at is not null),
+      ms as (select mo from em union select mo from rm), tm as (select distinct target from rm),
+      st as (select ms.mo period, tm.target, arg_max(dead, (coalesce(tt, timestamp '0001-01-01'), dead)) dead, bool_or(dead) lost, count(*) filter (not dead) came from ms cross join tm join em on em.target = tm.target and em.mo <= ms.mo group by 1, 2),
+      o2 as (select ms.mo period, rm.field, coalesce(st.lost, false) lost, case when st.dead is null or (st.dead and not (ms.mo = (select max(mo) from ms) and st.came > 0)) then 1 else 0 end n
+             from ms join rm on rm.mo <= ms.mo left join st on st.period = ms.mo and st.target = rm.target)
+      select ms.mo period, f.field, l.lost, coalesce(sum(n), 0)::bigint refs from ms cross join (values ('relations'), ('body')) f(field) cross join (values (false), (true)) l(lost) left join o2 on o2.period = ms.mo and o2.field = f.field and o2.lost = l.lost group by all""",
     "p5_report": f"with {_ORPHANS} select 'pages' table_name, field, reason, month, count(*) refs, count(distinct target) targets from o group by all",
 }

@@ -1,6 +1,9 @@
 from datetime import datetime
 
+import pytest
+
 from quillmesh.operators import orphans as O
+from quillmesh.session import workspace
 
 PAGES = "page_id long, layer string, ref string, relations array<struct<rel:string,to:string>>, body string, ingested_at timestamp, target string, field string"
 
@@ -26,7 +29,9 @@ def test_reasons(spark, rows):
         (2, "relations", "", "missing", "2026-02"), (2, "relations", "t/a/late", "late", "2026-02"), (2, "relations", "t/a/none", "missing", "2026-02"),
     ], key=repr)
     assert {r["reason"]: r["refs"] for r in O.orphan_report(got).where("field = 'body'").collect()} == {"deleted": 1, "late": 1, "missing": 1}
-    assert len(state.counts) == 2
+    # Open at the end of each period: what page 2 names, and in January the page whose deletion the log has, until it is seen again.
+    open_ = rows(state.counts().where("refs > 0"), "period", "field", "lost", "refs")
+    assert open_[-3:] == [("2026-04", "body", False, 1), ("2026-04", "body", True, 1), ("2026-04", "relations", False, 2)] and ("2026-02", "body", False, 1) in open_
 
 
 def test_empty(spark):
@@ -34,16 +39,29 @@ def test_empty(spark):
     assert got.count() == 0
 
 
-def test_state_resolves_and_reopens(spark, rows):
-    s = O.OrphanState(spark, compact=2)
-    ref = lambda *r: spark.createDataFrame(list(r), O.REF_SCHEMA)
-    par = lambda *r: spark.createDataFrame(list(r), "target string, first_at timestamp")
+def test_state_resolves_reopens_and_is_found_again(spark, rows):
+    home = workspace(spark, "test")
     d = lambda n: datetime(2026, 1, n)
-    s.step("1", ref((1, "f", "a", d(1)), (1, "f", "b", d(1))), par(("b", d(1))))
-    assert rows(s.pending, "target") == [("a",)] and rows(s.found, "target", "late") == [("b", False)]
-    s.step("2", ref(), par(("a", d(2)), ("a", d(3))))
-    assert rows(s.pending, "target") == [] and ("a", True) in rows(s.found, "target", "late")
-    s.step("3", ref((2, "f", "b", d(3))), par(), spark.createDataFrame([("b",)], "target string"))
-    assert rows(s.pending, "page_id", "target", "lost") == [(1, "b", True), (2, "b", True)] and rows(s.index, "target") == [("a",)]
-    s.step("4", ref(), par(("b", d(4))))
-    assert rows(s.pending, "target") == [] and (2, "b", True) in rows(s.found, "page_id", "target", "late")
+    every = []
+
+    def step(period, refs=(), events=(), fail_at=None):
+        # Another object each time, as in a new process.
+        s = O.OrphanState(spark, home, ("f",), 3)
+        s.step(period, spark.createDataFrame(list(refs), O.REF_SCHEMA), spark.createDataFrame(list(events), "target string, at timestamp, dead boolean"), fail_at)
+        every.extend(refs)
+        known = spark.createDataFrame(every, O.REF_SCHEMA)
+        return rows(s.orphans(known), "page_id", "target", "reason")
+
+    assert step("1", [(1, "f", "a", d(1)), (1, "f", "b", d(1))], [("b", d(1), False)]) == [(1, "a", "missing")]
+    with pytest.raises(RuntimeError):
+        step("2", [], [("a", d(9), False)], "written")
+    assert step("2", [], [("a", d(2), False), ("a", d(3), False)]) == [(1, "a", "late")]
+    assert step("3", [(2, "f", "b", d(3))], [("b", d(3), True)]) == [(1, "a", "late"), (1, "b", "deleted"), (2, "b", "deleted")]
+    assert step("3", [], [("b", d(3), False)]) == [(1, "a", "late"), (1, "b", "deleted"), (2, "b", "deleted")]
+    assert step("4", [], [("b", d(4), False)]) == [(1, "a", "late")]
+    for n in range(5, 10):
+        assert step(str(n), [(n, "f", f"t{n}", d(n))], [(f"t{n - 1}", d(n), False)])[-1] == (n, f"t{n}", "missing")
+    s = O.OrphanState(spark, home)
+    assert any(p["base"] for p in s.periods) and s.targets().count() == s.targets().select("target").distinct().count() == 8
+    open_ = {(r["period"], r["lost"]): r["refs"] for r in O.OrphanState(spark, home, ("f",)).counts().collect()}
+    assert [open_[str(k), False] for k in (1, 2, 3, 4, 5, 9)] == [1, 0, 0, 0, 1, 1] and [open_[str(k), True] for k in (2, 3, 4)] == [0, 2, 0]

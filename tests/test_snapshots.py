@@ -1,5 +1,8 @@
+import pathlib
 from datetime import datetime
 
+import pytest
+
 from quillmesh.operators.snapshots import old_rows, snapshot_changes
 
 SCHEMA = "snap_id int, snap_date date, layer string, topic string, ref string, hash string, loaded_at timestamp, change string, alive int"
@@ -47,12 +50,21 @@ def test_hot_key_gives_one_row(spark, rows):
     assert rows(snapshot_changes(m), "ref", "change") == [("t/a/x", "changed")]
 
 
-def test_index_steps_and_vacuum(spark, rows):
+def test_index_is_found_again_and_old_versions_go(spark, rows):
     from quillmesh.operators.snapshots import SnapshotIndex
-
-    ix = SnapshotIndex(spark, ["k"], ["part"], 3)
-    step = lambda *r: ix.step(spark.createDataFrame(list(r), "k string, part string, h binary"))
-    assert step(("a", "p", b"1"), ("b", "p", b"1")).count() == 0
-    assert rows(step(("a", "p", b"2")), "k", "change") == [("a", "changed"), ("b", "removed")]
-    ix.vacuum()
-    assert rows(step(("b", "p", b"1")), "k", "change") == [("a", "removed"), ("b", "added")]
+    from quillmesh.session import workspace
+
+    home = workspace(spark, "test")
+
+    def step(name, *r, fail_at=None):
+        # Another object each time, as in a new process.
+        return SnapshotIndex(spark, ["k"], ["part"], home, 3).step(name, spark.createDataFrame([(*x, name) for x in r], "k string, part string, h binary, at string"), fail_at)
+
+    assert step("one", ("a", "p", b"1"), ("b", "p", b"1")).count() == 0
+    with pytest.raises(RuntimeError):
+        step("two", ("a", "p", b"9"), fail_at="written")
+    got = step("two", ("a", "p", b"2"))
+    assert rows(got, "k", "change", "old_at") == [("a", "changed", "one"), ("b", "removed", "one")]
+    assert rows(step("two", ("a", "p", b"7"))) == rows(got)
+    assert rows(step("three", ("b", "p", b"1")), "k", "change", "old_at") == [("a", "removed", "two"), ("b", "added", None)]
+    assert len(list((pathlib.Path(home.removeprefix("file://")) / "index").iterdir())) == 2
