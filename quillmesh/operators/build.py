@@ -13,7 +13,7 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh import SCHEMA_VERSION, __version__
@@ -45,21 +45,39 @@ class Config:
 
 
 def load_config(text: str) -> tuple[Config, list[str]]:
-    """The configuration of a layer and what is wrong with it."""
+    """The configuration of a layer and what is wrong with it: keys it does not know, values of another kind, names that are no slug or stand twice."""
     data, issues = fm.parse_lines(text.replace("\r\n", "\n").split("\n"))
     wrong = [f"line {n}: {m}" for n, m in issues]
     c = Config()
     wrong += [f"unknown key {k}" for k in data if k not in ("version", "topics", "types", "relations", "vector")]
-    topics = data.get("topics") or []
+    if not isinstance(data.get("version", 1), int) or isinstance(data.get("version"), bool):
+        wrong.append("version is no number")
+    if not isinstance(data.get("vector", False), bool):
+        wrong.append("vector is neither true nor false")
+    topics = data.get("topics")
+    if topics is not None and not isinstance(topics, list):
+        wrong.append("topics is no list")
     for t in topics if isinstance(topics, list) else []:
+        if isinstance(t, dict):
+            wrong += [f"unknown key {k} of a topic" for k in t if k not in ("name", "description")]
         name = t.get("name") if isinstance(t, dict) else t
-        if isinstance(name, str) and re.fullmatch("[a-z0-9-]+", name):
-            c.topics.append(name)
-        else:
+        if not isinstance(name, str) or not re.fullmatch("[a-z0-9-]+", name):
             wrong.append(f"topic {name!r} is no slug")
-    for key in ("types", "relations"):
-        if isinstance(data.get(key), list):
-            setattr(c, key, [str(x) for x in data[key]])
+        elif name in c.topics:
+            wrong.append(f"topic {name} is given again")
+        else:
+            c.topics.append(name)
+    for key, form in (("types", "[a-z0-9-]+"), ("relations", "[a-z0-9_]+")):
+        given = data.get(key)
+        if given is None:
+            continue
+        if not isinstance(given, list):
+            wrong.append(f"{key} is no list")
+            continue
+        good = [x for x in given if isinstance(x, str) and re.fullmatch(form, x)]
+        wrong += [f"{key}: {x!r} is no name" for x in given if x not in good]
+        wrong += [f"{key}: {x} is given again" for i, x in enumerate(good) if x in good[:i]]
+        setattr(c, key, list(dict.fromkeys(good)))
     if "mentions" in c.relations:
         wrong.append("mentions is reserved for links of the body")
     return c, wrong
@@ -80,6 +98,12 @@ def scan(spark: SparkSession, root: str, layer: str, content: bool = True) -> Da
     return d
 
 
+def scan_topics(spark: SparkSession, root: str) -> list[str]:
+    """The topics that have a folder, with or without pages."""
+    fs, p = _fs(spark, f"{root.rstrip('/')}/topics")
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory() and f.getPath().getName()[0] != ".") if fs.exists(p) else []
+
+
 def parse_page(text: str, ref: str, types: list[str], relations: list[str]) -> dict | None:
     """The fields of a page and its issues; a page without front matter has only its issue."""
     topic, type_dir, slug_name = ref.split("/")
@@ -224,6 +248,12 @@ class Store:
             return None
         return v if v.get("schema_version") == SCHEMA_VERSION and v.get("tool_version") == __version__ else None
 
+    def next_version(self) -> int:
+        """A number above that of every version that was ever written here, committed or not."""
+        fs, p = _fs(self.spark, self.home)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return max((int(n[1:]) for n in names if re.fullmatch(r"v\d+", n)), default=0) + 1
+
     def table(self, name: str, version: dict) -> DataFrame:
         return self.spark.read.parquet(f"{self.home}/v{version['version']}/{name}")
 
@@ -244,7 +274,8 @@ def build(spark: SparkSession, root: str, layer: str, home: str, config: Config
     config = config or Config()
     store = Store(spark, home)
     was = None if full else store.current()
-    now = written(scan(spark, root, layer), "scan")
+    files = scan(spark, root, layer)
+    now = written(files.where(F.col("topic").isin(config.topics)) if config.topics else files, "scan")
     if was:
         old = store.table("pages", was)
         ch = written(diff(old, now, ["topic", "ref"]), "diff")
@@ -268,8 +299,7 @@ def build(spark: SparkSession, root: str, layer: str, home: str, config: Config
         tables["communities"] = community.inherit_ids(old_c, written(c, "communities"))
         for k, d in tables.items():
             tables[k] = d.unionByName(store.table(k, was).join(halted, "topic", "left_semi").select(*d.columns))
-    version = (store.current() or {"version": 0})["version"] + 1
-    store.commit(version, tables)
+    store.commit(store.next_version(), tables)
     return counters(ch.join(halted, "topic", "left_anti")), issues
 
 
@@ -285,6 +315,16 @@ def export_index_md(index: DataFrame) -> DataFrame:
     return index.select("topic", "ref", F.rtrim(F.concat(F.lit("- [["), "ref", F.lit("]] — "), "summary", kw)).alias("line"))
 
 
+def export_index_pages(index: DataFrame) -> DataFrame:
+    """topic, pos, line: the index of each topic as lines in order: a header with the number of pages, an empty line, and a bullet a page."""
+    n = Window.partitionBy("topic").orderBy("ref")
+    bullets = export_index_md(index).select("topic", (F.row_number().over(n) + 1).alias("pos"), "line")
+    head = index.groupBy("topic").agg(F.count("*").alias("n")).select("topic", F.explode(F.array(
+        F.struct(F.lit(0).alias("pos"), F.concat(F.lit("# index: "), "topic", F.lit(" ("), F.col("n").cast("string"), F.lit(" pages)")).alias("line")), F.struct(F.lit(1).alias("pos"), F.lit("").alias("line")),
+    )).alias("x")).select("topic", "x.*")
+    return head.unionByName(bullets)
+
+
 def export_graph_tsv(edges: DataFrame) -> DataFrame:
     return edges.select(F.concat_ws("\t", "src_ref", "rel", "dst_ref", "src").alias("value")).distinct().orderBy("value")
 
@@ -294,6 +334,44 @@ def export_adjacency(adj: DataFrame) -> DataFrame:
     return adj.groupBy("node", F.when(F.col("dir") == 0, "out").otherwise("in").alias("dir")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "rel", "other"))), ", ").alias("links"))
 
 
+def export_adjacency_jsonl(adj: DataFrame, nodes: DataFrame) -> DataFrame:
+    """value: one JSON object a node with its links in and out as sorted pairs of relation and ref; nodes without links too (column node)."""
+    pair = lambda d: F.array_sort(F.collect_set(F.when(F.col("dir") == d, F.array("rel", "other"))))
+    links = adj.groupBy("node").agg(pair(1).alias("in"), pair(0).alias("out"))
+    none = F.array().cast("array<array<string>>")
+    return nodes.select("node").distinct().join(links, "node", "left").select(F.to_json(F.struct(F.coalesce("in", none).alias("in"), "node", F.coalesce("out", none).alias("out"))).alias("value"))
+
+
+def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """node, dir, rel, other of adjacency files: JSON lines of one node each, or one object with maps ``out`` and ``in`` from node to pairs. What cannot be read gives no rows."""
+    lines = "node string, in array<array<string>>, out array<array<string>>"
+    maps = "map<string,array<array<string>>>"
+    text = spark.read.option("wholetext", "true").text(path)
+    whole = F.from_json("value", f"struct<in:{maps},out:{maps}>")
+    one = text.select(whole.alias("j")).where("j.in is not null or j.out is not null")
+    each = spark.read.text(path).select(F.from_json("value", lines).alias("j")).where("j.node is not null").select("j.*")
+    out = None
+    for name, d in (("in", 1), ("out", 0)):
+        a = one.select(F.explode(F.col(f"j.{name}")).alias("node", "l"))
+        for part in (a, each.select("node", F.col(name).alias("l"))):
+            rows = part.select("node", F.lit(d).alias("dir"), F.explode("l").alias("p")).where("size(p) = 2").select("node", "dir", F.col("p")[0].alias("rel"), F.col("p")[1].alias("other"))
+            out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
+
+
+def read_assignment(spark: SparkSession, path: str, layer: str, topic: str) -> DataFrame:
+    """layer, topic, cid, ref of an assignment file: an object whose ``communities`` maps an id to its members. What cannot be read gives no rows."""
+    j = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "struct<communities:map<string,array<string>>>").alias("j"))
+    m = j.select(F.explode("j.communities").alias("cid", "refs"))
+    return m.select(F.lit(layer).alias("layer"), F.lit(topic).alias("topic"), "cid", F.explode("refs").alias("ref"))
+
+
+def export_assignment(assigned: DataFrame) -> DataFrame:
+    """layer, topic, value: one JSON line a community with its id and sorted members."""
+    g = assigned.groupBy("layer", "topic", "cid").agg(F.array_sort(F.collect_list("ref")).alias("members"))
+    return g.select("layer", "topic", F.to_json(F.struct(F.col("cid").alias("community"), "members")).alias("value"))
+
+
 def read_index_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Index records of JSON lines; lines that are no record, or have no ref, are passed over."""
     schema = "hash string, keywords array<string>, layer string, ref string, summary string, title string, type string, updated string, topic string"

@@ -31,8 +31,13 @@ def edges(pages: DataFrame) -> DataFrame:
     return fm.unionByName(body).distinct()
 
 
-def adjacency(e: DataFrame) -> DataFrame:
-    """Distinct (node, dir, rel, other): each edge from both ends. Where an edge was written is lost here."""
+def adjacency(e: DataFrame, topics: list[str] | None = None) -> DataFrame:
+    """Distinct (node, dir, rel, other): each edge from both ends. Where an edge was written is lost here.
+
+    topics restrict where edges start, not what they lead to.
+    """
+    if topics is not None:
+        e = e.where(F.col("topic").isin(topics))
     a = e.select(F.col("src_ref").alias("node"), F.lit(OUT).alias("dir"), "rel", F.col("dst_ref").alias("other"))
     b = e.select(F.col("dst_ref").alias("node"), F.lit(IN).alias("dir"), "rel", F.col("src_ref").alias("other"))
     return a.unionByName(b).distinct()
@@ -135,6 +140,17 @@ def _narrow(level: _Level, columns: list[str]) -> _Level:
     return _Level(level.spark, df.schema, rows, df if level.rows is None else None)
 
 
+def cut_note(rows: DataFrame, limit: int) -> str | None:
+    """What a limit hides of a traversal: how many of how many rows are shown, and hops among the rest; None if it hides nothing."""
+    n = rows.groupBy("hop").count().orderBy("hop").collect()
+    total, left, hidden = sum(r["count"] for r in n), limit, []
+    for r in n:
+        left -= r["count"]
+        if left < 0:
+            hidden.append(r["hop"])
+    return f"{limit} of {total} rows; the rest has hops {hidden}" if hidden else None
+
+
 def reach(adj: DataFrame, starts: DataFrame, hops: int, until: str | None = None) -> DataFrame:
     """node, dist of all nodes within the hops of any start (column node), in either direction; no farther than the level of ``until``."""
     front = _Level.of(starts.select("node").distinct(), "reach")

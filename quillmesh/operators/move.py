@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.refs import norm_ref
 from quillmesh.functions.text import rewrite_links, rewrite_topic_links
+from quillmesh.operators.incremental import _fs
 
 _REF = re.compile(r"[a-z0-9-]+/[a-z0-9-]+/[a-z0-9-]+")
 
@@ -69,11 +70,6 @@ def check(pages: DataFrame, mapping: dict[str, str], layer: str, topics: list[st
     return bad + [("ref-exists", n, "the new name is taken") for o, n in mapping.items() if n in have and o in have]
 
 
-def topic_mapping(pages: DataFrame, old: str, new: str) -> dict[str, str]:
-    """The renaming of all pages of a topic, gathered to the driver: as long as the topic has pages."""
-    return {r[0]: f"{new}/{r[0].split('/', 1)[1]}" for r in pages.where(F.col("topic") == old).select("ref").distinct().collect()}
-
-
 def rename_topic(pages: DataFrame, old: str, new: str) -> DataFrame:
     """All pages of a topic under a new one. The rule is the mapping, so nothing is gathered: refs, relations and links of bodies outside code with that first part change."""
     swap = lambda c: F.regexp_replace(c, f"^{re.escape(old)}/", f"{new}/")
@@ -91,6 +87,43 @@ def log_rows(spark, day: str, op: str, targets: list[str], detail: str, refs: Da
     return want.select(F.lit(day).cast("date").alias("date"), F.lit(op).alias("op"), F.col("ref").alias("target"), F.lit(detail).alias("detail"))
 
 
+def append_log(spark, path: str, rows: DataFrame) -> None:
+    """Add the lines of rows to the log, a folder of text files; what is there stays as it is."""
+    log_lines(rows).coalesce(1).write.mode("append").text(path)
+
+
+def commit_move(store, mapping: dict[str, str], day: str, topics: list[str], types: list[str], log: str, layer: str = "global", to_layer: str | None = None) -> str:
+    """Move pages in a store (see ``build.Store``) as a whole: check, relabel, derive edges and communities anew, commit, log.
+
+    The version pointer moves last, so a failure before it leaves the old
+    state; run again, a move that was committed is not applied twice, and only
+    its log line is added if it is missing.  Returns moved or resumed.
+    """
+    from quillmesh.operators import community, graph
+
+    was = store.current()
+    if was is None:
+        raise LookupError("there is nothing built to move in")
+    spark, pages = store.spark, store.table("pages", was)
+    have = {(r["layer"], r["ref"]) for r in pages.where(F.col("ref").isin([*mapping, *mapping.values()])).select("layer", "ref").distinct().collect()}
+    done = all((to_layer or layer, n) in have and (layer, o) not in have for o, n in mapping.items())
+    if not done:
+        bad = check(pages, mapping, layer, topics, types)
+        if bad:
+            raise ValueError("; ".join(": ".join(b) for b in bad))
+        new = relabel(pages, mapping, layer, to_layer)
+        e = graph.edges(new)
+        c = community.inherit_ids(store.table("communities", was), community.communities(community.pair_weights(e, new)))
+        store.commit(store.next_version(), {"pages": new, "edges": e, "communities": c})
+    rows = spark.createDataFrame([(day, "move", o, f"to {n}") for o, n in mapping.items()], "date string, op string, target string, detail string").withColumn("date", F.col("date").cast("date"))
+    lines = log_lines(rows)
+    fs, p = _fs(spark, log)
+    if fs.exists(p):
+        lines = lines.join(spark.read.text(log), "value", "left_anti")
+    lines.coalesce(1).write.mode("append").text(log)
+    return "resumed" if done else "moved"
+
+
 def log_lines(log: DataFrame) -> DataFrame:
     """value: the log as lines ``- date [op] target — detail``."""
     tail = F.when(F.coalesce("detail", F.lit("")) != "", F.concat(F.lit(" — "), "detail")).otherwise("")

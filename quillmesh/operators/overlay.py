@@ -28,6 +28,13 @@ def corpus(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return one.groupBy("page_id").agg(first.alias("p")).select("page_id", "p.*")
 
 
+def of_layer(pages: DataFrame, layer: str | None) -> DataFrame:
+    """The pages of one layer, or of both. Asked for before the overlay: without the project's pages nothing stands for a global one."""
+    if layer not in (None, "both", "global", "project"):
+        raise ValueError("layer must be global, project or both")
+    return pages if layer in (None, "both") else pages.where(F.lower(F.trim("layer")) == layer)
+
+
 def index_records(pages: DataFrame) -> DataFrame:
     """The search record of a page: no body, sources or relations; nulls as empty texts."""
     z = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.refs import is_ref, norm_ref
 from quillmesh.functions.text import body_links, has_h1
 from quillmesh.operators import overlay
+from quillmesh.operators.documents import format_issues
 
 #: Order of severities in a report.
 SEVERITY = {"error": 0, "warn": 1, "info": 2}
@@ -53,15 +54,25 @@ def self_relations(pages: DataFrame) -> DataFrame:
     return _issue(_rel(pages).where(F.col("to") == F.col("ref")).select("ref", "rel").distinct(), "error", "rel-self", F.col("ref"), F.col("rel"))
 
 
+def _repeats(d: DataFrame, code: str, what: Column) -> DataFrame:
+    """One warning for each time but the first (column n: how often)."""
+    again = d.where("n > 1").withColumn("k", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
+    return _issue(again, "warn", code, F.col("ref"), F.concat(what, F.lit(" #"), F.col("k").cast("string")))
+
+
 def duplicate_relations(pages: DataFrame) -> DataFrame:
-    """One row a pair of relation and target that a page gives more than once."""
-    d = _rel(pages).groupBy("layer", "ref", "rel", "to").agg(F.count("*").alias("n")).where("n > 1")
-    return _issue(d, "warn", "rel-duplicate", F.col("ref"), F.concat("rel", F.lit(" -> "), "to", F.lit(" x"), F.col("n").cast("string")))
+    """A row for each time but the first that a page gives a pair of relation and target."""
+    return _repeats(_rel(pages).groupBy("layer", "ref", "rel", "to").agg(F.count("*").alias("n")), "rel-duplicate", F.concat("rel", F.lit(" -> "), "to"))
 
 
 def duplicate_keywords(pages: DataFrame) -> DataFrame:
-    d = pages.select("layer", "ref", F.explode("keywords").alias("k")).where("k is not null").groupBy("layer", "ref", "k").agg(F.count("*").alias("n")).where("n > 1")
-    return _issue(d, "warn", "keywords-duplicate", F.col("ref"), F.concat("k", F.lit(" x"), F.col("n").cast("string")))
+    d = pages.select("layer", "ref", F.explode("keywords").alias("k")).where("k is not null").groupBy("layer", "ref", F.col("k").alias("w")).agg(F.count("*").alias("n"))
+    return _repeats(d, "keywords-duplicate", F.col("w"))
+
+
+def malformed_relations(pages: DataFrame) -> DataFrame:
+    """Relation targets that are no ref in canonical form as they are written."""
+    return _issue(_rel(pages).where(~is_ref(F.col("to_raw"))).select("ref", "to_raw").distinct(), "error", "ref-format", F.col("ref"), F.col("to_raw"))
 
 
 def type_mismatch(pages: DataFrame, types: list[str]) -> DataFrame:
@@ -126,6 +137,30 @@ def stale_topics(changes: DataFrame) -> DataFrame:
     return _issue(c, "warn", "derived-stale", F.col("topic"), F.concat(F.col("n").cast("string"), F.lit(" pages differ")))
 
 
+def stale_derived(topics: DataFrame, tables: list[str]) -> DataFrame:
+    """Why derived tables of a topic are stale: topics has topic, pages (any now), built (in the manifest), present (array of its derived tables), current (written by this version)."""
+    missing = F.array_except(F.array(*[F.lit(t) for t in tables]), F.col("present"))
+    why = F.when(~F.col("built"), F.when(F.col("pages") | (F.size("present") > 0), F.array(F.lit("not built yet")))).otherwise(F.array_compact(F.array(
+        F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))), F.when(~F.col("current"), F.lit("built by another version")),
+    )))
+    return _issue(topics.select("topic", F.explode(why).alias("m")), "warn", "derived-stale", F.col("topic"), F.col("m"))
+
+
+def config_issues(spark, wrong: dict[str, list[str]], declared: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Faults of the configurations by layer, and topics (layer, topic) that have pages but are not declared."""
+    rows = [(layer, m) for layer, ms in wrong.items() for m in ms]
+    out = _issue(spark.createDataFrame(rows, "layer string, m string"), "error", "config-schema", F.col("layer"), F.col("m"))
+    if declared is not None and found is not None:
+        extra = found.select("layer", "topic").distinct().join(declared, ["layer", "topic"], "left_anti")
+        out = out.unionByName(_issue(extra, "error", "config-schema", F.concat_ws("/", "layer", "topic"), F.lit("the topic is not declared")))
+    return out
+
+
+def parse_issues(parsed: DataFrame) -> DataFrame:
+    """What parsing the files reported (column issues, see ``build.parse``)."""
+    return parsed.select(F.explode("issues").alias("i")).select("i.severity", "i.code", "i.target", "i.message")
+
+
 def stale_documents(stale: DataFrame) -> DataFrame:
     return _issue(stale, "warn", "community-stale", F.concat_ws("/", "topic", "cid"), F.col("reason"))
 
@@ -137,14 +172,27 @@ def report(parts: list[DataFrame]) -> DataFrame:
     return every.orderBy(rank, "code", "target", "message")
 
 
-def validate(pages: DataFrame, index: DataFrame, merged: DataFrame, vocabulary: list[str], types: list[str]) -> DataFrame:
-    """Every check on the pages of both layers and the merged graph."""
+def validate(
+    pages: DataFrame, index: DataFrame, merged: DataFrame, vocabulary: list[str], types: list[str], topics: list[str] | None = None, changes: DataFrame | None = None,
+    stale: DataFrame | None = None, documents: DataFrame | None = None, more: tuple[DataFrame, ...] = (),
+) -> DataFrame:
+    """Every check on the pages of both layers and the merged graph.
+
+    topics: declared names, for topics without pages; changes: pages against
+    the manifest; stale: community documents to renew; documents: their texts;
+    more: issues found elsewhere (configuration, parsing, derived tables).
+    """
     refs = pages.select("ref")
-    return report([
-        broken_relations(pages, refs), broken_links(pages, refs), malformed_links(pages), undefined_relations(pages, vocabulary), self_relations(pages),
+    parts = [
+        broken_relations(pages, refs), broken_links(pages, refs), malformed_links(pages), malformed_relations(pages), undefined_relations(pages, vocabulary), self_relations(pages),
         duplicate_relations(pages), duplicate_keywords(pages), type_mismatch(pages, types), slug_mismatch(pages), missing_fields(pages), body_heading(pages),
         shadow(pages), orphans(index, merged), contradictions(merged), superseded(merged),
-    ])
+    ]
+    parts += [empty_topics(pages, topics)] if topics is not None else []
+    parts += [stale_topics(changes)] if changes is not None else []
+    parts += [stale_documents(stale)] if stale is not None else []
+    parts += [format_issues(documents)] if documents is not None else []
+    return report([*parts, *more])
 
 
 def quick(pages: DataFrame, changes: DataFrame) -> DataFrame:

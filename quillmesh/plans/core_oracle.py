@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from quillmesh.functions.text import CJK, is_cjk
 from quillmesh.operators import build
+from quillmesh.operators.documents import MARKS
 from quillmesh.operators.pack import BANNER, OMIT
+from quillmesh.operators.search import BANNER as HOOK
 from quillmesh.operators.search import query_terms
 from quillmesh.plans.core_queries import MOVED_TO, RECALL, SEARCHES
 
@@ -63,10 +65,12 @@ for _name, (_text, _bodies) in SEARCHES.items():
     ORACLE[_name] = f"with {PG}, {IX}, {scored(_text, _bodies)} select ref, round_even(score, 2) score from (select * from sc where score > 0 order by score desc, ref limit 25)"
 ORACLE["search_topic"] = f"with {PG}, {IX}, {scored('glossary', False)} select ref, round_even(score, 2) score from (select * from sc where score > 0 and topic = 'retrieval' order by score desc, ref limit 10)"
 
+ORACLE["search_layer"] = f"with {PG}, ix as (select * from pg where layer = 'global'), {scored('glossary token', False)} select ref, round_even(score, 2) score from (select * from sc where score > 0 order by score desc, ref limit 25)"
 _RUN = f"[0-9a-z]{{3,}}|[{CJK}]{{2,}}"
 ORACLE["prompt_terms"] = f"""with t as (select doc_id, regexp_extract_all({_NORM.format('title')}, '{_RUN}') x from documents where title is not null)
   select doc_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i)[1:8], ' ') terms from t"""
 ORACLE["prompt_context"] = f"with {PG}, {IX}, {scored('how does the tokenizer handle glossary', False)} select ref, rtrim('- [[' || ref || ']] — ' || coalesce(summary, '')) line from (select * from sc where score > 0 order by score desc, ref limit 5)"
+ORACLE["hook_context"] = f"with {PG}, {IX}, {scored('how does the tokenizer handle glossary', False)}, h as (select *, row_number() over (order by score desc, ref) n from (select * from sc where score > 0 order by score desc, ref limit 5)) select 0 pos, '{HOOK}' line union all select n::int, rtrim('- [[' || ref || ']] — ' || coalesce(summary, '')) from h"
 ORACLE["normalize_text"] = f"with {PG} select page_id, {_NORM.format('title')} title_n from pg"
 ORACLE["overlay_index"] = f"with {PG}, {IX} select ref, layer, topic, coalesce(title, '') title, coalesce(summary, '') summary, coalesce(updated::varchar, '') updated, coalesce(array_to_string(keywords, '|'), '') keywords from ix"
 ORACLE["overlay_shadow"] = f"with {PG}, {EDGES}, {MERGED} select ref from sh"
@@ -78,6 +82,8 @@ ORACLE["neighbours_rel_dir"] = f"with {GRAPH} select node, rel, other from adj w
 ORACLE["bfs_via"] = f"with recursive {GRAPH}, {walk(3)} select node ref, hop, parent, rel, case dir when 0 then 'out' else 'in' end direction from first where hop > 0"
 _NARROW = "a.dir = 0 and a.rel in ('part_of', 'uses', 'is_a')"
 ORACLE["bfs_limited"] = f"with recursive {GRAPH}, {walk(2, _NARROW)}, f as (select * from first where hop > 0 order by hop, node limit 20) select f.node ref, hop, parent, coalesce(case when ix.ref is not null then coalesce(ix.title, '') end, '(missing)') title from f left join ix on ix.ref = f.node"
+_TOPIC = GRAPH.replace("from me union select", "from me where topic = 'retrieval' union select").replace("src_ref from me)", "src_ref from me where topic = 'retrieval')").replace("s from me group", "s from me where topic = 'retrieval' group")
+ORACLE["bfs_topic"] = f"with recursive {_TOPIC}, {walk(2)} select node ref, hop, parent, rel, case dir when 0 then 'out' else 'in' end direction from first where hop > 0"
 ORACLE["path_dist"] = f"with recursive {GRAPH}, {walk(3)} select node, hop dist from first"
 ORACLE["path_topk"] = f"""with recursive {GRAPH}, {walk(3)}, goal as (select node, hop from first where hop > 0 order by hop desc, node desc limit 1),
   p as (select list_transform(w.key, lambda k: {{'ref': k.o, 'rel': k.r, 'dir': k.d}}) steps, w.hop len from w join goal g on w.node = g.node and w.hop = g.hop),
@@ -98,6 +104,19 @@ ORACLE["modularity"] = f"""with {WEIGHTS}, m as (select layer, topic, sum(w)::do
 ORACLE["community_ids"] = f"with {PG} select layer, topic, 'c-' || substr(sha256(string_agg(ref, chr(10) order by ref)), 1, 8) cid from pg group by 1, 2"
 _HEX = "regexp_replace(lower(trim(coalesce(hash, ''))), '^sha256:', '')"
 ORACLE["set_hash"] = f"with {PG} select layer, topic, 'sha256:' || sha256(string_agg(ref || chr(9) || {_HEX}, chr(10) order by ref || chr(9) || {_HEX})) set_hash from pg group by 1, 2"
+TYPE_DOCS = f"""{PG}, {EDGES}, z as (select layer, topic, type cid, count(*) n, string_agg(rtrim('- [[' || ref || ']] — ' || coalesce(summary, '')), chr(10) order by rtrim('- [[' || ref || ']] — ' || coalesce(summary, ''))) members,
+    'sha256:' || sha256(string_agg(ref || chr(9) || {_HEX}, chr(10) order by ref || chr(9) || {_HEX})) built from pg group by 1, 2, 3),
+  ir as (select a.layer, a.topic, a.type cid, e.rel, count(*) n from e join pg a on a.layer = e.layer and a.topic = e.topic and a.ref = src_ref join pg b on b.layer = e.layer and b.topic = e.topic and b.ref = dst_ref where src_ref <> dst_ref and a.type = b.type group by 1, 2, 3, 4),
+  it as (select layer, topic, cid, string_agg('| ' || rel || ' | ' || n || ' |', chr(10) order by rel || ' ' || n) t from ir group by 1, 2, 3),
+  dt as (select z.layer, z.topic, z.cid, array_to_string(['---', 'community: ' || z.cid, 'topic: ' || z.topic, 'built_from: ' || built, '---', '', '{MARKS[0]}', '## Pages (' || n || ')', '', members, '', '## Relations inside', '',
+    case when t is null then '(no relations inside)' else '| rel | edges |' || chr(10) || '|---|---|' || chr(10) || t end, '{MARKS[1]}', '', '{MARKS[2]}', '{MARKS[3]}', ''], chr(10)) body from z left join it on it.layer = z.layer and it.topic = z.topic and it.cid = z.cid)"""
+ORACLE["type_community_docs"] = f"with {TYPE_DOCS} select layer, topic, cid, md5(body) text_md5 from dt"
+ORACLE["community_format"] = f"""with {TYPE_DOCS}, f as (select layer || '/' || topic || '/' || cid target, layer, topic from dt)
+  select 'error' severity, 'community-format' code, target, message from (select target, '{MARKS[3]} stands 0 times' message from f where topic = 'retrieval' union all
+    select target, unnest(['community is missing', '1 lines of front matter that are no key of a document']) from f where topic <> 'retrieval' and layer = 'project')"""
+ORACLE["community_stale"] = f"with {PG} select layer, topic, type cid, case when type = 'papers' then 'orphan' else 'stale' end reason from pg group by 1, 2, 3 having type = 'papers' or bool_or(md5(ref) < '1')"
+ORACLE["community_of_ref"] = f"""with {GRAPH}, a as (select layer, topic, type from pg where ref = (select s from st) order by layer = 'project' desc, layer limit 1)
+  select pg.layer, pg.type cid, string_agg(ref, ' ' order by ref) members, '' summary, false stale from pg join a on a.layer = pg.layer and a.topic = pg.topic and a.type = pg.type group by 1, 2"""
 ORACLE["type_community_hits"] = f"""with {PG}, {IX}, {scored('glossary recall', False)}, h as (select ref from sc where score > 0 order by score desc, ref limit 50),
   z as (select layer, topic, topic || '/' || type cid, count(*) size from pg group by 1, 2, 3), o as (select ref, layer, topic, topic || '/' || type cid from ix)
   select z.topic, z.cid, count(*) hits, z.size from h join o using (ref) join z on z.layer = o.layer and z.cid = o.cid group by z.layer, z.topic, z.cid, z.size"""
@@ -105,11 +124,15 @@ ORACLE["inherit_candidates"] = f"""with {PG}, o as (select layer, topic, ref, ty
   a as (select layer, topic, cid, count(*) c from o group by all), b as (select layer, topic, cid, count(*) c, min(ref) m from n group by all),
   x as (select o.layer, o.topic, o.cid old_cid, n.cid new_cid, count(*) n_both from o join n using (layer, topic, ref) group by all)
   select x.layer, x.topic, old_cid, new_cid, n_both as "both", a.c + b.c - n_both as "either", b.m new_min from x join a on a.layer = x.layer and a.topic = x.topic and a.cid = old_cid join b on b.layer = x.layer and b.topic = x.topic and b.cid = new_cid where 2 * n_both >= a.c + b.c - n_both"""
+_CAND = ORACLE["inherit_candidates"].replace("then 'new' else type end cid", "then 'n-new' else 'n-' || type end cid")
+ORACLE["inherit_ids"] = f"""with k as ({_CAND}), r as (select *, row_number() over (partition by layer, topic, old_cid order by "both" / "either"::double desc, new_min, new_cid) ro, row_number() over (partition by layer, topic, new_cid order by "both" / "either"::double desc, old_cid) rn from k),
+  {PG}, n as (select layer, topic, ref, case when md5(ref) < '4' then 'n-new' else 'n-' || type end cid from pg)
+  select n.layer, n.topic, ref, coalesce(r.old_cid, n.cid) cid from n left join r on r.layer = n.layer and r.topic = n.topic and r.new_cid = n.cid and ro = 1 and rn = 1"""
 
 SNAP = """sn as (select snap_id, coalesce(layer, '') layer, lower(trim(ref)) ref, arg_max({'topic': coalesce(topic, ''), 'h': regexp_replace(lower(trim(hash)), '^sha256:\\s*', '')}, (loaded_at, regexp_replace(lower(trim(hash)), '^sha256:\\s*', ''))) v
-    from manifest where ref is not null group by 1, 2, 3), s7 as (select layer, v.topic, ref, v.h from sn where snap_id = 7), s8 as (select layer, v.topic, ref, v.h from sn where snap_id = 8),
+    from manifest where ref is not null group by 1, 2, 3), s7 as (select layer, v.topic, ref, v.h from sn where snap_id = (select max(snap_id) from manifest where snap_id < (select max(snap_id) from manifest))), s8 as (select layer, v.topic, ref, v.h from sn where snap_id = (select max(snap_id) from manifest)),
   df as (select layer, topic, ref, case when s7.ref is null then 'added' when s8.ref is null then 'removed' when s7.h is not distinct from s8.h then 'same' else 'changed' end change from s7 full join s8 using (layer, topic, ref))"""
-SNAP = SNAP.replace("when s7.ref is null", "when s7.k is null").replace("when s8.ref is null", "when s8.k is null").replace("v.h from sn where snap_id = 7", "v.h, 1 k from sn where snap_id = 7").replace("v.h from sn where snap_id = 8", "v.h, 1 k from sn where snap_id = 8")
+SNAP = SNAP.replace("when s7.ref is null", "when s7.k is null").replace("when s8.ref is null", "when s8.k is null").replace("v.h from sn where snap_id", "v.h, 1 k from sn where snap_id")
 ORACLE["manifest_diff"] = f"with {SNAP} select * from df where change <> 'same'"
 ORACLE["build_counters"] = f"with {SNAP} select topic, count(*) filter (change <> 'removed') pages, count(*) filter (change = 'added') added, count(*) filter (change = 'changed') changed, count(*) filter (change = 'removed') removed from df group by 1"
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -118,7 +141,11 @@ ORACLE["reparse_set"] = f"""with {SNAP}, {PG}, p as (select layer, topic, ref, r
   union select layer, ref from pg where type not in ({_IN(build.TYPES[:5])}) or len(list_filter(relations, lambda r: r.rel not in ({_IN(build.RELATIONS)}))) > 0"""
 
 
+CHECKS: dict[str, str] = {}
+
+
 def _check(name: str, base: str, severity: str, code: str, body: str) -> None:
+    CHECKS[name] = f"select '{severity}' severity, '{code}' code from ({body})"
     ORACLE[name] = f"with {base} select '{code}' code, '{severity}' severity, target, message from ({body})"
 
 
@@ -127,8 +154,8 @@ _check("validate_broken_links", f"{PG}, {OUTSIDE}", "warn", "link-broken-body",
 _check("validate_malformed_links", f"{PG}, {OUTSIDE}", "error", "ref-format", f"select distinct ref target, link message from bl where not {_REF.format('link')}")
 _check("validate_undefined_relations", f"{PG}, {REL}", "error", "rel-undefined", f"select distinct ref target, rel_raw message from rl where rel_raw not in ({_IN(build.RELATIONS)})")
 _check("validate_self_relations", f"{PG}, {REL}", "error", "rel-self", "select distinct ref target, rel_raw message from rl where dst = ref")
-_check("validate_duplicate_relations", f"{PG}, {REL}", "warn", "rel-duplicate", "select ref target, rel_raw || ' -> ' || dst || ' x' || count(*) message from rl group by layer, ref, rel_raw, dst having count(*) > 1")
-_check("validate_duplicate_keywords", PG, "warn", "keywords-duplicate", "select ref target, k || ' x' || count(*) message from (select layer, ref, unnest(keywords) k from pg) where k is not null group by layer, ref, k having count(*) > 1")
+_check("validate_duplicate_relations", f"{PG}, {REL}", "warn", "rel-duplicate", "select ref target, rel_raw || ' -> ' || dst || ' #' || k message from (select ref, rel_raw, dst, unnest(generate_series(2, count(*))) k from rl group by layer, ref, rel_raw, dst)")
+_check("validate_duplicate_keywords", PG, "warn", "keywords-duplicate", "select ref target, w || ' #' || k message from (select ref, w, unnest(generate_series(2, count(*))) k from (select layer, ref, unnest(keywords) w from pg) where w is not null group by layer, ref, w)")
 _check("validate_types", PG, "error", "type-mismatch", f"select ref target, coalesce(type, '') message from pg where not coalesce(type in ({_IN(build.TYPES[:5])}) and type = split_part(ref, '/', 2), false)")
 _check("validate_slugs", PG, "error", "slug-mismatch", "select ref target, coalesce(slug, '') message from pg where not coalesce(lower(trim(slug)) = split_part(ref, '/', 3), false)")
 _check("validate_missing_fields", PG, "error", "fm-schema", "select ref target, 'title is missing' message from pg where trim(coalesce(title, '')) = '' union all select ref, 'updated is missing' from pg where updated is null")
@@ -138,6 +165,12 @@ _check("validate_orphans", GRAPH, "warn", "page-orphan", "select ref target, 'no
 _check("validate_contradictions", GRAPH, "info", "contradicts-pair", "select distinct src_ref target, dst_ref message from me where rel = 'contradicts'")
 _SUP = "select distinct m.src_ref target, m.rel || ' -> ' || m.dst_ref || ' (superseded by ' || s.f || ')' message from me m join (select dst_ref, max(src_ref) f from me where rel = 'supersedes' group by 1) s on s.dst_ref = m.dst_ref where m.src_ref <> s.f"
 _check("validate_superseded", GRAPH, "info", "superseded-ref", _SUP)
+_check("validate_ref_format", f"{PG}, {REL}", "error", "ref-format", f"select distinct ref target, to_raw message from rl where not {_REF.format('to_raw')}")
+_check("validate_topic_empty", PG, "info", "topic-empty", "select t target, 'no pages' message from (values ('caching'), ('no-such-topic')) v(t) where t not in (select topic from pg where topic is not null)")
+ORACLE["validate_all"] = f"with {GRAPH}, {SNAP}, every as ({' union all '.join(CHECKS.values())} union all select 'warn', 'derived-stale' from (select topic from df where change <> 'same' group by topic)) select severity, code, count(*) issues from every group by all"
+ORACLE["validate_derived"] = f"""with {PG}, t as (select distinct topic, md5(topic) h from pg)
+  select 'derived-stale' code, topic target, 'not built yet' message from t where h < '3' union all select 'derived-stale', topic, 'missing: communities' from t where h >= '3' and h < '8' union all select 'derived-stale', topic, 'built by another version' from t where h >= 'c'"""
+ORACLE["validate_quick"] = f"with {PG}, {SNAP} select (select count(distinct layer) from pg) layers, (select count(*) from pg) pages, case when exists (select 1 from df where change <> 'same') then 'stale' else 'fresh' end derived"
 ORACLE["validate_stale"] = f"with {SNAP} select 'derived-stale' code, topic target, count(*) || ' pages differ' message from df where change <> 'same' group by topic"
 ORACLE["node_degrees"] = f"with {GRAPH} select ix.ref, coalesce(n, 0)::bigint degree from ix left join (select ref, count(*) n from (select src_ref ref from me union all select dst_ref from me) group by 1) d using (ref)"
 ORACLE["body_link_list"] = f"with {PG}, {OUTSIDE} select page_id, pos::int pos, link from bl"
@@ -155,6 +188,7 @@ ORACLE["pack_greedy"] = f"""with recursive {GRAPH}, {walk(2)}, {SIZES}, o as (se
   g(n, ref, size, kept, run) as (select 0::bigint, null::varchar, 0::bigint, null::boolean, z::bigint from f
     union all select o.n, o.ref, o.size, g.run + o.size <= 20000, case when g.run + o.size <= 20000 then g.run + o.size else g.run + strlen(o.ref) + 7 end from g join o on o.n = g.n + 1)
   select ref, size, kept from g where n > 0"""
+ORACLE["pack_query"] = ORACLE["pack_greedy"].replace(f"{GRAPH}, {walk(2)}, {SIZES}", f"{PG}, {IX}, {scored('tokenizer reranker', True)}, {SIZES}").replace("ref in (select node from first)", "ref in (select ref from (select ref, score from sc where score > 0 order by score desc, ref limit 10))")
 PROBE = "q as (select embedding::double[] e from embeddings order by vec_id limit 1), vs as (select vec_id, label, round(list_cosine_similarity(embedding::double[], (select e from q)), 6) score from embeddings)"
 ORACLE["vector_topk"] = f"with {PROBE} select vec_id, score from vs order by score desc, vec_id limit 20"
 ORACLE["vector_chunk_dedupe"] = f"with {PROBE}, t as (select * from vs order by score desc, vec_id limit 50) select 'vectors/chunks/page-' || label ref, max(score) score, min(vec_id) as rank from t group by label"
@@ -175,17 +209,18 @@ ORACLE["recall_at_k"] = f"with {PG}, {IX}, " + ", ".join(
     f"r{i} as (with {scored(t, False)} select '{k}' kind, (select count(*) from (select ref from sc where score > 0 order by score desc, ref limit 10) f where f.ref in (select ref from ix where list_contains(keywords, '{t}')))::double / nullif((select count(*) from ix where list_contains(keywords, '{t}')), 0) r)"
     for i, k, t in RECALL
 ) + " select kind, count(*) queries, round(avg(r), 6) recall from (" + " union all ".join(f"select * from r{i}" for i, _, _ in RECALL) + ") where r is not null group by 1"
+# A body as the list of its code spans, the links named, and runs of other characters.
+PIECES = r"regexp_extract_all(body, '(?ms)^ {0,3}```.*?(?:^ {0,3}```[^\n]*$|\z)|^ {0,3}~~~.*?(?:^ {0,3}~~~[^\n]*$|\z)|``[^\n]+?``|`[^`\n]+`|\[\[%s\]\]|[^\[`\n]+|.')"
 MOVE = f"{PG}, {REL}, {OUTSIDE}, mv as (select dst old from rl where dst in (select ref from pg) group by 1 order by count(*) desc, 1 limit 1)"
 _TO = f"'{MOVED_TO}'"
 ORACLE["move_plan_counts"] = f"""with {MOVE} select layer, ref, count(*) links from (select page_id, layer, ref from (select page_id, layer, ref, unnest(relations) r from pg) where lower(trim(r.to)) = (select old from mv) union all select page_id, layer, ref from bl where link = (select old from mv)) group by page_id, layer, ref"""
 ORACLE["move_relabel"] = f"""with {MOVE}, z as (select pg.*, mv.old, ref = mv.old mine from pg cross join mv)
   select page_id, layer, case when mine then {_TO} else ref end ref, case when mine then split_part({_TO}, '/', 1) else topic end topic, case when mine then split_part({_TO}, '/', 2) else type end "type", case when mine then split_part({_TO}, '/', 3) else slug end slug,
+    md5(array_to_string(list_transform({PIECES % "[^\\[\\]\\n]+"}, lambda v: case when v = '[[' || old || ']]' then '[[' || {_TO} || ']]' else v end), '')) body_md5,
     array_to_string(list_transform(relations, lambda r: coalesce(r.rel, '') || '>' || coalesce(case when lower(trim(r.to)) = old then {_TO} else r.to end, '')), ' ') relations from z"""
 _SWAP = "regexp_replace(lower(trim({})), '^caching/', 'cache-notes/')"
 ORACLE["topic_rename"] = f"""with {PG} select page_id, case when topic = 'caching' then {_SWAP.format('ref')} else ref end ref, case when topic = 'caching' then 'cache-notes' else topic end topic,
   array_to_string(list_transform(relations, lambda r: coalesce(case when starts_with(lower(trim(r.to)), 'caching/') then {_SWAP.format('r.to')} else r.to end, '')), ' ') targets from pg"""
-# A body as the list of its code spans, the links named, and runs of other characters.
-PIECES = r"regexp_extract_all(body, '(?ms)^ {0,3}```.*?(?:^ {0,3}```[^\n]*$|\z)|^ {0,3}~~~.*?(?:^ {0,3}~~~[^\n]*$|\z)|``[^\n]+?``|`[^`\n]+`|\[\[%s\]\]|[^\[`\n]+|.')"
 ORACLE["topic_rename_bodies"] = f"""with {PG}, z as (select page_id, {PIECES % "caching/[a-z0-9-]+/[a-z0-9-]+"} x from pg)
   select page_id, md5(array_to_string(list_transform(x, lambda v: case when starts_with(v, '[[caching/') then '[[cache-notes/' || substr(v, 11) else v end), '')) body_md5, coalesce(len(list_filter(x, lambda v: starts_with(v, '[[caching/'))), 0) links from z"""
 ORACLE["oplog_lines"] = """with l as (select distinct on (op_id) * from oplog order by op_id, date, op, target, detail nulls first)
@@ -193,7 +228,10 @@ ORACLE["oplog_lines"] = """with l as (select distinct on (op_id) * from oplog or
 ORACLE["oplog_counts"] = "select lower(trim(op)) op, count(distinct op_id) ops, count(distinct lower(trim(target))) targets from oplog group by 1"
 _LINE = "rtrim('- [[' || ref || ']] — ' || coalesce(summary, '') || case when len(coalesce(keywords, [])) > 0 then ' | kw: ' || array_to_string(keywords, ', ') else '' end)"
 ORACLE["export_index_md"] = f"with {PG}, {IX} select topic, ref, {_LINE} line from ix"
-ORACLE["export_index_jsonl"] = f"""with {PG}, {IX} select '{{"layer":' || to_json(layer)::varchar || ',"ref":' || to_json(ref)::varchar || ',"title":' || to_json(coalesce(title, ''))::varchar || ',"type":' || to_json(type)::varchar || '}}' as value from ix"""
+_JSON = "to_json(coalesce({}::varchar, ''))::varchar"
+ORACLE["export_index_jsonl"] = f"with {PG}, {IX} select '{{' || " + " || ',' || ".join(f"'\"{c}\":' || " + _JSON.format(c) for c in ("hash", "layer", "ref", "summary", "title", "topic", "type", "updated")) + " || '}' as value from ix"
+ORACLE["export_index_pages"] = f"with {PG}, {IX} select topic, 0 pos, '# index: ' || topic || ' (' || count(*) || ' pages)' line from ix group by topic union all select distinct topic, 1, '' from ix union all select topic, (row_number() over (partition by topic order by ref) + 1)::int, {_LINE} from ix"
+ORACLE["adjacency_read_back"] = f"with {GRAPH} select node, dir, rel, other from adj"
 ORACLE["export_graph_tsv"] = f"with {GRAPH} select distinct src_ref || chr(9) || rel || chr(9) || dst_ref || chr(9) || src as value from me"
 ORACLE["export_adjacency"] = f"with {GRAPH} select node, case dir when 0 then 'out' else 'in' end dir, string_agg(rel || ' ' || other, ', ' order by rel || ' ' || other) links from adj group by 1, adj.dir"
 ORACLE["star_edges"] = """with e as (select 'part_of' rel, 'region-' || n_regionkey dst from nation union all select 'part_of', 'nation-' || c_nationkey from customer union all select 'part_of', 'nation-' || s_nationkey from supplier

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
 from quillmesh.functions.refs import is_ref, norm_hash, norm_ref
-from quillmesh.operators import build, community, graph, hierarchy, move, overlay, pack, search, snapshots, validate, vector
+from quillmesh.operators import build, community, documents, graph, hierarchy, move, overlay, pack, search, snapshots, validate, vector
 from quillmesh.plans import derived
 from quillmesh.plans.derived import Derived
-from quillmesh.session import written
+from quillmesh.session import workspace, written
 
 QUERIES: dict = {}
 
@@ -67,6 +67,21 @@ def search_topic(spark: SparkSession, d: str) -> DataFrame:
     return search.search(_search_index(spark, d, False), "glossary", 10, False, topic="retrieval").select("ref", F.bround("score", 2).alias("score"))
 
 
+@query
+def search_layer(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of one layer only: nothing stands for a global page."""
+    p = overlay.of_layer(_pages(spark, d, *derived.SEARCH), "global")
+    i = search.with_search_fields(overlay.merge_index(overlay.index_records(p.withColumns({"type": F.lit(""), "updated": F.lit(""), "hash": F.lit("")}))))
+    return search.search(i, "glossary token", 25, False).select("ref", F.bround("score", 2).alias("score"))
+
+
+@query
+def hook_context(spark: SparkSession, d: str) -> DataFrame:
+    """The lines before a prompt, without a deadline."""
+    lines = search.hook_context(_search_index(spark, d, False), '{"prompt": "How does the tokenizer handle a glossary?"}', deadline=None)
+    return spark.createDataFrame(list(enumerate(lines)), "pos int, line string")
+
+
 @query
 def prompt_terms(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").where("title is not null")
@@ -132,6 +147,16 @@ def bfs_limited(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(index.select("ref", "title"), "ref", "left").select("ref", "hop", "parent", F.coalesce("title", F.lit("(missing)")).alias("title"))
 
 
+@query
+def bfs_topic(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that start in one topic only; what they lead to may be anywhere."""
+    of = Derived.of(spark, d)
+    e = of.edges().where(F.col("topic") == "retrieval")
+    start = e.groupBy("src_ref").count().orderBy(F.desc("count"), "src_ref").first()
+    adj = written(graph.adjacency(of.edges(), ["retrieval"]), "adj")
+    return graph.traverse(adj, of.index(), start[0], 2)
+
+
 @query
 def path_dist(spark: SparkSession, d: str) -> DataFrame:
     _, adj, start = _graph(spark, d)
@@ -145,6 +170,51 @@ def path_topk(spark: SparkSession, d: str) -> DataFrame:
     return graph.shortest_paths(adj, start, far[1], 5, 6).select("path_no", "len", graph.path_text(start).alias("path"))
 
 
+def _by_type(p: DataFrame) -> DataFrame:
+    return p.select("layer", "topic", "ref", F.col("type").alias("cid"))
+
+
+def _type_docs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pages, and the documents of the partition by type, which SQL can state."""
+    p = written(_pages(spark, d, "layer", "topic", "type", "summary", "hash", "relations", "body"), "pages")
+    return p, community.documents(_by_type(p), p, graph.edges(p))
+
+
+@query
+def type_community_docs(spark: SparkSession, d: str) -> DataFrame:
+    return documents.document_text(_type_docs(spark, d)[1]).select("layer", "topic", "cid", F.md5("text").alias("text_md5"))
+
+
+@query
+def community_format(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which some have lost a mark and others a key."""
+    t = documents.document_text(_type_docs(spark, d)[1])
+    lost = F.when(F.col("topic") == "retrieval", F.replace("text", F.lit(documents.MARKS[3]), F.lit(""))).when(F.col("layer") == "project", F.replace("text", F.lit("\ncommunity: "), F.lit("\nkind: "))).otherwise(F.col("text"))
+    return documents.format_issues(t.withColumn("text", lost))
+
+
+@query
+def community_stale(spark: SparkSession, d: str) -> DataFrame:
+    """Documents after some pages changed and one community went."""
+    p, docs = _type_docs(spark, d)
+    now = p.withColumn("hash", F.when(F.md5("ref") < "1", "other").otherwise(F.col("hash")))
+    return community.stale(docs, _by_type(p).where("cid <> 'papers'"), now)
+
+
+@query
+def community_of_ref(spark: SparkSession, d: str) -> DataFrame:
+    p, docs = _type_docs(spark, d)
+    got = documents.of_ref(Derived.of(spark, d).start(), _by_type(p), documents.document_text(docs), p)
+    return got.select("layer", "cid", F.array_join("members", " ").alias("members"), "summary", "stale")
+
+
+@query
+def inherit_ids(spark: SparkSession, d: str) -> DataFrame:
+    p = _pages(spark, d, "layer", "topic", "type")
+    new = p.select("layer", "topic", "ref", F.concat(F.lit("n-"), F.when(F.md5("ref") < "4", F.lit("new")).otherwise(F.col("type"))).alias("cid"))
+    return community.inherit_ids(_by_type(p), new)
+
+
 @query
 def pair_weights(spark: SparkSession, d: str) -> DataFrame:
     p = _pages(spark, d, *EDGES)
@@ -223,10 +293,15 @@ def inherit_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query
 def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
     m = _t(spark, d, "manifest")
-    a, b = (_snap(m, k) for k in (7, 8))
+    a, b = (_snap(m, k) for k in _last_two(m))
     return build.diff(a, b, ["layer", "topic", "ref"]).where("change <> 'same'")
 
 
+def _last_two(m: DataFrame) -> list[int]:
+    """The last two snapshots that came."""
+    return sorted(r[0] for r in m.select("snap_id").where("snap_id is not null").distinct().collect())[-2:]
+
+
 def _snap(m: DataFrame, k: int) -> DataFrame:
     return snapshots.manifest_delivery(m, k).select("layer", "topic", "ref", F.col("h").alias("hb")).select("layer", "topic", "ref", F.lower(F.hex("hb")).alias("hash"))
 
@@ -234,7 +309,7 @@ def _snap(m: DataFrame, k: int) -> DataFrame:
 @query
 def build_counters(spark: SparkSession, d: str) -> DataFrame:
     m = _t(spark, d, "manifest")
-    return build.counters(build.diff(_snap(m, 7), _snap(m, 8), ["layer", "topic", "ref"]))
+    return build.counters(build.diff(*(_snap(m, k) for k in _last_two(m)), ["layer", "topic", "ref"]))
 
 
 @query
@@ -242,7 +317,7 @@ def reparse_set(spark: SparkSession, d: str) -> DataFrame:
     """Pages that a build would parse again: new, changed against the last snapshot, or no longer in the vocabulary."""
     m = _t(spark, d, "manifest")
     p = _pages(spark, d, "layer", "topic", "type", "hash", "relations")
-    ch = build.diff(_snap(m, 8), p.select("layer", "topic", "ref", F.lower(F.hex(norm_hash(F.col("hash")))).alias("hash")), ["layer", "topic", "ref"])
+    ch = build.diff(_snap(m, _last_two(m)[-1]), p.select("layer", "topic", "ref", F.lower(F.hex(norm_hash(F.col("hash")))).alias("hash")), ["layer", "topic", "ref"])
     odd = p.where((~F.col("type").isin(build.TYPES[:5])) | F.exists(F.coalesce("relations", F.array()), lambda r: F.coalesce(~r["rel"].isin(build.RELATIONS), F.lit(False))))
     return ch.where(F.col("change").isin("added", "changed")).select("layer", "ref").union(odd.select("layer", "ref")).distinct()
 
@@ -271,17 +346,39 @@ _check("validate_contradictions", EDGES, lambda p: validate.contradictions(_merg
 _check("validate_superseded", EDGES, lambda p: validate.superseded(_merged(p)))
 
 
+_check("validate_ref_format", ["layer", "topic", "relations"], validate.malformed_relations)
+_check("validate_topic_empty", ["topic"], lambda p: validate.empty_topics(p, ["caching", "no-such-topic"]))
+
+
+@query
+def validate_derived(spark: SparkSession, d: str) -> DataFrame:
+    """Derived tables that are missing or of another version, by a rule that SQL can state."""
+    h = F.md5("topic")
+    t = _pages(spark, d, "topic").select("topic").distinct().select(
+        "topic", F.lit(True).alias("pages"), (h >= "3").alias("built"), (h < "c").alias("current"), F.when(h < "8", F.array(F.lit("pages"), F.lit("edges"))).otherwise(F.array(F.lit("pages"), F.lit("edges"), F.lit("communities"))).alias("present")
+    )
+    return validate.stale_derived(t, list(build.Store.TABLES)).select("code", "target", "message")
+
+
+@query
+def validate_quick(spark: SparkSession, d: str) -> DataFrame:
+    m = _t(spark, d, "manifest")
+    return validate.quick(_pages(spark, d, "layer"), build.diff(*(_snap(m, k) for k in _last_two(m)), ["layer", "topic", "ref"]))
+
+
 @query
 def validate_all(spark: SparkSession, d: str) -> DataFrame:
     p = written(_whole(spark, d), "pages")
-    r = validate.validate(p, _index(p), written(_merged(p), "edges"), build.RELATIONS, build.TYPES)
+    m = _t(spark, d, "manifest")
+    ch = build.diff(*(_snap(m, k) for k in _last_two(m)), ["layer", "topic", "ref"])
+    r = validate.validate(p, _index(p), written(_merged(p), "edges"), build.RELATIONS, build.TYPES[:5], ["caching", "no-such-topic"], ch)
     return r.groupBy("severity", "code").agg(F.count("*").alias("issues"))
 
 
 @query
 def validate_stale(spark: SparkSession, d: str) -> DataFrame:
     m = _t(spark, d, "manifest")
-    return validate.stale_topics(build.diff(_snap(m, 7), _snap(m, 8), ["layer", "topic", "ref"])).select("code", "target", "message")
+    return validate.stale_topics(build.diff(*(_snap(m, k) for k in _last_two(m)), ["layer", "topic", "ref"])).select("code", "target", "message")
 
 
 @query
@@ -325,6 +422,15 @@ def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
     return pack.greedy(pack.sizes(p), 20_000)
 
 
+@query
+def pack_query(spark: SparkSession, d: str) -> DataFrame:
+    """A pack of the best hits of a query, in 20,000 bytes."""
+    of = Derived.of(spark, d)
+    refs = pack.collect(["tokenizer", "reranker"], of.adjacency(), of.search_index(True), limit=10)
+    p = overlay.merge_index(_pages(spark, d, "layer", "topic", "title", "updated", "sources", "body").drop("page_id")).join(refs, "ref", "left_semi")
+    return pack.greedy(pack.sizes(p), 20_000)
+
+
 def _probe(spark: SparkSession, d: str) -> tuple[DataFrame, list[float]]:
     v = _t(spark, d, "embeddings")
     return v, v.orderBy("vec_id").select("embedding").first()[0]
@@ -419,7 +525,7 @@ def move_plan_counts(spark: SparkSession, d: str) -> DataFrame:
 def move_relabel(spark: SparkSession, d: str) -> DataFrame:
     p, old = _moving(spark, d)
     n = move.relabel(p, {old: MOVED_TO})
-    return n.select("page_id", "layer", "ref", "topic", "type", "slug", F.array_join(F.transform("relations", lambda r: F.concat(F.coalesce(r["rel"], F.lit("")), F.lit(">"), F.coalesce(r["to"], F.lit("")))), " ").alias("relations"))
+    return n.select("page_id", "layer", "ref", "topic", "type", "slug", F.md5("body").alias("body_md5"), F.array_join(F.transform("relations", lambda r: F.concat(F.coalesce(r["rel"], F.lit("")), F.lit(">"), F.coalesce(r["to"], F.lit("")))), " ").alias("relations"))
 
 
 @query
@@ -453,9 +559,25 @@ def export_index_md(spark: SparkSession, d: str) -> DataFrame:
     return build.export_index_md(_index(_pages(spark, d, *INDEX)))
 
 
+@query
+def export_index_pages(spark: SparkSession, d: str) -> DataFrame:
+    return build.export_index_pages(_index(_pages(spark, d, *INDEX)))
+
+
+@query
+def adjacency_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """The adjacency written as JSON, nodes without links included, and read again."""
+    p = _pages(spark, d, *EDGES)
+    e = written(_merged(p), "edges")
+    at = workspace(spark, "adjacency")
+    build.export_adjacency_jsonl(graph.adjacency(e), graph.nodes(e, p)).write.text(at)
+    return build.read_adjacency(spark, at)
+
+
 @query
 def export_index_jsonl(spark: SparkSession, d: str) -> DataFrame:
-    return build.export_index_jsonl(_index(_pages(spark, d, *INDEX)).select("ref", "layer", "type", "title"))
+    """All fields of the record but keywords, whose JSON SQL writes otherwise."""
+    return build.export_index_jsonl(_index(_pages(spark, d, *INDEX)).drop("keywords"))
 
 
 @query

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.operators import build, move, overlay, pack, validate, vector
+from quillmesh.operators.incremental import read_text
+from quillmesh.session import workspace
 from quillmesh.streaming import feed
 
 PAGES = "page_id long, layer string, topic string, type string, slug string, ref string, title string, summary string, keywords array<string>, relations array<struct<rel:string,to:string>>, sources array<struct<url:string,title:string,accessed:date>>, updated date, body string, hash string, ingested_at timestamp, rank int"
@@ -68,14 +70,17 @@ def test_topic_rename_rewrites_bodies(spark, rows):
 def test_pack(spark, wiki):
     c = overlay.merge_index(overlay.corpus(wiki).drop("page_id", "ingested_at"))
     sizes = {r["ref"]: r["size"] for r in pack.sizes(c).collect()}
-    text = pack.assemble(c)
+    text, warnings = pack.assemble(c)
+    assert warnings == []
     assert len(text.encode()) == pack.fixed_bytes(sorted(sizes)) + sum(sizes.values())
     budget = pack.fixed_bytes(sorted(sizes)) + len(pack.OMIT) + 1 + sizes["t/concepts/a"] + 25
     kept = {r["ref"]: r["kept"] for r in pack.greedy(pack.sizes(c), budget).collect()}
     assert kept == {r["ref"]: r["kept"] for r in pack.greedy(pack.sizes(c), budget, pack.fixed_bytes(sorted(sizes))).collect()}
     assert kept["t/concepts/a"] and not all(kept.values())
-    small = pack.assemble(c, budget)
-    assert pack.OMIT in small and "A2" in small
+    small, warnings = pack.assemble(c, budget)
+    assert pack.OMIT in small and "A2" in small and warnings == []
+    at = workspace(c.sparkSession, "pack") + "/p.md"
+    assert len(pack.write_pack(c, at, 10)) == 1 and read_text(c.sparkSession, at).startswith(pack.BANNER[0])
     with pytest.raises(LookupError):
         pack.assemble(c.limit(0))
 
