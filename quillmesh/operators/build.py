@@ -346,7 +346,7 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """node, dir, rel, other of adjacency files: JSON lines of one node each, or one object with maps ``out`` and ``in`` from node to pairs. What cannot be read gives no rows."""
     lines = "node string, in array<array<string>>, out array<array<string>>"
     maps = "map<string,array<array<string>>>"
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     whole = F.from_json("value", f"struct<in:{maps},out:{maps}>")
     one = text.select(whole.alias("j")).where("j.in is not null or j.out is not null")
     each = spark.read.text(path).select(F.from_json("value", lines).alias("j")).where("j.node is not null").select("j.*")
@@ -361,7 +361,7 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
 
 def read_assignment(spark: SparkSession, path: str, layer: str, topic: str) -> DataFrame:
     """layer, topic, cid, ref of an assignment file: an object whose ``communities`` maps an id to its members. What cannot be read gives no rows."""
-    j = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "struct<communities:map<string,array<string>>>").alias("j"))
+    j = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<communities:map<string,array<string>>>").alias("j"))
     m = j.select(F.explode("j.communities").alias("cid", "refs"))
     return m.select(F.lit(layer).alias("layer"), F.lit(topic).alias("topic"), "cid", F.explode("refs").alias("ref"))
 

@@ -52,7 +52,12 @@ def p3_levels(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.page_hierarchy(_t(spark, d, "pages"), 200)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p3_found, p3_paths, p3_levels, p4_found, p5_found, p5_report, p5_periods)}
+def p3_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Parent links that no tree can hold, as their page has another parent."""
+    return hierarchy.page_conflicts(_t(spark, d, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p3_found, p3_paths, p3_levels, p3_conflicts, p4_found, p5_found, p5_report, p5_periods)}
 
 _SNAP = """
 d as (select snap_id, coalesce(layer, '') layer, coalesce(topic, '') topic, lower(trim(ref)) ref,
@@ -99,6 +104,7 @@ ORACLE = {
     "p2_found": f"with {_SNAP} select snap_id, layer, ref, change from c",
     "p2_changes": f"with {_SNAP} select snap_id, layer, topic, ref, change, old_h old_hash, new_h new_hash, old_snap_id, old_loaded_at from c",
     "p3_found": f"with recursive {_TREE} select ref, root_ref, depth from t union all select child, 'cycle', -1 from p where child not in (select ref from t)",
+    "p3_conflicts": f"with recursive {_TREE.replace('roots as', 'low as (select child, min(parent) m from p group by 1), roots as')} select p.child ref, low.m parent, p.parent other from p join low using (child) where p.parent <> low.m",
     "p3_levels": f"with recursive {_TREE} select ref, root_ref, depth from t union all select child, 'cycle', -1 from p where child not in (select ref from t)",
     "p3_paths": f"""with recursive {_TREE}, n as (select a.ref, count(*) - 1 n from t a join t b on b.path = a.path or starts_with(b.path, a.path || ' > ') group by 1)
       select ref, root_ref, depth, path, n n_descendants from t join n using (ref)
