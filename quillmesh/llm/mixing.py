@@ -145,8 +145,10 @@ def plan(stats: list, targets: list, total: int | None = None) -> list[dict]:
     """Per mix and source: expected uses of each text. Sources without texts have none; the others keep their shares.
 
     stats: (source, texts, tokens); targets: (mix_id, source, target_share,
-    max_repeats).  total: wanted tokens of each mix; what the scarcest source
-    allows is the upper bound, and the default.
+    max_repeats).  By default a mix is as large as its scarcest source allows,
+    so that every share is met.  With a total, each source gives its share of
+    that total, or all it can at its cap; what it cannot give is its
+    shortfall, and the others do not change for it.
     """
     have = {s: (k, t) for s, k, t in stats if t}
     out = []
@@ -154,12 +156,12 @@ def plan(stats: list, targets: list, total: int | None = None) -> list[dict]:
         rows = [t for t in targets if t["mix_id"] == mix and t["target_share"] and t["target_share"] > 0]
         able = [t for t in rows if t["source"] in have and (t["max_repeats"] or 0) > 0]
         size = min((t["max_repeats"] * have[t["source"]][1] / t["target_share"] for t in able), default=0)
-        size = min(size, total) if total else size
+        size = float(total) if total else size
         for t in rows:
-            e = size * t["target_share"] / have[t["source"]][1] if t in able else 0.0
+            e = min(size * t["target_share"] / have[t["source"]][1], float(t["max_repeats"])) if t in able else 0.0
             base = int(e + EPS)
             p = e - base
-            out.append(dict(t) | {"uses": e, "base": base, "p": 0.0 if p < EPS else p, "texts": have.get(t["source"], (0, 0))[0], "size": size})
+            out.append(dict(t) | {"uses": e, "base": base, "p": 0.0 if p < EPS else p, "texts": have.get(t["source"], (0, 0))[0], "size": size, "wanted": size * t["target_share"], "shortfall": max(0.0, size * t["target_share"] - e * have.get(t["source"], (0, 0))[1])})
     return out
 
 
@@ -201,13 +203,29 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, block: i
     return done.select("mix_id", "source", "doc_id", F.col("n").alias("tokens"), (F.col("base") + F.col("p").cast("long")).alias("copies")).where("copies > 0")
 
 
-def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """mix_id, source, target_share, actual_share, tokens, texts, most_copies; sources that could give nothing have 0."""
+def stock(sizes: DataFrame) -> DataFrame:
+    """source, texts, copies, elsewhere: distinct texts that a source counts with, further copies of them in it, and texts of it that count with another source.
+
+    sizes: doc_id, source, digest, n.
+    """
+    each = sizes.groupBy("digest", "source").agg(F.count("*").alias("k"), F.min("doc_id").alias("first"))
+    owner = sizes.groupBy("digest").agg(F.min(F.struct("doc_id", "source")).alias("o")).select("digest", F.col("o.source").alias("owner"))
+    j = each.join(owner, "digest")
+    mine = F.col("source") == F.col("owner")
+    return j.groupBy("source").agg(F.count_if(mine).alias("texts"), F.sum(F.when(mine, F.col("k") - 1).otherwise(0)).alias("copies"), F.count_if(~mine).alias("elsewhere"))
+
+
+def shares(mixed: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+    """mix_id, source, target_share, actual_share, tokens, texts, most_copies; sources that could give nothing have 0.
+
+    With a total also shortfall: tokens that the source's share of it lacks.
+    """
     t = targets.where("source is not null and mix_id is not null").select("mix_id", norm_source(F.col("source")).alias("source"), "target_share", "max_repeats").groupBy("mix_id", "source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     got = mixed.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("texts"), F.max("copies").alias("most_copies"))
     all_ = got.groupBy("mix_id").agg(F.sum("tokens").alias("all_tokens"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    lack = [F.greatest(F.round(F.col("target_share") * total).cast("long") - F.coalesce("tokens", F.lit(0)), F.lit(0)).alias("shortfall")] if total else []
     return (
         t.join(got, ["mix_id", "source"], "left").join(all_, "mix_id", "left")
-        .select("mix_id", "source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), "max_repeats", z("tokens"), z("texts"), z("most_copies"))
+        .select("mix_id", "source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), "max_repeats", z("tokens"), z("texts"), z("most_copies"), *lack)
     )

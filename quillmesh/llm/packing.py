@@ -9,11 +9,13 @@ with the least weighted residual norm, the weights being the mean demands.
 Items are spread over shards by hash, many to a shard, and each shard is
 packed by itself.  Containers that a shard leaves too empty are dissolved, and
 their items are packed again together, in fewer shards, round by round until
-they fit one.
+they fit one, or a round leaves about as many as it was given.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from quillmesh.session import written
 SHARD = 16_000
 #: Containers filled below this share are dissolved and packed again.
 KEEP_FILL = 0.985
+#: A round that leaves more than this share of its items to the next one is the last: what cannot be filled is kept as it is.
+SHRINK = 0.8
 
 
 def vector_best_fit(sizes: np.ndarray, capacity: int, max_docs: int, max_cost: float) -> np.ndarray:
@@ -62,7 +66,7 @@ def vector_best_fit(sizes: np.ndarray, capacity: int, max_docs: int, max_cost: f
         room[:, m], ids[m] = 1 - d, bins
         out[i] = bins
         bins += 1
-        if room[0, m] * capacity >= least - 1e-6:
+        if room[0, m] * capacity >= least - 1e-6 and room[2, m] > 0:
             m += 1
     return out
 
@@ -88,8 +92,9 @@ def pack(sizes: DataFrame, limits: list[dict], shard: int = SHARD, keep_fill: fl
     """limit_id, bin_id, doc_id, piece, first_token, tokens: where each text, or piece of one, is.
 
     sizes: doc_id, n.  limits: limit_id, capacity, and optionally max_docs
-    (texts of a container, default capacity / 4 and 16 at least) and max_cost
-    (default the capacity squared, which token capacity alone guarantees).  A
+    (texts of a container) and max_cost (attention cost); by default there is
+    no limit but that of tokens, which keeps texts below the capacity and cost
+    below its square.  A text whose own cost is over max_cost is alone.  A
     text longer than the capacity is cut into pieces of exactly the capacity
     and a rest; no other text is cut.  Texts without tokens have no place.
     Repeated doc_ids are separate items.  Limits with a capacity below 1 are
@@ -103,7 +108,7 @@ def pack(sizes: DataFrame, limits: list[dict], shard: int = SHARD, keep_fill: fl
     spec = F.array(*[
         F.struct(
             F.lit(int(x["limit_id"])).alias("limit_id"), F.lit(int(x["capacity"])).cast("long").alias("capacity"),
-            F.lit(int(x.get("max_docs") or max(16, x["capacity"] // 4))).cast("long").alias("max_docs"),
+            F.lit(int(x.get("max_docs") or x["capacity"])).cast("long").alias("max_docs"),
             F.lit(float(x.get("max_cost") or float(x["capacity"]) ** 2)).alias("max_cost"),
         ) for x in given
     ])
@@ -116,14 +121,15 @@ def pack(sizes: DataFrame, limits: list[dict], shard: int = SHARD, keep_fill: fl
     rest = each.withColumns({"piece": whole, "tokens": F.col("n") % F.col("capacity")}).where("tokens > 0")
     cols = ["limit_id", "capacity", "max_docs", "max_cost", "doc_id", "piece", "tokens"]
     rest = written(rest.select(*cols), "items")
-    out = None
-    for i in range(6):
+    out, before = None, float("inf")
+    for i in itertools.count():
         # One count a limit reaches the driver.
         count = {r[0]: r[1] for r in rest.groupBy("limit_id").count().collect()}
         if not count:
             break
         shards = {k: -(-n // shard) for k, n in count.items()}
-        last = i == 5 or max(shards.values()) == 1
+        last = max(shards.values()) == 1 or sum(count.values()) > SHRINK * before
+        before = sum(count.values())
         n_of = F.element_at(F.create_map(*[F.lit(x) for kv in shards.items() for x in kv]), F.col("limit_id"))
         sharded = rest.withColumns({"round": F.lit(i), "shard": F.pmod(F.xxhash64("doc_id", "piece", F.lit(i)), n_of)})
         got = written(sharded.groupBy("limit_id", "shard").applyInPandas(_pack(keep_fill, last), PACKED), "packed")

@@ -78,10 +78,31 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), _limits(spark, d))
 
 
-def _mixed(spark: SparkSession, d: str) -> DataFrame:
+def p7_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Fill where the other two constraints bind as well: at most 12 texts a container, and half of the attention cost of a full one."""
+    limits = [x | {"max_docs": 12, "max_cost": x["capacity"] ** 2 / 2} for x in _limits(spark, d)]
+    return packing.fill_report(packing.pack(tokens.sized(_t(spark, d, "documents")), limits), limits)
+
+
+def _sized_sources(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").where("source is not null")
-    sizes = tokens.sized(docs, {"source": mixing.norm_source(F.col("source")), "digest": F.md5("text")})
-    return mixing.mix(mixing.distinct_texts(sizes), _t(spark, d, "mix_targets"))
+    return tokens.sized(docs, {"source": mixing.norm_source(F.col("source")), "digest": F.md5("text")})
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(mixing.distinct_texts(_sized_sources(spark, d)), _t(spark, d, "mix_targets"))
+
+
+def p8_requested(spark: SparkSession, d: str) -> DataFrame:
+    """Mixtures of half of all tokens each: scarce sources at their cap, with what they lack."""
+    sizes = mixing.distinct_texts(_sized_sources(spark, d))
+    total = (sizes.agg(F.sum("n")).first()[0] or 0) // 2
+    return mixing.shares(written(mixing.mix(sizes, _t(spark, d, "mix_targets"), total or None), "mixed"), _t(spark, d, "mix_targets"), total or None)
+
+
+def p8_stock(spark: SparkSession, d: str) -> DataFrame:
+    """What each source counts with: its distinct texts, copies left out, and texts that count with another source."""
+    return mixing.stock(_sized_sources(spark, d))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -108,11 +129,14 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     return f.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_chars", "n_words", "n_lines")], *[F.round(c, 6).alias(c) for c in ("mean_word", "symbol_ratio", "digit_ratio", "punct_lines")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_cases, p6_found, p6_canonical, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_figures, p9_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_cases, p6_found, p6_canonical, p7_pack, p7_fill, p7_bounded, p8_mix, p8_shares, p8_requested, p8_stock, p9_found, p9_figures, p9_stats)}
 
 _quoted = lambda t: "'" + t.replace("'", "''") + "'"
 
 ORACLE = {
+    "p8_stock": """with t as (select doc_id, lower(trim(source)) source, text from documents where source is not null and doc_id is not null and text is not null and text <> ''),
+      o as (select text, arg_min(source, doc_id) own from t group by 1), k as (select source, text, count(*) n from t group by 1, 2)
+      select source, count(*) filter (own = source) texts, coalesce(sum(n - 1) filter (own = source), 0)::bigint copies, count(*) filter (own <> source) elsewhere from k join o using (text) group by 1""",
     "p1_cases": "select * from (values " + ", ".join(f"({i}, {_quoted(c)})" for i, (_, c) in enumerate(CASES)) + ") t(case_id, clean)",
     "p9_stats": r"""with d as (select doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') t from documents where regexp_matches(text, '\S')),
       e as (select doc_id, t, length(regexp_replace(t, '\s+', '', 'g'))::double n, len(regexp_extract_all(t, '\S+'))::bigint n_words,
