@@ -40,6 +40,10 @@ def _nfc(s: pd.Series) -> pd.Series:
     return pd.Series([done[k] if k >= 0 else None for k in codes], dtype=object)
 
 
+#: Declared nondeterministic so that a condition on a normal form does not compute it twice.
+_nfc = _nfc.asNondeterministic()
+
+
 def nfc(c: Column) -> Column:
     """Canonical composition. There is no built-in for it, so it runs once, when an index is built."""
     return _nfc(c)

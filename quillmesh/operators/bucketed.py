@@ -51,12 +51,18 @@ def ddl(df: DataFrame) -> str:
 
 
 
-def versions(tables: list[DataFrame], keys: list[str], row: Column, name: str, others: dict | None = None) -> DataFrame:
-    """keys, ``row`` as a struct of that name, and other columns of tables that share one bucketing, still in their buckets.
+def versions(new: DataFrame, tables: list[DataFrame], keys: list[str], row: Column, name: str, others: dict | None = None) -> DataFrame:
+    """``new`` (rows of an aggregate by the keys, in n partitions) and the rows of tables of one bucketing, all still where they lie.
 
-    Spark 4.1 keeps the partitioning of a union only where it runs on rows;
-    over columnar scans it claims the partitioning and loses it.  Each part
-    therefore passes through an expression here, never as bare columns.
+    Of each table come the keys, ``row`` as a struct of that name, and the
+    columns ``others``.  Spark 4.1 keeps the partitioning of a union only where
+    it runs on rows; over scans alone, which are columnar, it claims the
+    partitioning and loses it, so tables are never united without ``new``.
     """
     of = [t.select(*keys, row.alias(name), *[c.alias(k) for k, c in (others or {}).items()]) for t in tables]
-    return reduce(DataFrame.unionByName, of)
+    return reduce(DataFrame.unionByName, of, new)
+
+
+def plain(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The rows of tables written here as one scan that knows of no buckets: right for any use, and moved by an aggregate."""
+    return spark.read.schema(schema).parquet(*paths)

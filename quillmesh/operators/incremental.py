@@ -49,7 +49,7 @@ def listing(spark: SparkSession, path: str, suffix: str = ".parquet") -> DataFra
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return spark.createDataFrame([], "path string, uri string, size long")
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(literal(path))
     return d.select("path", d.metadataColumn("_metadata")["file_path"].alias("uri"), F.col("length").alias("size"))
 
 
@@ -135,12 +135,24 @@ class IncrementalRun:
         at += [f"{self.home}/files/{e.batch}" for e in entries if not base or e.seq > base.seq]
         return self.spark.read.schema(FILES).json(at) if at else self.spark.createDataFrame([], FILES)
 
-    def state(self, entries: list[Entry]) -> list[DataFrame]:
-        """The committed state: the last base and the batches after it, each bucketed by key."""
+    def _parts(self, entries: list[Entry]) -> list[tuple[str, Entry]]:
+        """Where the committed state is: the last base and the batches after it."""
         base = max((e for e in entries if e.base), key=lambda e: e.seq, default=None)
-        parts = [self._table(base.base, base)] if base else []
-        parts += [self._table(f"batches/{e.batch}", e) for e in entries if not base or e.seq > base.seq]
-        return [p.select(*self.keys, self.value, *self.order) for p in parts]
+        return ([(base.base, base)] if base else []) + [(f"batches/{e.batch}", e) for e in entries if not base or e.seq > base.seq]
+
+    def state(self, entries: list[Entry]) -> list[DataFrame]:
+        """The parts of the committed state, each bucketed by key."""
+        return [self._table(at, e).select(*self.keys, self.value, *self.order) for at, e in self._parts(entries)]
+
+    def latest(self, entries: list[Entry] | None = None) -> DataFrame:
+        """The committed state, one row a key."""
+        entries = self.entries() if entries is None else entries
+        if not entries:
+            raise LookupError("nothing was committed yet")
+        schema = ", ".join(c for c in entries[-1].schema.split(", ") if not c.startswith("`changed`"))
+        rows = bucketed.plain(self.spark, [f"{self.home}/{at}" for at, _ in self._parts(entries)], schema)
+        one = rows.groupBy(*self.keys).agg(F.max(self._version()).alias("_s"))
+        return one.select(*self.keys, *[F.col(f"_s.{c}").alias(c) for c in (self.value, *self.order)])
 
     def _version(self) -> F.Column:
         return F.struct(*self.order, self.value)
@@ -197,7 +209,7 @@ class IncrementalRun:
         none = F.lit(None).cast(v.schema["_new"].dataType)
         both = v.withColumn("_old", none)
         if entries:
-            both = both.unionByName(bucketed.versions(self.state(entries), self.keys, self._version(), "_old", {"_new": none}))
+            both = bucketed.versions(both, self.state(entries), self.keys, self._version(), "_old", {"_new": none})
         one = both.groupBy(*self.keys).agg(F.max("_new").alias("_new"), F.max("_old").alias("_old")).where("_new is not null")
         # A version older than the committed one, delivered late, changes nothing.
         late = F.coalesce(F.struct(*[f"_old.{c}" for c in self.order]) > F.struct(*[f"_new.{c}" for c in self.order]), F.lit(False))
@@ -215,10 +227,9 @@ class IncrementalRun:
         entry = Entry(batch, seq, bucketed.ddl(table), n)
         self._tables[at] = table
         if seq % COMPACT_EVERY == 0:
-            every = bucketed.versions(self.state([*entries, entry]), self.keys, self._version(), "_s")
-            s = every.groupBy(*self.keys).agg(F.max("_s").alias("_s")).select(*self.keys, *[F.col(f"_s.{c}").alias(c) for c in (self.value, *self.order)])
+            s = self.latest([*entries, entry])
             entry.base, entry.files_base = f"base/{batch}", f"files/base-{batch}"
-            self._tables[entry.base] = bucketed.write(s, f"{self.home}/{entry.base}", self.keys, n, placed=True)
+            self._tables[entry.base] = bucketed.write(s, f"{self.home}/{entry.base}", self.keys, n)
             self.manifest([*entries, Entry(batch, seq, "", n)]).coalesce(1).write.mode("overwrite").json(f"{self.home}/{entry.files_base}")
         stop("committing")
         write_once(self.spark, f"{self.home}/manifest/{seq:08d}-{batch}.json", json.dumps(asdict(entry)))

@@ -66,7 +66,7 @@ class OrphanState:
     """
 
     def __init__(self, spark: SparkSession, home: str | None = None, fields: tuple[str, ...] = FIELDS, n_buckets: int | None = None):
-        self.spark, self.fields = spark, fields
+        self.spark = spark
         self.home = (home or workspace(spark, "orphans")).rstrip("/")
         self.periods: list[dict] = []
         self._tables: dict[str, DataFrame] = {}
@@ -74,7 +74,9 @@ class OrphanState:
         if fs.exists(p):
             names = sorted(f.getPath().getName() for f in fs.listStatus(p))
             self.periods = [json.loads(read_text(spark, f"{self.home}/periods/{n}")) for n in names if n.endswith(".json") and n[0] != "."]
-        self.n = n_buckets or (self.periods[-1]["buckets"] if self.periods else buckets(spark))
+        last = self.periods[-1] if self.periods else None
+        self.n = n_buckets or (last["buckets"] if last else buckets(spark))
+        self.fields = tuple(last["fields"]) if last else fields
 
     def _table(self, at: str, schema: str) -> DataFrame:
         if at not in self._tables:
@@ -85,17 +87,18 @@ class OrphanState:
         """The state of a target; the later row is the greater."""
         return F.struct("seq", "first_at", "alive", "lost", "named_at", *[f"n_{f}" for f in self.fields])
 
-    def _pieces(self) -> list[DataFrame]:
+    def _pieces(self) -> list[tuple[str, str]]:
+        """Where the state is, and its schema: the last base and the periods after it."""
         base = max((p for p in self.periods if p["base"]), key=lambda p: p["seq"], default=None)
-        pieces = [self._table(base["base"], base["schema"])] if base else []
-        return pieces + [self._table(f"targets/{p['seq']}", p["schema"]) for p in self.periods if not base or p["seq"] > base["seq"]]
+        return ([(base["base"], base["schema"])] if base else []) + [(f"targets/{p['seq']}", p["schema"]) for p in self.periods if not base or p["seq"] > base["seq"]]
 
     def targets(self) -> DataFrame:
         """target and its state, one row each."""
         pieces = self._pieces()
         if not pieces:
             return self.spark.createDataFrame([], "target string, first_at timestamp, alive boolean, lost boolean, named_at timestamp")
-        return bucketed.versions(pieces, ["target"], self._row(), "r").groupBy("target").agg(F.max("r").alias("r")).select("target", "r.*")
+        rows = bucketed.plain(self.spark, [f"{self.home}/{at}" for at, _ in pieces], pieces[-1][1])
+        return rows.groupBy("target").agg(F.max(self._row()).alias("r")).select("target", "r.*")
 
     def step(self, period: str, refs: DataFrame, events: DataFrame, fail_at: str | None = None) -> None:
         """One period: refs (field, target, named_at, any others), events (target, at, dead: deleted, or else arrived).
@@ -117,7 +120,7 @@ class OrphanState:
         old_type = "struct<seq:int,first_at:timestamp,alive:boolean,lost:boolean,named_at:timestamp," + ",".join(f"n_{f}:bigint" for f in self.fields) + ">"
         both = new.withColumn("_old", F.lit(None).cast(old_type))
         if self.periods:
-            both = both.unionByName(bucketed.versions(self._pieces(), ["target"], self._row(), "_old", {"_new": F.lit(None).cast(new.schema["_new"].dataType)}))
+            both = bucketed.versions(both, [self._table(*x) for x in self._pieces()], ["target"], self._row(), "_old", {"_new": F.lit(None).cast(new.schema["_new"].dataType)})
         j = both.groupBy("target").agg(F.max("_new").alias("_new"), F.max("_old").alias("_old")).where("_new is not null")
         z = lambda c: F.coalesce(c, F.lit(0)).cast("long")
         had = F.coalesce("_old.alive", F.lit(False))
@@ -132,14 +135,14 @@ class OrphanState:
         table = bucketed.write(out, f"{self.home}/targets/{seq}", ["target"], self.n, placed=True)
         if fail_at == "written":
             raise RuntimeError("failed before the commit")
-        entry = {"period": period, "seq": seq, "buckets": self.n, "schema": bucketed.ddl(table), "base": None}
+        entry = {"period": period, "seq": seq, "buckets": self.n, "fields": self.fields, "schema": bucketed.ddl(table), "base": None}
         self._tables[f"targets/{seq}"] = table
         if seq % COMPACT_EVERY == 0:
             self.periods.append(entry)
             every = self.targets().withColumns({"was_lost": F.lit(False), **{f"open_{f}": F.lit(0).cast("long") for f in self.fields}})
             self.periods.pop()
             entry["base"] = f"base/{seq}"
-            self._tables[entry["base"]] = bucketed.write(every.select(*table.columns), f"{self.home}/{entry['base']}", ["target"], self.n, placed=True)
+            self._tables[entry["base"]] = bucketed.write(every.select(*table.columns), f"{self.home}/{entry['base']}", ["target"], self.n)
         write_once(self.spark, f"{self.home}/periods/{seq:06d}.json", json.dumps(entry))
         self.periods.append(entry)
 

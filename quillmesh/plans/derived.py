@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators import bucketed, graph, overlay, search
 from quillmesh.operators.incremental import _fs
-from quillmesh.session import buckets, shared_dir, spread
+from quillmesh.session import buckets, shared_dir
 
 SEARCH = ["layer", "topic", "title", "summary", "keywords"]
 EDGES = ["layer", "topic", "relations", "body"]
@@ -70,8 +70,9 @@ class Derived:
             rec = pages(self.spark, self.d, *SEARCH, *(["body"] if bodies else [])).select(
                 "ref", "layer", "topic", z("title", F.lit("")).alias("title"), z("summary", F.lit("")).alias("summary"), z("keywords", F.array().cast("array<string>")).alias("keywords"), *(["body"] if bodies else [])
             )
-            df = search.with_search_fields(spread(overlay.merge_index(rec)), bodies).drop("body")
-            return self._plain(df.repartitionByRange("topic", "ref").sortWithinPartitions("topic", "ref"), at)
+            # Put in order first: what finds the bounds of the ranges reads its input once more, and that is not to be the fields.
+            ordered = overlay.merge_index(rec).repartitionByRange(buckets(self.spark), "topic", "ref").sortWithinPartitions("topic", "ref")
+            return self._plain(search.with_search_fields(ordered, bodies).drop("body"), at)
         return self._once("search_bodies" if bodies else "search", make)
 
     def index(self) -> DataFrame:

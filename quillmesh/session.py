@@ -47,10 +47,23 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables that ``written`` left, by application.
+_LEFT: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that ``written`` left for this application so far, and say how many. Results that were not read yet are lost with them."""
+    left = _LEFT.pop(spark.sparkContext.applicationId, [])
+    for at in left:
+        remove(spark, at)
+    return len(left)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and survives the loss of executors."""
+    """Write df to the shared folder and read it back: lineage is cut and survives the loss of executors. ``clear`` deletes what is left."""
     spark = df.sparkSession
     at = workspace(spark, name)
+    _LEFT.setdefault(spark.sparkContext.applicationId, []).append(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

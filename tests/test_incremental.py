@@ -2,9 +2,7 @@ import pathlib
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
-from quillmesh.operators import bucketed
 from quillmesh.operators import incremental as I
 from quillmesh.session import workspace
 
@@ -123,7 +121,8 @@ def test_compaction_keeps_the_state(spark, rows):
     again = job(spark, home)
     assert any(e.base for e in again.entries())
     assert len(again.state(again.entries())) == 1 + 2
-    state = bucketed.versions(again.state(again.entries()), ["k"], F.struct("o", "v"), "s").groupBy("k").agg(F.max("s.v").alias("v"))
-    assert rows(state) == sorted([("x", str(I.COMPACT_EVERY + 1)), *[(f"k{i}", "1") for i in range(I.COMPACT_EVERY + 2)]])
+    state = again.latest()
+    assert rows(state.select("k", "v")) == sorted([("x", str(I.COMPACT_EVERY + 1)), *[(f"k{i}", "1") for i in range(I.COMPACT_EVERY + 2)]])
+    assert state.count() == state.select("k").distinct().count() == I.COMPACT_EVERY + 3
     base = again.state(again.entries())[0]
     assert base.count() == base.select("k").distinct().count() == I.COMPACT_EVERY + 1
