@@ -16,6 +16,8 @@ STEP = "array<struct<ref:string,rel:string,dir:int>>"
 KEY = "array<struct<dir:int,rel:string,other:string>>"
 #: Rows of a level that are kept on the driver and sent to the tasks; a larger level is written to the shared folder and joined.
 SMALL = 5_000
+#: Nodes that are named in the scan of the adjacency, so that it reads the buckets of these only.
+NAMED = 1_000
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -65,6 +67,7 @@ class _Level:
     schema: object
     rows: list | None
     table: DataFrame | None
+    _df: DataFrame | None = None
 
     @classmethod
     def of(cls, df: DataFrame, name: str) -> _Level:
@@ -77,14 +80,20 @@ class _Level:
         return self.rows is not None and not self.rows
 
     def df(self) -> DataFrame:
-        return self.table if self.rows is None else self.spark.createDataFrame(self.rows, self.schema)
+        if self._df is None:
+            self._df = self.table if self.rows is None else self.spark.createDataFrame(self.rows, self.schema, verifySchema=False)
+        return self._df
 
     def links(self, adj: DataFrame) -> DataFrame:
         """The level's rows (column node) with the links of their nodes; of few nodes only the buckets and row groups that may hold them are read."""
         if self.rows is None:
             return self.table.join(adj, "node")
         nodes = sorted({r["node"] for r in self.rows})
-        return adj.where(F.col("node").isin(nodes)).join(F.broadcast(self.df()), "node")
+        if len(nodes) <= NAMED:
+            # One text to parse: a literal each would be as many calls.
+            named = ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in nodes)
+            adj = adj.where(F.expr(f"node in ({named})")) if nodes else adj.limit(0)
+        return adj.join(F.broadcast(self.df()), "node")
 
     def without(self, df: DataFrame, column: str) -> DataFrame:
         """df without the rows whose column names a node of this level."""
@@ -135,9 +144,7 @@ def traverse(adj: DataFrame, index: DataFrame, start: str, hops: int = 1, rels:
 def _narrow(level: _Level, columns: list[str]) -> _Level:
     """The level with these columns only."""
     df = level.df().select(*columns)
-    rows = None if level.rows is None else [tuple(r[c] for c in columns) for r in level.rows]
-    rows = rows if rows is None else [Row(**dict(zip(columns, r, strict=True))) for r in rows]
-    return _Level(level.spark, df.schema, rows, df if level.rows is None else None)
+    return _Level(level.spark, df.schema, level.rows, df if level.rows is None else None, df)
 
 
 def cut_note(rows: DataFrame, limit: int) -> str | None:
