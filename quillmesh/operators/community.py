@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.session import written
+from quillmesh.session import buckets, written
 
 #: Pairs of one connected component that one task merges; larger components stop with an error instead of changing the result.
 MAX_PAIRS = 5_000_000
+#: Pairs of a topic that one task merges as they are; only larger topics are split into their components first.
+WHOLE_PAIRS = 500_000
 
 
 def pair_weights(edges: DataFrame, pages: DataFrame) -> DataFrame:
@@ -46,38 +48,103 @@ def greedy(pairs: list[tuple[str, str, int]], m: int | None = None) -> list[list
     above 0.  m is the weight of the whole topic (default: of these pairs):
     components never influence each other but through it, so each may be
     merged alone.
+
+    A key 2 m W - K K falls as K grows and rises only with W.  Each pair is
+    therefore queued at the community of greater K alone, by W and then by K
+    and name of the other, an order that its own K does not disturb; what is
+    queued is never worse than it is now, and is looked at again only when it
+    comes first.  Of two communities the one with fewer neighbours is moved.
     """
     m = sum(w for _, _, w in pairs) if m is None else m
-    links: dict[str, dict[str, int]] = {}
+    names = sorted({x for a, b, _ in pairs for x in (a, b)})
+    at = {x: i for i, x in enumerate(names)}
+    links: list[dict[int, int]] = [{} for _ in names]
     for a, b, w in pairs:
-        links.setdefault(a, {})[b] = links.setdefault(a, {}).get(b, 0) + w
-        links.setdefault(b, {})[a] = links.setdefault(b, {}).get(a, 0) + w
-    k = {n: sum(d.values()) for n, d in links.items()}
-    members = {n: [n] for n in links}
-    # A community is named by its smallest member; version tells whether a queued key is still its key.
-    version = dict.fromkeys(links, 0)
-    heap = [(-(2 * m * w - k[a] * k[b]), a, b, 0, 0) for a, d in links.items() for b, w in d.items() if a < b]
-    heapq.heapify(heap)
+        a, b = at[a], at[b]
+        links[a][b] = links[b][a] = links[a].get(b, 0) + w
+    k = [sum(d.values()) for d in links]
+    # The number of a community stays that of the one with more neighbours; least is that of its smallest member, which names it.
+    least, joined = list(range(len(names))), list(range(len(names)))
+    queued: list[dict[int, list]] = [{} for _ in names]
+    # First of each community's queue, or better; of what stands in the heap only this counts.
+    none = (0,)
+    first: list[tuple] = [none] * len(names)
+    heap: list[tuple] = []
+
+    def ranked(u: int, c: int, w: int) -> tuple:
+        x, y = least[u], least[c]
+        return (k[u] * k[c] - 2 * m * w, x, y, u, c) if x < y else (k[u] * k[c] - 2 * m * w, y, x, u, c)
+
+    def put(u: int, c: int, w: int) -> None:
+        if k[u] < k[c]:
+            u, c = c, u
+        r = ranked(u, c, w)
+        if r < none:
+            heapq.heappush(queued[u].setdefault(w, []), (k[c], least[c], c))
+            if r < first[u]:
+                first[u] = r
+                heapq.heappush(heap, r)
+
+    def look(u: int) -> tuple:
+        """The first of u's queue as it is now."""
+        q, found = queued[u], none
+        first[u] = ()
+        for w in list(q):
+            h = q[w]
+            while h:
+                kc, _, c = h[0]
+                if links[u].get(c) != w:
+                    heapq.heappop(h)
+                elif k[c] != kc:
+                    heapq.heappop(h)
+                    put(u, c, w)
+                else:
+                    break
+            r = ranked(u, h[0][2], w) if h else none
+            if r < none:
+                found = min(found, r)
+            else:
+                # The others of this weight are not above 0 either, and never will be.
+                del q[w]
+        first[u] = found
+        return found
+
+    for a, d in enumerate(links):
+        for b, w in d.items():
+            if a < b:
+                put(a, b, w)
     while heap:
-        key, a, b, va, vb = heapq.heappop(heap)
-        if -key <= 0:
-            break
-        if version.get(a) != va or version.get(b) != vb:
+        r = heapq.heappop(heap)
+        u = r[3]
+        if r != first[u]:
+            continue
+        now = look(u)
+        if now != r:
+            if now < none:
+                heapq.heappush(heap, now)
             continue
-        # b joins a, since a < b names the union.
-        members[a] += members.pop(b)
-        k[a] += k.pop(b)
-        del version[b]
-        version[a] += 1
-        for c, w in links.pop(b).items():
-            del links[c][b]
-            if c != a:
-                links[a][c] = links[a].get(c, 0) + w
-                links[c][a] = links[a][c]
-        for c, w in links[a].items():
-            x, y = (a, c) if a < c else (c, a)
-            heapq.heappush(heap, (-(2 * m * w - k[x] * k[y]), x, y, version[x], version[y]))
-    return sorted(sorted(v) for v in members.values())
+        c = r[4]
+        if len(links[u]) < len(links[c]):
+            u, c = c, u
+        del links[u][c], links[c][u]
+        joined[c] = u
+        k[u] += k[c]
+        least[u] = min(least[u], least[c])
+        first[u] = first[c] = ()
+        for x, w in links[c].items():
+            del links[x][c]
+            links[u][x] = links[x][u] = w = w + links[u].get(x, 0)
+            put(u, x, w)
+        links[c], queued[c] = {}, {}
+        now = look(u)
+        if now < none:
+            heapq.heappush(heap, now)
+    members: dict[int, list[str]] = {}
+    for i, x in enumerate(names):
+        while joined[i] != joined[joined[i]]:
+            joined[i] = joined[joined[i]]
+        members.setdefault(joined[i], []).append(x)
+    return sorted(members.values())
 
 
 def community_id(members: list[str]) -> str:
@@ -109,18 +176,27 @@ def _detect(d: pd.DataFrame) -> pd.DataFrame:
     if len(d) > MAX_PAIRS:
         raise ValueError(f"component {d['comp'].iloc[0]} has {len(d)} pairs; the greedy merge takes {MAX_PAIRS} in one task")
     got = greedy(list(zip(d["a"], d["b"], d["w"], strict=True)), int(d["m"].iloc[0]))
-    return pd.DataFrame([(d["layer"].iloc[0], d["topic"].iloc[0], community_id(g), r) for g in got for r in g], columns=["layer", "topic", "cid", "ref"])
+    layer, topic = d["layer"].iloc[0], d["topic"].iloc[0]
+    return pd.DataFrame([(layer, topic, cid, r) for g in got for cid in [community_id(g)] for r in g], columns=["layer", "topic", "cid", "ref"])
 
 
 def communities(weights: DataFrame) -> DataFrame:
     """layer, topic, cid, ref of every page with an edge inside its topic.
 
-    Parallel over the connected components of the topics.
+    Parallel over the topics, and over the connected components of large ones.
     """
     on = ["layer", "topic"]
-    m = weights.groupBy(*on).agg(F.sum("w").alias("m"))
-    comp = components(weights).withColumnRenamed("node", "a")
-    return weights.join(comp, [*on, "a"]).join(m, on).groupBy(*on, "comp").applyInPandas(_detect, "layer string, topic string, cid string, ref string")
+    spark = weights.sparkSession
+    sizes = written(weights.groupBy(*on).agg(F.sum("w").alias("m"), F.count("*").alias("n")), "sizes")
+    large = sizes.where(F.col("n") > WHOLE_PAIRS).select(*on)
+    each = weights.join(sizes.drop("n"), on)
+    if large.isEmpty():
+        each = each.withColumn("comp", F.lit(None).cast("string"))
+    else:
+        each = each.join(components(weights.join(large, on, "left_semi")).withColumnRenamed("node", "a"), [*on, "a"], "left")
+    # Groups cost far more than their bytes tell, so a fixed number of tasks, which is not brought together by size.
+    each = each.repartition(max(buckets(spark), 8 * spark.sparkContext.defaultParallelism), *on, "comp")
+    return each.groupBy(*on, "comp").applyInPandas(_detect, "layer string, topic string, cid string, ref string")
 
 
 def modularity(weights: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import deque
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,6 +107,45 @@ def test_components_do_not_change_the_result(spark):
     assert set(got) == {C.community_id(g) for g in C.greedy(pairs)}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.tuples(st.sampled_from("abcdefghijklmnop"), st.sampled_from("abcdefghijklmnop")).filter(lambda p: p[0] < p[1]), st.sampled_from([1, 1, 2, 9]), min_size=10, max_size=40))
+def test_greedy_against_rescanning_of_more_nodes(d):
+    # Names in no order with the weights, so that communities are often moved into one with another name.
+    pairs = [(a, b, w) for (a, b), w in d.items()]
+    assert C.greedy(pairs) == brute_greedy(pairs)
+
+
+def test_greedy_looks_at_few_pairs(monkeypatch):
+    pushes = []
+    push = C.heapq.heappush
+    monkeypatch.setattr(C.heapq, "heappush", lambda h, x: (pushes.append(1), push(h, x)))
+    # A page that all others name, and one that names every tenth of them.
+    pairs = [("hub", f"n{i:04}", 1) for i in range(1500)] + [("far", f"n{i:04}", 1) for i in range(0, 1500, 10)]
+    got = C.greedy(pairs)
+    assert sorted(x for g in got for x in g) == sorted({x for a, b, _ in pairs for x in (a, b)})
+    assert len(pushes) < 20 * len(pairs)
+
+
+def test_detect_hashes_each_community_once(monkeypatch):
+    calls = []
+    real = C.community_id
+    monkeypatch.setattr(C, "community_id", lambda g: (calls.append(len(g)), real(g))[1])
+    d = pd.DataFrame([("g", "t", a, b, 1, 4, None) for a, b in ("ab", "bc", "xy", "yz")], columns=["layer", "topic", "a", "b", "w", "m", "comp"])
+    got = C._detect(d)
+    assert sorted(got["ref"]) == sorted("abcxyz") and sorted(calls) == sorted(got.groupby("cid").size())
+
+
+def test_topics_are_split_only_if_large(spark, rows, monkeypatch):
+    pairs = [("t", "a", "b", 2), ("t", "b", "c", 1), ("t", "x", "y", 1), ("t", "y", "z", 3), ("t", "p", "q", 1), ("u", "a", "b", 1)]
+    w = spark.createDataFrame([("g", *p) for p in pairs], "layer string, topic string, a string, b string, w long")
+    real, split = C.components, []
+    monkeypatch.setattr(C, "components", lambda x: (split.append(rows(x.select("topic").distinct())), real(x))[1])
+    whole = rows(C.communities(w))
+    assert not split
+    monkeypatch.setattr(C, "WHOLE_PAIRS", 2)
+    assert rows(C.communities(w)) == whole and split == [[("t",)]]
+
+
 def test_inheritance(spark):
     s = "layer string, topic string, cid string, ref string"
     t = lambda d: spark.createDataFrame([("g", "t", c, r) for c, rs in d.items() for r in rs], s)
